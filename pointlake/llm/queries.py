@@ -32,8 +32,32 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mix_sources import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"), count_col="n_removed")
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ivf_pq import neighbours
+
+    return neighbours(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_topk
+
+    return exact_topk(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files)}
+    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op6_mix_sources, op7_line_dedup, op9_neighbours, op10_exact_topk)}
     return found
 
 

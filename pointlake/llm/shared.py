@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from the files."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    gc.collect()  # shuffle files of what is done are freed once nothing refers to them
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
