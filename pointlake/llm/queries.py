@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "over_threshold")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mix_sources import mix_sources
 
@@ -72,7 +78,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op4_toxicity, op6_mix_sources, op7_line_dedup, op8_secret_scan, op9_neighbours, op10_exact_topk)}
+    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op4_toxicity, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_secret_scan, op9_neighbours, op10_exact_topk)}
     return found
 
 
