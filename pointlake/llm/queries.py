@@ -32,6 +32,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode_pieces, digests, encode_pieces
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    return digests(decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, score_toxicity
 
@@ -78,7 +85,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op4_toxicity, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_secret_scan, op9_neighbours, op10_exact_topk)}
+    found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_pieces, op4_toxicity, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_secret_scan, op9_neighbours, op10_exact_topk)}
     return found
 
 
