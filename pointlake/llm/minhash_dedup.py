@@ -2,18 +2,18 @@
 
 Each document is its set of distinct five-word shingles. Documents with one and the same set are joined
 first by a hash of the whole set, so that exact copies of any number cost one row. For the others,
-independent trees branch on minwise tokens: a root has ``root_branches`` children per document, chosen by its
-minwise token under as many hash functions; a node with more than ``node_limit`` documents that are not yet
-connected to each other branches on by ``branches`` further minwise tokens, chosen by a hash of its path.
-
-Within a node, every document is first compared with the node's smallest one (a star, linear in the node).
-A node whose documents are then all connected is finished: no comparison in it can add a link between
-components. The other small nodes are compared exhaustively. Every link is confirmed on the full sets.
-
-A pair of similarity s meets in some tree with probability at least ``1 - (1 - s)**(trees * root_branches)``
-at the root: 1 - 6e-8 at 0.75 by default; deeper levels keep ``1 - (1 - s)**branches`` of that per tree.
-Comparisons are skipped only where 64 byte-sized minhashes agree in fewer than ``least_agree`` places
-(below 0.75 by more than 4.5 standard deviations).
+``trees`` independent trees start with the document's minwise token under a hash function each. Every
+document is compared with the centre of each of its nodes, the one that shares most tokens with others (a star,
+linear in the node), which connects most copies. A node whose documents are then all connected is finished: no comparison in it can add anything.
+In other nodes, the documents outside the largest connected part are compared with all documents of the node;
+while they are more than ``node_limit``, the node branches by one or two further minwise tokens, 4/3 on
+average, chosen by a hash of its path. Every link is confirmed on the full sets.
+
+A pair of similarity s meets in a node that is compared at once with probability ``1 - (1 - s)**trees``:
+1 - 1e-6 at 0.75 by default; where all nodes of a pair have branched once, 1 - (1 - 0.75 * 0.81)**10 = 1 - 9e-5 at
+0.75 and more above it. Comparisons
+are skipped only where 64 byte-sized minhashes agree in fewer than ``least_agree`` places (below 0.75 by more
+than 4.5 standard deviations).
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in tx.slices(offsets):
             sets = tx.shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SHINGLE_WORDS)
             keys = [_set_key(s) for s in sets]
-            sigs = [signature(s) for s in sets]
+            sigs = [(tx.mix(signature(s)) >> np.uint64(32)).astype("<u4") for s in sets]  # the nodes' tokens, shortened
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a),
@@ -65,7 +65,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([k[0] for k in keys], pa.int64()),
                     pa.array([k[1] for k in keys], pa.int64()),
                     pa.array([x.tobytes() for x in sigs], pa.binary()),
-                    pa.array([tx.mix(x).astype(np.uint8).tobytes() for x in sigs], pa.binary()),
+                    pa.array([x.astype(np.uint8).tobytes() for x in sigs], pa.binary()),
                 ],
                 names=["doc_id", "n_shingles", "key_a", "key_b", "sig", "small"],
             )
@@ -106,50 +106,96 @@ def _agreement(least: int):
     return run
 
 
-def _pairs_in_nodes(least: int):
-    """Rows sorted by node -> the pairs within a node that may be similar and aren't connected yet."""
+def _links_in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, side, rep, label, words) sorted by grp -> links between unconnected documents of both sides.
 
-    def emit(node: np.ndarray, rep: np.ndarray, label: np.ndarray, small: np.ndarray) -> pa.RecordBatch:
-        bound = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True])
-        left, right = [], []
-        for a, b in zip(bound[:-1], bound[1:], strict=True):
-            if b - a < 2:
-                continue
-            for i in range(a, b - 1):
-                hit = np.flatnonzero(((small[i + 1 : b] == small[i]).sum(axis=1) >= least) & (label[i + 1 : b] != label[i])) + i + 1
-                if len(hit):
-                    left.append(np.full(len(hit), i))
-                    right.append(hit)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y]), pa.int64()), pa.array(np.maximum(rep[x], rep[y]), pa.int64())], names=["a", "b"])
+    The sizes of all intersections of a group come from one product of 0/1 matrices over the shingles that
+    stand in two or more of its documents. Of the links found, those are given that connect labels anew.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)] + [tx.utf8(batch.column(3))[0].reshape(-1, HASHES)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut_at = int(np.searchsorted(now[0], now[0][-1]))
-            if cut_at:
-                yield emit(*[x[:cut_at] for x in now])
-            held = [x[cut_at:] for x in now]
+    def links(side: np.ndarray, rep: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        n = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = times > 1
+        place = np.cumsum(often) - 1
+        keep = often[column]
+        owner, column = owner[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for c in range(0, int(often.sum()), 4096):
+            a, b = np.searchsorted(column, (c, c + 4096))
+            block = np.zeros((len(sets), 4096), np.float32)
+            block[owner[a:b], column[a:b] - c] = 1
+            both += block[left] @ block[right].T
+        hit = (100 * both >= THRESHOLD * (n[left][:, None] + n[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = find(label[left[i]]), find(label[right[j]])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield rep[left[i]], rep[right[j]]
+
+    def emit(now: list) -> pa.RecordBatch:
+        grp, side, rep, label, words = now
+        bound = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
+        out = [x for a, b in zip(bound[:-1], bound[1:], strict=True) if 0 < side[a:b].sum() < b - a for x in links(side[a:b], rep[a:b], label[a:b], [np.frombuffer(w, np.uint64) for w in words[a:b]])]
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+
+    return _by_group(batches, emit)
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], emit) -> Iterator[pa.RecordBatch]:
+    """``emit`` on columns of whole groups: four of numbers, one of bytes; the last group of a batch waits for the next."""
+    held: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [batch.column(4).to_pylist()]
         if held is not None:
-            yield emit(*held)
+            now = [np.concatenate(x) for x in zip(held[:4], now[:4], strict=True)] + [held[4] + now[4]]
+        whole = int(np.searchsorted(now[0], now[0][-1]))
+        if whole:
+            yield emit([x[:whole] for x in now])
+        held = [x[whole:] for x in now]
+    if held is not None:
+        yield emit(held)
+
+
+def _likely_in_groups(least: int):
+    """Rows (grp, side, rep, label, small) sorted by grp -> those that may have a link to the other side."""
+
+    def emit(now: list) -> pa.RecordBatch:
+        grp, side, rep, label, small = now
+        small = np.frombuffer(b"".join(small), np.uint8).reshape(-1, HASHES)
+        keep = np.zeros(len(grp), bool)
+        bound = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1], True])
+        for a, b in zip(bound[:-1], bound[1:], strict=True):
+            left, right = np.flatnonzero(side[a:b] == 0) + a, np.flatnonzero(side[a:b] == 1) + a
+            for i in left if len(right) else ():
+                hit = right[((small[right] == small[i]).sum(axis=1) >= least) & (label[right] != label[i])]
+                if len(hit):
+                    keep[i] = keep[hit] = True
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, side, rep, label)], names=["grp", "side", "rep", "label"])
 
-    return run
+    return lambda batches: _by_group(batches, emit)
 
 
 def minhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    trees: int = 4,
-    root_branches: int = 3,
-    branches: int = 3,
-    node_limit: int = 256,
-    most_depth: int = 8,
+    trees: int = 10,
+    node_limit: int = 1024,
+    most_depth: int = 12,
     least_agree: int = 31,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -160,72 +206,71 @@ def minhash_components(
     columns are not read. An empty table gives an empty table.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sketches = cut(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, key_a long, key_b long, sig binary, small binary"), "sketches")
     known = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = cut(known.groupBy("key_a", "key_b", "n_shingles").agg(F.min(F.struct("doc_id", "sig", "small")).alias("m")).select("key_a", "key_b", "n_shingles", F.col("m.doc_id").alias("rep"), "m.sig", "m.small"), "classes")
+    of_set = ["key_a", "key_b", "n_shingles"]
+    classes = cut(known.groupBy(of_set).agg(F.min(F.struct("doc_id", "sig", "small")).alias("m")).select(*of_set, F.col("m.doc_id").alias("rep"), "m.sig", "m.small"), "classes")
     reps = classes.select("rep", "sig", "small")
-    twice = known.join(classes.select("key_a", "key_b", "n_shingles", "rep"), ["key_a", "key_b", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    again = known.groupBy("doc_id").count().where("count > 1")
-
-    token = lambda i: F.substring("sig", 8 * i + 1, 8)
-    roots = trees * root_branches
-    rows = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), token(i)) for i in range(roots)])).alias("node"))
-    spark = docs.sparkSession
-    links, small_nodes, label = None, None, None
-
-    def sized(rows: DataFrame, depth: int) -> DataFrame:
-        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-        return cut(rows.join(nodes, "node"), f"nodes{depth}")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").select("id", "text")
-        sets = texts.mapInArrow(_full_sets, "id long, words binary")
-        first = pairs.join(sets.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-        both = first.join(sets.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct()
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
+    # roots: one node for each tree and minwise token
+    rows = reps.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * i + 1, 4)) for i in range(trees)])).alias("node"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(rows.join(nodes, "node"), "roots")
+    shared = members.select("rep").distinct()
+    sets = cut(docs.join(shared.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_full_sets, "id long, words binary"), "sets")
+
+    # every document against the centre of each of its nodes, which is the member that shares most tokens
+    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    centre = members.select("node", "rep").join(weight, "rep").groupBy("node").agg(F.max(F.struct("weight", "rep")).alias("m")).select("node", F.col("m.rep").alias("centre"))
+    star = members.join(centre, "node").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
+    of = lambda df, key, value, names: df.select(F.col(key).alias(names[0]), F.col(value).alias(names[1]))
+    likely = star.join(of(reps, "rep", "small", "by"), "b").join(of(reps, "rep", "small", "ax"), "a").select("a", "b", "x", "y")
+    likely = cut(likely.mapInArrow(_agreement(least_agree), "a long, b long").distinct(), "star")
+    met = likely.join(of(sets, "id", "words", "by"), "b").join(of(sets, "id", "words", "ax"), "a").select("a", "b", "x", "y")
+    links = cut(met.mapInArrow(_confirm, "a long, b long").distinct(), "star-links")
+    label = components(links, "a", "b")
+    named = reps.select("rep").distinct().join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    named = cut(named.join(shared, "rep", "left_semi"), "labels")
+
+    # nodes whose documents aren't all connected; they branch while too many of them are outside the largest part
+    done, rows = None, members.select("node", "rep")
     for depth in range(most_depth + 1):
-        members = sized(rows, depth)
-        star = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-        sig = lambda n, s: reps.select(F.col("rep").alias(n), F.col("small").alias(s))
-        likely = star.join(sig("b", "y"), "b").join(sig("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(_agreement(least_agree), "a long, b long")
-        new = cut(verify(cut(likely.distinct(), "star")), "links")
-        links = new if links is None else links.unionByName(new)
-        label = cut(components(links, "a", "b"), "labels")
-        members = labelled(members)
-        open_nodes = members.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-        members = cut(members.join(open_nodes, "node"), "open")
-        part = members.where(F.col("size") <= node_limit).select("node", "rep")
-        small_nodes = part if small_nodes is None else small_nodes.unionByName(part)
-        large = members.where(F.col("size") > node_limit)
-        if large.isEmpty():
-            break
-        if depth == most_depth:  # these stay large after so many minwise tokens: compare them in pairs of blocks
-            blocks = F.ceil(F.col("size") * 2 / node_limit).cast("int")
-            own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-            met = large.select("node", "rep", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-            met = met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep")
-            small_nodes = small_nodes.unionByName(met)
+        rows = rows.join(named, "rep")
+        parts = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+        nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max(F.struct("n", "label")).alias("m"))
+        nodes = nodes.where("most < size").select("node", "size", (F.col("size") - F.col("most")).alias("others"), F.col("m.label").alias("major"))
+        rows = cut(rows.join(nodes, "node"), f"open{depth}")
+        small = rows if depth == most_depth else rows.where(F.col("others") <= node_limit)
+        done = small if done is None else done.unionByName(small)
+        large = rows.where(F.col("others") > node_limit).select("node", "rep")
+        if depth == most_depth or large.isEmpty():
             break
-        place = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(HASHES)).cast("int") for j in range(branches)]
-        children = F.array(*[F.xxhash64("node", p, F.expr("sig").substr(p * 8 + 1, F.lit(8))) for p in place])
-        rows = large.select("rep", "node").join(reps, "rep").select("rep", F.explode(children).alias("node")).distinct()
-
-    rest = labelled(small_nodes.distinct()).join(reps.select("rep", "small"), "rep")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.select("node", "rep", "label", "small").repartition(n, "node").sortWithinPartitions("node")
-    pairs = cut(rest.mapInArrow(_pairs_in_nodes(least_agree), "a long, b long").where("a <> b").distinct(), "pairs")
-    links = links.unionByName(cut(verify(pairs), "links"))
-    if not again.isEmpty():  # an id with several texts: what shares one of its sets belongs to it as well
-        links = links.unionByName(twice)
-    label = cut(components(links, "a", "b"), "labels")
-    of_class = classes.select("key_a", "key_b", "n_shingles", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    of_class = of_class.select("key_a", "key_b", "n_shingles", F.coalesce("label", "rep").alias("root"))
-    out = sketches.select("doc_id", "n_shingles", "key_a", "key_b").join(of_class, ["key_a", "key_b", "n_shingles"], "left")
+        # 4/3 branches on average: what is less similar than 0.75 dies out from level to level
+        child = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(HASHES)).cast("int") for j in range(2)]
+        branch = [F.xxhash64("node", p, F.expr("sig").substr(p * 4 + 1, F.lit(4))) for p in child]
+        both = F.when(F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(3)) == 0, F.array(*branch)).otherwise(F.array(branch[0]))
+        rows = large.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(both).alias("node")).distinct()
+
+    # within a node: blocks of what is outside the largest part, against blocks of all
+    strips, chunks = (F.ceil(F.col(c) / node_limit).cast("int") for c in ("others", "size"))
+    own = lambda k, of: F.pmod(F.xxhash64("rep", F.lit(k)), of).cast("int")
+    upto = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    left = done.where("label <> major").select("node", "rep", "label", F.lit(0).alias("side"), own(1, strips).alias("i"), upto(chunks).alias("j"))
+    right = done.select("node", "rep", "label", F.lit(1).alias("side"), own(2, chunks).alias("j"), upto(strips).alias("i"))
+    dealt = left.unionByName(right).select(F.xxhash64("node", "i", "j").alias("grp"), "side", "rep", "label")
+    dealt = dealt.join(reps.select("rep", "small"), "rep").select("grp", "side", "rep", "label", "small")
+    dealt = dealt.repartition(n, "grp").sortWithinPartitions("grp")
+    dealt = cut(dealt.mapInArrow(_likely_in_groups(least_agree), "grp long, side int, rep long, label long"), "likely")
+    dealt = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").select("grp", "side", "rep", "label", "words")
+    dealt = dealt.repartition(n, "grp").sortWithinPartitions("grp")
+    links = links.unionByName(cut(dealt.mapInArrow(_links_in_groups, "a long, b long").distinct(), "node-links"))
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():  # an id with several texts belongs to the classes of all of them
+        twice = known.join(classes.select(*of_set, "rep"), of_set).where("doc_id <> rep")
+        links = links.unionByName(twice.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    label = cut(components(links, "a", "b"), "components")
+    of_class = classes.select(*of_set, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*of_set, F.coalesce("label", "rep").alias("root"))
+    out = sketches.select("doc_id", *of_set).join(of_class, of_set, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", root.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

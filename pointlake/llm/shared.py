@@ -11,11 +11,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where that setting is missing (tests on one machine) a temporary folder is made and set.
     """
+    if spark.conf.get(_ARROW_ROWS) == "10000":  # Spark's default; whole texts make such batches large
+        spark.conf.set(_ARROW_ROWS, "2000")
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
