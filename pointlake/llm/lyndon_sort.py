@@ -38,10 +38,40 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     smaller = [-1] * n
     finished = bytearray(n)
 
+    size = [len(own) for own in members]
     g = len(order) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        if own:
+        count = size[g]
+        if count == 1:  # most groups of most texts: one suffix, so one position grows, once
+            own = members[g]
+            i = own[0]
+            if len(own) > 1:
+                for i in own:
+                    if group[i] == g:
+                        break
+            p = i - 1
+            while p >= 0 and finished[p]:
+                p = smaller[p]
+            smaller[i] = p
+            finished[i] = 1
+            if p >= 0:
+                old, new = group[p], len(members)
+                length[p] += length[i]
+                if size[old] == 1:  # its group moves as a whole and keeps its place
+                    g = before[g]
+                    continue
+                size[old] -= 1
+                size.append(1)
+                members.append([p])
+                nxt = after[old]
+                after.append(nxt)
+                before.append(old)
+                after[old] = new
+                if nxt >= 0:
+                    before[nxt] = new
+                group[p] = new
+        elif count:
+            own = [i for i in members[g] if group[i] == g]
             grown: dict[int, int] = {}
             for i in own:
                 p = i - 1
@@ -66,6 +96,8 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             for old, k, some in moves:  # the most grown first: each goes right after the old group
                 new = len(members)
                 members.append(sorted(some))
+                size.append(len(some))
+                size[old] -= len(some)
                 nxt = after[old]
                 after.append(nxt)
                 before.append(old)
@@ -81,7 +113,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     at, g = 0, 0
     while g >= 0:
         place[g] = at
-        at += sum(1 for i in members[g] if group[i] == g)
+        at += size[g]
         g = after[g]
     out = [0] * n
     for k in range(-1, n):
