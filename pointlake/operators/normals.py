@@ -107,9 +107,8 @@ def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int =
 
 def remove_plane(points: DataFrame, planes: DataFrame, dist: float) -> DataFrame:
     """The points off the plane; all points of a cloud in which nothing else is left."""
-    marked = plane_inliers(points, planes, dist)
-    left = marked.groupBy("cloud_id").agg(F.min("inlier").alias("all_in"))
-    return marked.join(left, "cloud_id").where("not inlier or all_in").drop("inlier", "all_in")
+    marked = plane_inliers(points, planes, dist).withColumn("all_in", F.min("inlier").over(Window.partitionBy("cloud_id")))
+    return marked.where("not inlier or all_in").drop("inlier", "all_in")
 
 
 def sample_above_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int = 42) -> DataFrame:

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder named by ``spark.checkpoint.dir``; one of its own is set only where none is."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointlake-"))
+    return df.checkpoint()
+
+
 def radius_join(left: DataFrame, right: DataFrame, r: float, key: str = "cloud_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z")) -> DataFrame:
     """All pairs of one cloud within distance ``r`` (closed), with the squared distance ``d2``.
 
@@ -38,14 +48,14 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, r: float, key: str = "cl
         else:
             gap = [F.col(b) - F.col(a) for a, b in zip(lxyz, rxyz, strict=True)]
             met = todo.join(right, key).withColumn("d2", dot(gap, gap))
-        ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        ranked = cut_lineage(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         got = ranked.groupBy(key, id_col).agg(F.count("*").alias("got_"))
         full = got.join(todo.select(key, id_col, "size_"), [key, id_col]).where(F.col("got_") >= F.least(F.lit(k), F.col("size_"))).select(key, id_col)
         part = ranked.join(full, [key, id_col], "left_semi").drop("size_")
         found = part if found is None else found.unionByName(part)
         if step < most_rounds:
-            todo = todo.join(full, [key, id_col], "left_anti")
-            if step and todo.isEmpty():
+            todo = cut_lineage(todo.join(full, [key, id_col], "left_anti"))
+            if todo.isEmpty():
                 break
     return found
 
