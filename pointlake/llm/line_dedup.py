@@ -1,14 +1,15 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-The tokens of a line are its distinct five-word shingles (lower-cased; a shorter line is one token). Tokens
-are ordered by rarity: by the count of their hash bucket over all lines, then by hash, which is one order for
-all lines, so that two lines of similarity 0.75 or more share a token in the first quarter of both (prefix
-filter). Lines with equal token sets form one class, which stands at its first occurrence. A class goes if
+The tokens of a line are its distinct five-word shingles (lower-cased words between spaces; a shorter line is
+one token). Tokens are ordered by rarity: by the count over all lines of the hash bucket of their first word,
+which their own count cannot exceed, then by hash. That is one order for all lines, so that two lines of
+similarity 0.75 or more share a token in the first quarter of both (prefix filter). Lines with equal token sets form one class, which stands at its first occurrence. A class goes if
 an earlier class is similar to it; then the later occurrences of all classes go as well.
 
 Classes that share a prefix token are first compared with the earliest class of that token, which costs one
 pair per row however many classes share it. Those that find no match there are compared with every
-earlier class of their tokens, after length and positional filters. Jaccard is taken on the full sets.
+earlier class of their tokens. Pairs pass a length filter, a positional filter at each shared token, and a bound
+by the number of tokens shared in both prefixes; Jaccard is then taken on the full sets.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ PERCENT = 75
 _HASH = (1 << 56) - 1
 
 
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's words."""
+    return F.transform(F.filter(F.split(F.lower(line), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line, tokens (shingle hashes, unsorted) of every line that has words."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "s"))
-    words = lines.withColumn("w", F.filter(F.split(F.lower("s"), "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")).where("doc is not null and size(w) > 0")
-    return words.select("doc", "line", F.expr(f"transform(sequence(1, greatest(1, size(w) - {WORDS - 1})), i -> xxhash64(slice(w, i, {WORDS})))").alias("tokens"))
+    """doc, line, w (hashes of the words) of every line that has words."""
+    hashes = F.transform(F.split(F.col(text_col), "\n"), _hashes)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(hashes).alias("line", "w")).where("doc is not null and size(w) > 0")
 
 
 def rarity(lines: DataFrame) -> Column:
-    """A literal array: for each of BUCKETS hash buckets, 0 (rare) to 127 by the logarithm of its count of tokens."""
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(F.expr(f"cast(t & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
+    """A literal array: for each of BUCKETS hash buckets of words, 0 (rare) to 127 by the logarithm of its count."""
+    counts = lines.select(F.explode("w").alias("t")).groupBy(F.expr(f"cast(t & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
     ranks = ["0"] * BUCKETS
     for b, r in counts.select("b", F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("int")).collect():  # BUCKETS rows at most
         ranks[b] = str(r)
@@ -41,9 +46,15 @@ def rarity(lines: DataFrame) -> Column:
 
 
 def _ordered(lines: DataFrame, ranks: Column) -> DataFrame:
-    """tokens become sorted distinct keys: rarity above 56 bits of hash."""
-    keys = F.transform("tokens", lambda t: F.shiftleft(F.get(ranks, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit(_HASH))))
-    return lines.select("doc", "line", F.sort_array(F.array_distinct(keys)).alias("keys"))
+    """doc, line, keys: the sorted distinct tokens, each the rarity of its first word above 56 bits of hash."""
+
+    def key(i: Column) -> Column:
+        rare = F.get(ranks, F.get("w", i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        token = F.xxhash64(*[F.get("w", i + j) for j in range(WORDS)])
+        return F.shiftleft(rare, 56).bitwiseOR(token.bitwiseAND(F.lit(_HASH)))
+
+    every = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WORDS))
+    return lines.select("doc", "line", F.sort_array(F.array_distinct(F.transform(every, key))).alias("keys"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -69,12 +80,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = f"(100 + {PERCENT}) * (least(x_pos, y_pos) + least(x_n - x_pos, y_n - y_pos)) >= {PERCENT} * (x_n + y_n)"
     ids = ["x_doc", "x_line", "y_doc", "y_line"]
 
+    # what two lines have in common is in both prefixes, or after the shorter rest of one of them
+    after = f"greatest((({PERCENT} * x_n + 99) div 100), (({PERCENT} * y_n + 99) div 100)) - 1"
+    enough = f"(100 + {PERCENT}) * (c + {after}) >= {PERCENT} * (x_n + y_n)"
+
     def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """The later lines of those pairs whose full token sets are similar."""
-        pairs = cut(pairs.select(*ids).distinct(), f"{name}-pairs")
+        """The later lines of those pairs whose full token sets are similar; a row of ``pairs`` is a shared token."""
+        pairs = cut(pairs.groupBy(*ids, "x_n", "y_n").agg(F.count("*").alias("c")).where(enough).select(*ids), f"{name}-pairs")
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.select("doc").distinct(), "doc", "left_semi")
-        sets = _ordered(_lines(texts, "doc", "text"), ranks).join(wanted, ["doc", "line"], "left_semi")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "doc")
+        told = texts.select("doc", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.when(F.array_contains("lines", i), F.struct(i.alias("line"), s.alias("s")))), lambda x: x.isNotNull())).alias("at", "l"))
+        told = told.select("doc", "l.line", "l.s")
+        sets = _ordered(told.select("doc", "line", _hashes(F.col("s")).alias("w")), ranks)
         one, two = (sets.select(F.col("doc").alias(f"{p}_doc"), F.col("line").alias(f"{p}_line"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
         met = pairs.join(two, ["y_doc", "y_line"]).join(one, ["x_doc", "x_line"])
         met = met.withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
@@ -83,7 +100,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = similar(x.join(least, "token").where(f"{earlier} and {length} and {place}"), "star")
     open_x = x.join(star, ["x_doc", "x_line"], "left_anti")
     rest = open_x.join(y, "token").where(f"{earlier} and {length} and {place}")
-    rest = rest.join(least.select("token", F.col("y_doc").alias("l_doc"), F.col("y_line").alias("l_line")), "token").where("not (y_doc = l_doc and y_line = l_line)")
     matched = star.unionByName(similar(rest, "rest"))
 
     gone = classes.join(matched.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("gone")), ["doc", "line"], "left")
