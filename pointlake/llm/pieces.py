@@ -49,6 +49,7 @@ class Vocabulary:
         self.pieces = {p: (i, -round(scale * math.log(r + offset))) for r, (p, i) in enumerate(sorted(pieces.items(), key=lambda x: x[1]))}
         self.byte_score = -round(scale * math.log(len(pieces) + offset)) - 10 * scale
         self.longest = max(map(len, pieces), default=1)
+        self.table = {p[:k]: None for p in pieces for k in range(1, len(p))} | self.pieces  # None: only the beginning of a piece
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
 
     @classmethod
@@ -64,29 +65,49 @@ class Vocabulary:
             cls._read[path] = cls(plain, byte_ids, names)
         return cls._read[path]
 
+    def fallback(self, c: str) -> tuple[int, tuple[int, ...]]:
+        """Score and ids of a character that is no piece."""
+        raw = c.encode()
+        return self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)
+
     def steps(self, text: str, i: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """(length, score, ids) of what may start at ``i``."""
-        covered = False
-        for size in range(1, min(self.longest, len(text) - i) + 1):
-            found = self.pieces.get(text[i : i + size])
+        if self.table.get(text[i]) is None:
+            yield 1, *self.fallback(text[i])
+        for end in range(i + 1, min(len(text), i + self.longest) + 1):
+            found = self.table.get(text[i:end], 0)
+            if found == 0:
+                return
             if found:
-                covered |= size == 1
-                yield size, found[1], (found[0],)
-        if not covered:
-            raw = text[i].encode()
-            yield 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)
+                yield end - i, found[1], (found[0],)
 
     def encode(self, text: str) -> tuple[list[int], int]:
         """(ids, score) of the best segmentation of marked text; ties to the longer last piece."""
-        best, back = [0] + [NEVER] * len(text), [(0, ())] * (len(text) + 1)
-        for i in range(len(text)):
-            for size, score, ids in self.steps(text, i):
-                if best[i] + score > best[i + size]:
-                    best[i + size], back[i + size] = best[i] + score, (i, ids)
-        out, i = [], len(text)
+        n, table = len(text), self.table
+        best, back, said = [NEVER] * (n + 1), [0] * (n + 1), [()] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            base, end = best[i], i + 1
+            found = table.get(text[i])
+            if found is None:
+                score, ids = self.fallback(text[i])
+                if base + score > best[end]:
+                    best[end], back[end], said[end] = base + score, i, ids
+                if text[i] not in table:
+                    continue
+            while found != 0:
+                if found:
+                    score = base + found[1]
+                    if score > best[end]:
+                        best[end], back[end], said[end] = score, i, (found[0],)
+                end += 1
+                if end > n:
+                    break
+                found = table.get(text[i:end], 0)
+        out, i = [], n
         while i:
-            i, ids = back[i]
-            out.append(ids)
+            out.append(said[i])
+            i = back[i]
         return [x for ids in reversed(out) for x in ids], best[-1]
 
     def transfer(self, text: str, size: int) -> np.ndarray:
@@ -251,7 +272,7 @@ def encode_pieces(docs: DataFrame, path: str, giant: int = 65_536, chunk: int =
     pieces = large.select(key.alias("key"), "pl_text").dropDuplicates(["key"]).select("key", F.length("pl_text").alias("n"), "pl_text")
     pieces = pieces.select("key", "n", "pl_text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("i"))
     pieces = pieces.select("key", "i", "n", F.col("pl_text").substr(F.col("i") * chunk + 1, F.lit(chunk + longest)).alias("part"))
-    pieces = cut(pieces, "giant-chunks").repartition("key", "i")
+    pieces = cut(pieces, "giant-chunks").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i")
     states = pieces.mapInArrow(_matrices(path, chunk), "key string, i int, matrix binary").groupBy("key").applyInArrow(_states, "key string, i int, begin int, end int")
     traced = pieces.join(states, ["key", "i"]).select("key", "i", "n", "part", "begin", "end").mapInArrow(_backtrace(path, chunk), "key string, i int, ids array<int>")
     joined = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all")).select(F.col("key").alias("pl_joined"), F.flatten("all.ids").alias("token_ids"))
