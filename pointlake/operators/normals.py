@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import cross, dot, eigenvalues, eigenvector
-from .spatial import knn_join, radius_join
+from .spatial import cut_lineage, knn_join, radius_join
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -99,10 +99,11 @@ def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int =
     near = (F.abs(dot(("a", "b", "c"), ("x", "y", "z")) + F.col("d")) <= dist).cast("long")
     count = points.join(planes, "cloud_id").groupBy("cloud_id", "try", "a", "b", "c", "d").agg(F.sum(near).alias("n"))
     best = count.groupBy("cloud_id").agg(F.max(F.struct("n", F.col("try").alias("t"), "a", "b", "c", "d")).alias("m")).select("cloud_id", "m.a", "m.b", "m.c", "m.d")
+    best = cut_lineage(best)  # one row per cloud
     axes = principal_axes(plane_inliers(points, best, dist).where("inlier"), ("cloud_id",))
     n = F.col("n").cast("double")
     fit = axes.select("cloud_id", *[F.col("axis_min")[i].alias(c) for i, c in enumerate("abc")], *[(F.col(f"s{c}") / n).alias(f"g{c}") for c in "xyz"]).where("a is not null")
-    return fit.select("cloud_id", "a", "b", "c", (-dot(("a", "b", "c"), ("gx", "gy", "gz"))).alias("d"))
+    return cut_lineage(fit.select("cloud_id", "a", "b", "c", (-dot(("a", "b", "c"), ("gx", "gy", "gz"))).alias("d")))
 
 
 def remove_plane(points: DataFrame, planes: DataFrame, dist: float) -> DataFrame:
