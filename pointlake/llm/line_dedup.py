@@ -3,8 +3,8 @@
 The tokens of a line are its distinct five-word shingles (lower-cased words between spaces; a shorter line is
 one token). Tokens are ordered by rarity: by the count over all lines of the hash bucket of their first word,
 which their own count cannot exceed, then by hash. That is one order for all lines, so that two lines of
-similarity 0.75 or more share a token in the first quarter of both (prefix filter). Lines with equal token sets form one class, which stands at its first occurrence. A class goes if
-an earlier class is similar to it; then the later occurrences of all classes go as well.
+similarity 0.75 or more share a token in the first quarter of both (prefix filter). Lines whose lower-cased texts are equal form one class, which
+stands at its first occurrence. A class goes if an earlier class is similar to it; then the later occurrences of all classes go as well.
 
 Classes that share a prefix token are first compared with the earliest class of that token, which costs one
 pair per row however many classes share it. Those that find no match there are compared with every
@@ -14,10 +14,12 @@ by the number of tokens shared in both prefixes; Jaccard is then taken on the fu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 BUCKETS = 1 << 16
 WORDS = 5
@@ -26,35 +28,45 @@ _HASH = (1 << 56) - 1
 
 
 def _hashes(line: Column) -> Column:
-    """The hashes of a line's words."""
-    return F.transform(F.filter(F.split(F.lower(line), " "), lambda w: w != ""), lambda w: F.xxhash64(w))
+    """The hashes of the words of a lower-cased line."""
+    words, plain = F.split(line, " "), ~(line.contains("  ") | line.startswith(" ") | line.endswith(" "))
+    return F.transform(F.when(plain, words).otherwise(F.filter(words, lambda w: w != "")), lambda w: F.xxhash64(w))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, line, w (hashes of the words) of every line that has words."""
-    hashes = F.transform(F.split(F.col(text_col), "\n"), _hashes)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(hashes).alias("line", "w")).where("doc is not null and size(w) > 0")
+    """doc, line, the lower-cased text s and its two hashes ka and kb, of every line that has words."""
+    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("line", "s"))
+    return lines.where("doc is not null and trim(s) <> ''").select("doc", "line", "s", F.xxhash64("s").alias("ka"), F.xxhash64(F.lit(1), "s").alias("kb"))
 
 
 def rarity(lines: DataFrame) -> Column:
-    """A literal array: for each of BUCKETS hash buckets of words, 0 (rare) to 127 by the logarithm of its count."""
-    counts = lines.select(F.explode("w").alias("t")).groupBy(F.expr(f"cast(t & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
+    """A literal array: for each of BUCKETS hash buckets of words, 0 (rare) to 127 by the logarithm of its count, times 2**56."""
+    words = lines.select(F.explode(F.split("s", " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     ranks = ["0"] * BUCKETS
     for b, r in counts.select("b", F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("int")).collect():  # BUCKETS rows at most
-        ranks[b] = str(r)
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
+        ranks[b] = str(r << 56)
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
+
+
+def _token(w: Column, i: Column) -> Column:
+    """The token that begins with word ``i``, whose hash is ``w``."""
+    return F.xxhash64(w, *[F.get("w", i + j) for j in range(1, WORDS)])
+
+
+def _distinct(of: Callable[[Column, Column], Column]) -> Column:
+    """What ``of`` makes of the words that begin a token, once each."""
+    return F.array_distinct(F.slice(F.transform("w", of), F.lit(1), F.greatest(F.lit(1), F.size("w") - (WORDS - 1))))
 
 
 def _ordered(lines: DataFrame, ranks: Column) -> DataFrame:
-    """doc, line, keys: the sorted distinct tokens, each the rarity of its first word above 56 bits of hash."""
+    """``lines``, which have ``w``, with keys: the sorted distinct tokens, each the rarity of its first word above 56 bits of hash."""
 
-    def key(i: Column) -> Column:
-        rare = F.get(ranks, F.get("w", i).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        token = F.xxhash64(*[F.get("w", i + j) for j in range(WORDS)])
-        return F.shiftleft(rare, 56).bitwiseOR(token.bitwiseAND(F.lit(_HASH)))
+    def key(w: Column, i: Column) -> Column:
+        rare = F.get(ranks, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.coalesce(rare.bitwiseOR(_token(w, i).bitwiseAND(F.lit(_HASH))), F.lit(0))  # told never to be null, arrays sort as plain longs
 
-    every = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WORDS))
-    return lines.select("doc", "line", F.sort_array(F.array_distinct(F.transform(every, key))).alias("keys"))
+    return lines.select(*[c for c in lines.columns if c != "w"], F.sort_array(_distinct(key)).alias("keys"))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,15 +75,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lines without words are never removed. Null texts and rows without an id have no lines here. Rows that
     repeat an id are taken as one document: a line number that goes in one of them goes in all.
     """
-    raw = _lines(docs, id_col, text_col)
-    ranks = rarity(raw)
+    lines = _lines(docs, id_col, text_col)
+    ranks = rarity(lines)
     prefix = f"size(keys) - (({PERCENT} * size(keys) + 99) div 100) + 1"
-    lines = cut(_ordered(raw, ranks).select("doc", "line", F.xxhash64("keys").alias("ka"), F.xxhash64(F.lit(1), "keys").alias("kb"), F.size("keys").alias("n"), F.expr(f"slice(keys, 1, cast({prefix} as int))").alias("head")), "lines")
-    first = lines.groupBy("ka", "kb").agg(F.min(F.struct("doc", "line", "n", "head")).alias("m"))
+    heads = _ordered(lines.select("doc", "line", "ka", "kb", _hashes(F.col("s")).alias("w")), ranks)
+    heads = heads.select("doc", "line", "ka", "kb", F.size("keys").alias("n"), F.expr(f"slice(keys, 1, cast({prefix} as int))").alias("head"))
+    first = heads.groupBy("ka", "kb").agg(F.min(F.struct("doc", "line", "n", "head")).alias("m"))
     classes = cut(first.select("ka", "kb", "m.doc", "m.line", "m.n", "m.head"), "classes")
     tokens = classes.select("doc", "line", "n", F.posexplode("head").alias("pos", "token"))
-    often = tokens.groupBy("token").count().where("count > 1").select("token")
+    often = cut(tokens.groupBy("token").count().where("count > 1").select("token"), "often")
     shared = cut(tokens.join(often, "token"), "shared")
+    firsts = cut(classes.drop("n", "head"), "firsts")
+    discard(classes)
+    discard(often)
 
     x, y = (shared.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "line", "n", "pos")]) for p in "xy")
     least = shared.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "pos")).alias("m")).select("token", *[F.col(f"m.{c}").alias(f"y_{c}") for c in ("doc", "line", "n", "pos")])
@@ -80,18 +96,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     place = f"(100 + {PERCENT}) * (least(x_pos, y_pos) + least(x_n - x_pos, y_n - y_pos)) >= {PERCENT} * (x_n + y_n)"
     ids = ["x_doc", "x_line", "y_doc", "y_line"]
 
-    # what two lines have in common is in both prefixes, or after the shorter rest of one of them
-    after = f"greatest((({PERCENT} * x_n + 99) div 100), (({PERCENT} * y_n + 99) div 100)) - 1"
+    # what two lines have in common is in both prefixes, or after the prefix of one and after the last common token of the other
+    tail = f"({PERCENT} * {{0}}_n + 99) div 100 - 1".format
+    after = f"greatest(least({tail('x')}, y_n - 1 - y_last), least({tail('y')}, x_n - 1 - x_last))"
     enough = f"(100 + {PERCENT}) * (c + {after}) >= {PERCENT} * (x_n + y_n)"
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """The later lines of those pairs whose full token sets are similar; a row of ``pairs`` is a shared token."""
-        pairs = cut(pairs.groupBy(*ids, "x_n", "y_n").agg(F.count("*").alias("c")).where(enough).select(*ids), f"{name}-pairs")
+        pairs = cut(pairs.groupBy(*ids, "x_n", "y_n").agg(F.count("*").alias("c"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last")).where(enough).select(*ids), f"{name}-pairs")
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "doc")
-        told = texts.select("doc", F.posexplode(F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.when(F.array_contains("lines", i), F.struct(i.alias("line"), s.alias("s")))), lambda x: x.isNotNull())).alias("at", "l"))
-        told = told.select("doc", "l.line", "l.s")
-        sets = _ordered(told.select("doc", "line", _hashes(F.col("s")).alias("w")), ranks)
+        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(F.col(text_col)).alias("text")).join(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "doc")
+        told = texts.select("doc", F.split("text", "\n").alias("parts"), "lines").select("doc", "parts", F.explode("lines").alias("line"))
+        told = told.select("doc", "line", F.get("parts", F.col("line")).alias("s")).where("s is not null")
+        sets = told.select("doc", "line", _hashes(F.col("s")).alias("w")).select("doc", "line", _distinct(_token).alias("keys"))
         one, two = (sets.select(F.col("doc").alias(f"{p}_doc"), F.col("line").alias(f"{p}_line"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
         met = pairs.join(two, ["y_doc", "y_line"]).join(one, ["x_doc", "x_line"])
         met = met.withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
@@ -102,9 +119,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = open_x.join(y, "token").where(f"{earlier} and {length} and {place}")
     matched = star.unionByName(similar(rest, "rest"))
 
-    gone = classes.join(matched.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("gone")), ["doc", "line"], "left")
+    gone = firsts.join(matched.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("gone")), ["doc", "line"], "left")
     gone = gone.select("ka", "kb", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("doc", "line", "ka", "kb").join(gone, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line").select("doc", "line").distinct()
+    met = lines.select("doc", "line", "ka", "kb").join(gone, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line")
+    out = cut(met.select("doc", "line").distinct(), "removed-lines")
+    for table in (shared, firsts, star):
+        discard(table)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:

@@ -55,6 +55,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``cut`` gave, once all that was made from it is cut as well."""
+    files = table.inputFiles()
+    if files:
+        _remove(table.sparkSession, files[0].rpartition("/")[0])
+
+
 def local_path(uri: str) -> str | None:
     """The plain path of a ``file:`` URI or path; None for other stores."""
     if uri.startswith("file:"):
