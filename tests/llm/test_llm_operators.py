@@ -201,6 +201,17 @@ def test_secret_spans(spark):
     assert len(merged.visits) < len(tree.visits) and merged.log_likelihood("dhhd") > merged.log_likelihood("UUUU")
 
 
+def test_secret_scan_adds_every_unlabelled_credential(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    secret = lambda: "tk_" + "".join(rng.choice(letters, 29))
+    plain = lambda: f"{words(rng, 20)} {rng.integers(10**15, 10**16)} {rng.integers(1900, 2000)} " + words(rng, 4).replace(" ", "")
+    texts = [f"{plain()} token = {secret()} {plain()}" for _ in range(60)] + [f"{plain()} {secret()} {plain()}" for _ in range(40)] + [plain() for _ in range(40)]
+    rows = secret_scan.scan_secrets(docs(spark, texts)).orderBy("doc_id").collect()
+    want = ["" if "tk_" not in t or "token" in t else f"grammar:{t.index('tk_')}:{t.index('tk_') + 32}" for t in texts]
+    assert [",".join(x for x in r.spans.split(",") if x.startswith("grammar")) for r in rows] == want
+
+
 def vectors(spark, x):
     return spark.createDataFrame([(i, None if v is None else [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
 
