@@ -6,12 +6,14 @@ first by a hash of the whole set, so that exact copies of any number cost one ro
 document is compared with the centre of each of its nodes, the one that shares most tokens with others (a star,
 linear in the node), which connects most copies. A node whose documents are then all connected is finished: no comparison in it can add anything.
 In other nodes, the documents outside the largest connected part are compared with all documents of the node;
-while they are more than ``node_limit``, the node branches by one or two further minwise tokens, 4/3 on
-average, chosen by a hash of its path. Every link is confirmed on the full sets.
-
-A pair of similarity s meets in a node that is compared at once with probability ``1 - (1 - s)**trees``:
-1 - 1e-6 at 0.75 by default; where all nodes of a pair have branched once, 1 - (1 - 0.75 * 0.81)**10 = 1 - 9e-5 at
-0.75 and more above it. Comparisons
+while they are more than ``node_limit``, the node branches by two further minwise tokens,
+chosen by a hash of its path. Every link is confirmed on the full sets.
+
+A pair of similarity s meets in a node with probability ``1 - (1 - s f)**trees``, where f is 1 in roots and
+``1 - (1 - s f)**2`` by the f of the level below. As all levels draw from the same 64 tokens, the share of them that agree
+stands for s; averaged over it, a pair of exactly 0.75 whose nodes all branch is found with 1 - 2e-6 (no branching),
+1 - 2e-5 (depth 1), 1 - 6e-5 (2), 1 - 1.5e-4 (4), 1 - 2.6e-4 (7) and 1 - 3.4e-4 (12); 0.80 with 1 - 2.5e-5 at 12.
+Comparisons
 are skipped only where 64 byte-sized minhashes agree in fewer than ``least_agree`` places (below 0.75 by more
 than 4.5 standard deviations).
 """
@@ -189,6 +191,16 @@ def _likely_in_groups(least: int):
     return lambda batches: _by_group(batches, emit)
 
 
+def _branches(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (rep, node) of the next level: two further minwise tokens for each document of a node.
+
+    A pair of 0.75 has 1.5 children expected, so that it doesn't die out from level to level.
+    """
+    child = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(HASHES)).cast("int") for j in range(2)]
+    branch = [F.xxhash64("node", p, F.expr("sig").substr(p * 4 + 1, F.lit(4))) for p in child]
+    return large.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(F.array(*branch)).alias("node")).distinct()
+
+
 def minhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -246,11 +258,7 @@ def minhash_components(
         large = rows.where(F.col("others") > node_limit).select("node", "rep")
         if depth == most_depth or large.isEmpty():
             break
-        # 4/3 branches on average: what is less similar than 0.75 dies out from level to level
-        child = [F.pmod(F.xxhash64("node", F.lit(j)), F.lit(HASHES)).cast("int") for j in range(2)]
-        branch = [F.xxhash64("node", p, F.expr("sig").substr(p * 4 + 1, F.lit(4))) for p in child]
-        both = F.when(F.pmod(F.xxhash64("node", F.lit("branch")), F.lit(3)) == 0, F.array(*branch)).otherwise(F.array(branch[0]))
-        rows = large.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(both).alias("node")).distinct()
+        rows = _branches(large, reps)
 
     # within a node: blocks of what is outside the largest part, against blocks of all
     strips, chunks = (F.ceil(F.col(c) / node_limit).cast("int") for c in ("others", "size"))

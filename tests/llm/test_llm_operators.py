@@ -48,6 +48,22 @@ def test_minhash_equals_brute_force(spark):
     assert got == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(texts))}
 
 
+def test_minhash_pairs_survive_in_deep_nodes(spark):
+    """Pairs that agree in 48 of 64 tokens, under ten roots each, after seven levels of branching."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(300):
+        a, b = rng.integers(0, 1 << 32, (2, 64), dtype=np.uint32)
+        same = rng.permutation(64) < 48
+        rows += [(2 * k, a.tobytes(), same), (2 * k + 1, np.where(same, a, b).astype(np.uint32).tobytes(), same)]
+    reps = spark.createDataFrame([(r, bytearray(sig)) for r, sig, _ in rows], "rep long, sig binary")
+    large = spark.createDataFrame([(r, r // 2 * 10 + t) for r, _, same in rows for t in range(10) if same[t]], "rep long, node long")
+    for _ in range(7):
+        large = minhash_dedup._branches(large, reps)
+        both = large.groupBy("node").count().where("count > 1").select("node")  # what is alone in a node is done
+        large = large.join(both, "node").select("rep", "node").localCheckpoint()
+    assert large.select("rep").distinct().count() >= 596
+
+
 def test_minhash_without_ids_or_rows(spark):
     out = minhash_dedup.minhash_components(docs(spark, ["a b c d e", "a b c d e", "a b c d e"], [None, 7, 7])).collect()
     assert [(r.doc_id, r.component_id, r.kept) for r in sorted(out, key=lambda r: r.doc_id or 0)] == [(None, None, True), (7, 7, True), (7, 7, True)]
