@@ -1,36 +1,34 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
-The tokens of a line are its distinct five-word shingles (lower-cased words between spaces; a shorter line is
-one token). Tokens are ordered by rarity: by the count over all lines of the hash bucket of their first word,
-which their own count cannot exceed, then by hash. That is one order for all lines, so that two lines of
-similarity 0.75 or more share a token in the first quarter of both (prefix filter). Lines whose lower-cased texts are equal form one class, which
-stands at its first occurrence. A class goes if an earlier class is similar to it; then the later occurrences of all classes go as well.
-
-Classes that share a prefix token are first compared with the earliest class of that token, which costs one
-pair per row however many classes share it. Those that find no match there are compared with every
-earlier class of their tokens. Pairs pass a length filter, a positional filter at each shared token, and a bound
-by the number of tokens shared in both prefixes; Jaccard is then taken on the full sets.
+The tokens of a line are its distinct five-word shingles (lower-cased words between spaces; a shorter line is one
+token). Lines whose lower-cased texts are equal form one class, which stands at its first occurrence. A class goes if
+an earlier class is similar to it (Jaccard 0.75 or more); then the later occurrences of all classes go as well.
+
+For any one order of tokens, similar lines share a token in the first quarter of both (prefix filter). It is used twice:
+
+* With tokens in the order of their hashes, prefixes need no knowledge of the corpus. Tokens that stand in prefixes of at
+  most ``HOT`` classes give pairs at once, by length, position and the number of shared prefix tokens.
+* Classes that have a token in common with more others than that are hot. A pair that isn't found through a token of
+  few classes shares one of many, so both of its classes are hot. The tokens of hot classes are counted, and ordered by rarity:
+  tokens of a passage that many lines hold then stand last, and a class whose tokens are mostly its own drops out. What
+  is left is compared first with the earliest class of each prefix token (one pair a row, however many classes share
+  it), and what finds no match there with every earlier class of its tokens, behind the length and positional filters
+  and an upper bound of the overlap from 512-bit maps of the token sets.
+
+Jaccard is then taken on the full sets. ``HOT`` decides the way, not the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, discard
+from .shared import cut, discard, fresh
 
-BUCKETS = 1 << 16
 WORDS = 5
 PERCENT = 75
-_HASH = (1 << 56) - 1
-
-
-def _hashes(line: Column) -> Column:
-    """The hashes of the words of a lower-cased line."""
-    words, plain = F.split(line, " "), ~(line.contains("  ") | line.startswith(" ") | line.endswith(" "))
-    return F.transform(F.when(plain, words).otherwise(F.filter(words, lambda w: w != "")), lambda w: F.xxhash64(w))
+HOT = 32
+MAPS = 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,34 +37,86 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.where("doc is not null and trim(s) <> ''").select("doc", "line", "s", F.xxhash64("s").alias("ka"), F.xxhash64(F.lit(1), "s").alias("kb"))
 
 
-def rarity(lines: DataFrame) -> Column:
-    """A literal array: for each of BUCKETS hash buckets of words, 0 (rare) to 127 by the logarithm of its count, times 2**56."""
-    words = lines.select(F.explode(F.split("s", " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    ranks = ["0"] * BUCKETS
-    for b, r in counts.select("b", F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("int")).collect():  # BUCKETS rows at most
-        ranks[b] = str(r << 56)
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
+def _with_keys(lines: DataFrame) -> DataFrame:
+    """``lines`` with keys, the sorted distinct token hashes, in place of the text s."""
+    words, plain = F.split("s", " "), ~(F.col("s").contains("  ") | F.col("s").startswith(" ") | F.col("s").endswith(" "))
+    hashed = F.transform(F.when(plain, words).otherwise(F.filter(words, lambda w: w != "")), lambda w: F.xxhash64(w))
+
+    def token(w: Column, i: Column) -> Column:  # told never to be null, arrays sort as plain longs
+        return F.coalesce(F.xxhash64(w, *[F.get("w", i + j) for j in range(1, WORDS)]), F.lit(0))
+
+    keys = F.array_distinct(F.slice(F.transform("w", token), F.lit(1), F.greatest(F.lit(1), F.size("w") - (WORDS - 1))))
+    rest = [c for c in lines.columns if c != "s"]
+    return lines.select(*rest, hashed.alias("w")).select(*rest, F.sort_array(keys).alias("keys"))
+
 
+class _Numbers:
+    """One number for a document and a line, in their order: a long where it fits, else a decimal."""
 
-def _token(w: Column, i: Column) -> Column:
-    """The token that begins with word ``i``, whose hash is ``w``."""
-    return F.xxhash64(w, *[F.get("w", i + j) for j in range(1, WORDS)])
+    def __init__(self, classes: DataFrame):
+        low, high, most = classes.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
+        self.low, self.step = low or 0, 1 << (most or 0).bit_length()
+        self.type = "bigint" if ((high or 0) - self.low + 1) * self.step < 1 << 62 else "decimal(38,0)"
 
+    def id(self) -> Column:
+        wide = "bigint" if self.type == "bigint" else "decimal(19,0)"
+        doc = F.col("doc").cast(wide) - F.lit(self.low).cast(wide)
+        return (doc * F.lit(self.step).cast(wide)).cast(self.type) + F.col("line").cast(self.type)
 
-def _distinct(of: Callable[[Column, Column], Column]) -> Column:
-    """What ``of`` makes of the words that begin a token, once each."""
-    return F.array_distinct(F.slice(F.transform("w", of), F.lit(1), F.greatest(F.lit(1), F.size("w") - (WORDS - 1))))
+    def doc(self) -> Column:
+        return (F.expr(f"id div {self.step}") + F.lit(self.low)).cast("bigint")
 
+    def line(self) -> Column:
+        return F.expr(f"cast(id % {self.step} as int)")
 
-def _ordered(lines: DataFrame, ranks: Column) -> DataFrame:
-    """``lines``, which have ``w``, with keys: the sorted distinct tokens, each the rarity of its first word above 56 bits of hash."""
 
-    def key(w: Column, i: Column) -> Column:
-        rare = F.get(ranks, w.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.coalesce(rare.bitwiseOR(_token(w, i).bitwiseAND(F.lit(_HASH))), F.lit(0))  # told never to be null, arrays sort as plain longs
+_LEAST = f"(({PERCENT} * {{0}} + 99) div 100)"  # of a line's tokens, a similar line has so many at least
+_LENGTH = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
+_PLACE = f"(100 + {PERCENT}) * (least(x_pos, y_pos) + least(x_n - x_pos, y_n - y_pos)) >= {PERCENT} * (x_n + y_n)"
 
-    return lines.select(*[c for c in lines.columns if c != "w"], F.sort_array(_distinct(key)).alias("keys"))
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "token"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The later classes (id) of those pairs (x_id, y_id) whose full token sets are similar."""
+    x, y = (sets.select(F.col("id").alias(f"{p}_id"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
+    met = pairs.join(y, "y_id").join(x, "x_id").withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
+    return cut(met.where(f"100 * both >= {PERCENT} * (size(x_keys) + size(y_keys) - both)").select(F.col("x_id").alias("id")).distinct(), name)
+
+
+def _pairs_of_few(shared: DataFrame, hot: DataFrame) -> DataFrame:
+    """(x_id, y_id): pairs that share prefix tokens of few classes, y being the earlier, unless both are hot."""
+    few = shared.where(F.col("times") <= HOT).join(hot.withColumn("hot", F.lit(True)), "id", "left")
+    few = few.select("token", "id", "n", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
+    met = _side(few, "x").join(_side(few, "y"), "token").where(f"y_id < x_id and not (x_hot and y_hot) and {_LENGTH} and {_PLACE}")
+    # what two lines have in common is in both prefixes, or after the prefix of one and after the last common token of the other
+    after = f"greatest(least({_LEAST.format('x_n')} - 1, y_n - 1 - y_last), least({_LEAST.format('y_n')} - 1, x_n - 1 - x_last))"
+    enough = f"(100 + {PERCENT}) * (c + {after}) >= {PERCENT} * (x_n + y_n)"
+    met = met.groupBy("x_id", "y_id", "x_n", "y_n").agg(F.count("*").alias("c"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last"))
+    return met.where(enough).select("x_id", "y_id")
+
+
+def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
+    """token, id, n, m (tokens that another class has), pos and maps b0 .. b7 of these, of the prefixes of hot classes in the order of rarity.
+
+    A class whose shared tokens are fewer than a similar class needs has none. ``pos`` counts its own tokens first.
+    """
+    tokens = sets.where("hot").select("id", F.size("keys").alias("n"), F.explode("keys").alias("token")).repartition(parts, "token")
+    # both readers of the exchange ask for all its columns, so that it is made once
+    times = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("n").alias("less")).where("times > 1 and low is not null and less > 0").select("token", "times")
+    shared = tokens.join(times.hint("shuffle_hash"), "token")
+    bit = [F.bit_or(F.when(F.expr(f"shiftright(token, 6) & {MAPS - 1}") == k, F.expr("shiftleft(1L, cast(token & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(MAPS)]
+    of = shared.groupBy("id", "n").agg(F.collect_list(F.struct("times", "token")).alias("all"), *bit).withColumn("need", F.expr(_LEAST.format("n")).cast("int"))
+    of = of.where("size(all) >= need").select("id", "n", *[f"b{k}" for k in range(MAPS)], F.size("all").alias("m"), F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.size("all") - F.col("need") + 1)).alias("at", "t"))
+    return of.select("t.token", "id", "n", "m", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), *[f"b{k}" for k in range(MAPS)])
+
+
+def _overlap() -> str:
+    """Whether the maps leave room for similarity: a bit that one has and the other hasn't is a token not shared."""
+    lone = lambda a, b: " + ".join(f"bit_count({a}_b{k} & ~{b}_b{k})" for k in range(MAPS))
+    return f"(100 + {PERCENT}) * least(x_m - ({lone('x', 'y')}), y_m - ({lone('y', 'x')})) >= {PERCENT} * (x_n + y_n)"
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,55 +125,46 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lines without words are never removed. Null texts and rows without an id have no lines here. Rows that
     repeat an id are taken as one document: a line number that goes in one of them goes in all.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = _lines(docs, id_col, text_col)
-    ranks = rarity(lines)
-    prefix = f"size(keys) - (({PERCENT} * size(keys) + 99) div 100) + 1"
-    heads = _ordered(lines.select("doc", "line", "ka", "kb", _hashes(F.col("s")).alias("w")), ranks)
-    heads = heads.select("doc", "line", "ka", "kb", F.size("keys").alias("n"), F.expr(f"slice(keys, 1, cast({prefix} as int))").alias("head"))
+    head = F.expr(f"slice(keys, 1, cast(size(keys) - {_LEAST.format('size(keys)')} + 1 as int))")
+    heads = _with_keys(lines).select("ka", "kb", "doc", "line", F.size("keys").alias("n"), head.alias("head"))
     first = heads.groupBy("ka", "kb").agg(F.min(F.struct("doc", "line", "n", "head")).alias("m"))
     classes = cut(first.select("ka", "kb", "m.doc", "m.line", "m.n", "m.head"), "classes")
-    tokens = classes.select("doc", "line", "n", F.posexplode("head").alias("pos", "token"))
-    often = cut(tokens.groupBy("token").count().where("count > 1").select("token"), "often")
-    shared = cut(tokens.join(often, "token"), "shared")
-    firsts = cut(classes.drop("n", "head"), "firsts")
+    numbers = _Numbers(classes)
+
+    tokens = classes.select(numbers.id().alias("id"), "n", F.posexplode("head").alias("pos", "token")).repartition(parts, "token")
+    # both readers of the exchange ask for all its columns, so that it is made once
+    often = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("n").alias("less"), F.min("pos").alias("place"))
+    often = often.where("times > 1 and low is not null and less > 0 and place >= 0").select("token", "times")
+    shared = cut(tokens.join(often.hint("shuffle_hash"), "token"), "shared")
+    firsts = cut(classes.select("ka", "kb", numbers.id().alias("id")), "firsts")
     discard(classes)
-    discard(often)
-
-    x, y = (shared.select("token", *[F.col(c).alias(f"{p}_{c}") for c in ("doc", "line", "n", "pos")]) for p in "xy")
-    least = shared.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "pos")).alias("m")).select("token", *[F.col(f"m.{c}").alias(f"y_{c}") for c in ("doc", "line", "n", "pos")])
-    earlier = "(y_doc < x_doc or y_doc = x_doc and y_line < x_line)"
-    length = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
-    place = f"(100 + {PERCENT}) * (least(x_pos, y_pos) + least(x_n - x_pos, y_n - y_pos)) >= {PERCENT} * (x_n + y_n)"
-    ids = ["x_doc", "x_line", "y_doc", "y_line"]
-
-    # what two lines have in common is in both prefixes, or after the prefix of one and after the last common token of the other
-    tail = f"({PERCENT} * {{0}}_n + 99) div 100 - 1".format
-    after = f"greatest(least({tail('x')}, y_n - 1 - y_last), least({tail('y')}, x_n - 1 - x_last))"
-    enough = f"(100 + {PERCENT}) * (c + {after}) >= {PERCENT} * (x_n + y_n)"
 
-    def similar(pairs: DataFrame, name: str) -> DataFrame:
-        """The later lines of those pairs whose full token sets are similar; a row of ``pairs`` is a shared token."""
-        pairs = cut(pairs.groupBy(*ids, "x_n", "y_n").agg(F.count("*").alias("c"), F.max("x_pos").alias("x_last"), F.max("y_pos").alias("y_last")).where(enough).select(*ids), f"{name}-pairs")
-        wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.lower(F.col(text_col)).alias("text")).join(wanted.groupBy("doc").agg(F.collect_set("line").alias("lines")), "doc")
-        told = texts.select("doc", F.split("text", "\n").alias("parts"), "lines").select("doc", "parts", F.explode("lines").alias("line"))
-        told = told.select("doc", "line", F.get("parts", F.col("line")).alias("s")).where("s is not null")
-        sets = told.select("doc", "line", _hashes(F.col("s")).alias("w")).select("doc", "line", _distinct(_token).alias("keys"))
-        one, two = (sets.select(F.col("doc").alias(f"{p}_doc"), F.col("line").alias(f"{p}_line"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
-        met = pairs.join(two, ["y_doc", "y_line"]).join(one, ["x_doc", "x_line"])
-        met = met.withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
-        return cut(met.where(f"100 * both >= {PERCENT} * (size(x_keys) + size(y_keys) - both)").select("x_doc", "x_line").distinct(), name)
-
-    star = similar(x.join(least, "token").where(f"{earlier} and {length} and {place}"), "star")
-    open_x = x.join(star, ["x_doc", "x_line"], "left_anti")
-    rest = open_x.join(y, "token").where(f"{earlier} and {length} and {place}")
-    matched = star.unionByName(similar(rest, "rest"))
-
-    gone = firsts.join(matched.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("gone")), ["doc", "line"], "left")
-    gone = gone.select("ka", "kb", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    met = lines.select("doc", "line", "ka", "kb").join(gone, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line")
+    hot = cut(shared.where(F.col("times") > HOT).select("id").distinct(), "hot")
+    few = cut(_pairs_of_few(shared, hot), "few-pairs")
+    discard(shared)
+
+    ids = few.select(F.col("x_id").alias("id")).unionByName(few.select(F.col("y_id").alias("id"))).withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
+    wanted = ids.groupBy("id").agg(F.max("hot").alias("hot")).select(numbers.doc().alias("doc"), F.struct(numbers.line().alias("line"), "id", "hot").alias("at"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_list("at").alias("some")), "doc")
+    told = texts.select(F.split(F.lower("text"), "\n").alias("parts"), "some").select("parts", F.explode("some").alias("at"))
+    told = told.select("at.id", "at.hot", F.get("parts", F.col("at.line")).alias("s")).where("trim(s) <> ''")
+    sets = cut(_with_keys(told), "sets")
+
+    rare = cut(_rare_prefixes(sets, parts), "rare")
+    least = _side(rare.groupBy("token").agg(F.min(F.struct("id", "n", "m", "pos", *[f"b{k}" for k in range(MAPS)])).alias("m")).select("token", "m.*"), "y")
+    near = f"y_id < x_id and {_LENGTH} and {_PLACE} and {_overlap()}"
+    star = _side(rare, "x").join(least, "token").where(near).select("x_id", "y_id").distinct()
+    found = _similar(star.unionByName(few).distinct(), sets, "found")
+    open_ = rare.join(found, "id", "left_anti")
+    rest = _side(open_, "x").join(_side(rare, "y"), "token").where(near).select("x_id", "y_id").distinct()
+    gone = found.unionByName(_similar(rest, sets, "rest")).select("id", F.lit(True).alias("gone"))
+
+    said = firsts.join(gone, "id", "left").select("ka", "kb", numbers.doc().alias("first_doc"), numbers.line().alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    met = lines.select("doc", "line", "ka", "kb").join(said, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line")
     out = cut(met.select("doc", "line").distinct(), "removed-lines")
-    for table in (shared, firsts, star):
+    for table in (firsts, hot, few, sets, rare, found):
         discard(table)
     return out
 
@@ -131,12 +172,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with later copies and near-copies of lines taken out of the text; every row and column stays.
 
-    The lines left are joined as they stood; null texts stay null, and a document may become empty.
-    ``count_col`` names a column for the number of lines removed (an input column of that name is replaced).
+    The lines left are joined as they stood; null texts stay null, and a document may become empty. A very long text is
+    one row here, its lines are rows of their own in the join. Of equal lines the first in the order of (id, line) stays.
+    ``count_col`` names a column for the number of lines removed (an input column of that name is replaced); other
+    columns may have any names.
     """
-    per_doc = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias("removed_doc_")).agg(F.collect_list("line").alias("removed_lines_"))
-    met = docs.join(per_doc, F.col(id_col).cast("long") == F.col("removed_doc_"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda s, i: ~F.array_contains("removed_lines_", i)), "\n")
-    text = F.when(F.col("removed_lines_").isNull(), F.col(text_col)).otherwise(left)
-    count = [F.when(F.col("removed_lines_").isNull(), 0).otherwise(F.size("removed_lines_")).alias(count_col)] if count_col else []
-    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c != count_col], *count)
+    key, gone = fresh(docs, "doc"), fresh(docs, "gone")
+    per_doc = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set("line")).alias(gone))
+    met = docs.join(per_doc, F.col(id_col).cast("long") == F.col(key), "left")
+    parts = F.split(F.col(text_col), "\n")
+    edges = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(parts)))
+
+    def between(of: Column) -> Column:
+        """The lines between one removed line and the next, for all of them."""
+        edge = lambda k: F.get(of["edges"], k)
+        runs = F.transform(F.sequence(F.lit(1), F.size(of["edges"]) - 1), lambda k: F.slice(of["parts"], edge(k - 1) + 2, F.greatest(F.lit(0), edge(k) - edge(k - 1) - 1)))
+        return F.array_join(F.flatten(runs), "\n")
+
+    left = F.transform(F.array(F.struct(parts.alias("parts"), edges.alias("edges"))), between)[0]  # so that the text is split once
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
+    count = [F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(count_col)] if count_col else []
+    return met.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col], *count)

@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,13 +18,15 @@ _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made and set.
+    Only where that setting is missing and all runs on one machine, as in tests, a temporary folder is made and set.
     """
     if spark.conf.get(_ARROW_ROWS) == "10000":  # Spark's default; whole texts make such batches large
         spark.conf.set(_ARROW_ROWS, "2000")
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="pointlake-")
         spark.sparkContext.setCheckpointDir(found)
@@ -39,13 +42,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_LIVE: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it is removed when the driver process ends."""
+    """A new path below the shared folder; it is removed by ``release``, or when the driver process ends."""
     path = f"{shared_dir(spark)}/pointlake/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _LIVE[path] = spark
     return path
 
 
+def live() -> set[str]:
+    """The paths that ``scratch`` gave and that weren't removed."""
+    return set(_LIVE)
+
+
+def release(paths: Iterable[str]) -> None:
+    """Remove scratch tables of which nothing is read any more."""
+    for path in list(paths):
+        if path in _LIVE:
+            _remove(_LIVE.pop(path), path)
+
+
+atexit.register(lambda: release(_LIVE))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while f"{name}_{k}" in taken:
+        k += 1
+    return f"{name}_{k}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: later failures restart from the files."""
     path = scratch(df.sparkSession, name)
@@ -59,7 +88,10 @@ def discard(table: DataFrame) -> None:
     """Remove a table that ``cut`` gave, once all that was made from it is cut as well."""
     files = table.inputFiles()
     if files:
-        _remove(table.sparkSession, files[0].rpartition("/")[0])
+        folder = files[0].rpartition("/")[0]
+        _remove(table.sparkSession, folder)
+        for path in [p for p in _LIVE if p.rpartition("/")[2] == folder.rpartition("/")[2]]:
+            del _LIVE[path]
 
 
 def local_path(uri: str) -> str | None:

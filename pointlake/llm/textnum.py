@@ -1,7 +1,12 @@
 """Vectorised text handling on Arrow string buffers: words, 64-bit hashes of byte ranges, shingles.
 
 All functions take whole texts as UTF-8 bytes straight from Arrow, without making Python strings.
-Hashes of byte ranges come from one prefix sum of ``table[byte] * BASE**position`` modulo 2**64.
+
+``hashes`` is for ranges such as words: eight bytes at a time go through a bijective scrambling that is chained, so
+that ranges of up to eight bytes never share a hash and longer ones only by chance. ``prefix`` and ``ranges``
+are for overlapping ranges: one prefix sum, modulo 2**64, of a random number for each pair of neighbouring bytes times
+a power of a base. A plain sum over single bytes would give one and the same value to a Thue-Morse string and
+its complement; with pairs, the ones that lie across the joints of such strings don't cancel.
 """
 
 from __future__ import annotations
@@ -12,15 +17,17 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _rng = np.random.default_rng(20240229)
-EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-FOLDED = EXACT.copy()
-FOLDED[65:91] = EXACT[97:123]
+_PAIRS = _rng.integers(0, 1 << 63, (2, 1 << 16), dtype=np.uint64) * U64(2) + U64(1)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: list[np.ndarray] = []
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_SEED = U64(0x2545F4914F6CDD1D)
+_CHAINED = 4
+_POWERS: dict[int, list[np.ndarray]] = {}
 
 
 def _series(base: int, n: int) -> np.ndarray:
@@ -33,12 +40,12 @@ def _series(base: int, n: int) -> np.ndarray:
     return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for the next call."""
-    if not _POWERS or len(_POWERS[0]) < n:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n, kept for the next call."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
         size = 1 << max(21, (n - 1).bit_length())
-        _POWERS[:] = [_series(_BASE, size), _series(_INVERSE, size)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        _POWERS[which] = [_series(_BASES[which], size), _series(pow(_BASES[which], -1, 1 << 64), size)]
+    return _POWERS[which][0][:n], _POWERS[which][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,18 +85,45 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         row = min(end, n)
 
 
-def prefix(data: np.ndarray, table: np.ndarray = EXACT) -> np.ndarray:
-    """Prefix sums with a leading zero; see ``ranges``."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[:-1], out=out[1:])
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), equal for equal bytes wherever they stand."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))  # the eight bytes from every place on
+    size = end - start
+    out = mix((eight[start] & _MASKS[np.clip(size, 0, 8)]) ^ (size.astype(np.uint64) * _SEED))
+    for j in range(1, _CHAINED):
+        some = np.flatnonzero(size > 8 * j)
+        if not len(some):
+            return out
+        out[some] = mix(out[some] ^ (eight[start[some] + 8 * j] & _MASKS[np.minimum(size[some] - 8 * j, 8)]))
+    some = np.flatnonzero(size > 8 * _CHAINED)
+    if len(some):  # what is left of long ranges: every piece scrambled with its number
+        count = (size[some] + 7) // 8 - _CHAINED
+        first = np.cumsum(count) - count
+        number = np.arange(count.sum()) - np.repeat(first, count) + _CHAINED
+        at = np.repeat(start[some], count) + 8 * number
+        left = np.minimum(np.repeat(end[some], count) - at, 8)
+        piece = mix((eight[at] & _MASKS[left]) ^ mix(number.astype(np.uint64) * _SEED))
+        out[some] = mix(out[some] ^ np.add.reduceat(piece * _SEED, first))
     return out
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), equal for equal bytes wherever they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums over the pairs of neighbouring bytes, with a leading zero; see ``ranges``."""
+    n = max(0, len(data) - 1)
+    up, _ = powers(n + 1, which)
+    pair = data[:-1].astype(np.uint16) << np.uint16(8)
+    pair |= data[1:]
+    out = np.zeros(n + 1, np.uint64)
+    np.cumsum(_PAIRS[which][pair] * up[:-1], out=out[1:])
+    return out
+
+
+def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end) of two bytes and more; ``which`` as given to ``prefix``."""
+    _, down = powers(len(sums), which)
+    return mix((sums[end - 1] - sums[start]) * down[start])
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +150,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
     A text with fewer words has its whole sequence as its one shingle; one without words has none.
     """
     start, end, first = words(data, offsets)
-    h = ranges(prefix(data, FOLDED), start, end)
+    h = hashes(FOLD[data], start, end)
     weight = mix(np.arange(1, size + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)) | U64(1)
     n = max(0, len(h) - size + 1)
     whole = np.zeros(n, np.uint64)

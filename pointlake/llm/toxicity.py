@@ -34,9 +34,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     for _ in range(2):  # up to two marks at either side
         end -= (end - start > 1) & _PUNCTUATION[data[end - 1]]
         start += (end - start > 1) & _PUNCTUATION[data[np.minimum(start, len(data) - 1)]]
-    sums = tx.prefix(data, tx.FOLDED)
-    word = tx.ranges(sums, start, end) & np.uint64((1 << WORD_BITS) - 1)
-    head = tx.ranges(sums, start, np.minimum(end, start + HEAD_BYTES)) & np.uint64((1 << HEAD_BITS) - 1)
+    folded = tx.FOLD[data]
+    word = tx.hashes(folded, start, end) & np.uint64((1 << WORD_BITS) - 1)
+    head = tx.hashes(folded, start, np.minimum(end, start + HEAD_BYTES)) & np.uint64((1 << HEAD_BITS) - 1)
     return word.astype(np.int32), head.astype(np.int32) + (1 << WORD_BITS), first
 
 
