@@ -27,7 +27,7 @@ from .shared import cut, discard, fresh
 
 WORDS = 5
 PERCENT = 75
-HOT = 32
+HOT = 64
 MAPS = 8
 
 
@@ -107,10 +107,17 @@ def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
     # both readers of the exchange ask for all its columns, so that it is made once
     times = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("n").alias("less")).where("times > 1 and low is not null and less > 0").select("token", "times")
     shared = tokens.join(times.hint("shuffle_hash"), "token")
-    bit = [F.bit_or(F.when(F.expr(f"shiftright(token, 6) & {MAPS - 1}") == k, F.expr("shiftleft(1L, cast(token & 63 as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"b{k}") for k in range(MAPS)]
-    of = shared.groupBy("id", "n").agg(F.collect_list(F.struct("times", "token")).alias("all"), *bit).withColumn("need", F.expr(_LEAST.format("n")).cast("int"))
-    of = of.where("size(all) >= need").select("id", "n", *[f"b{k}" for k in range(MAPS)], F.size("all").alias("m"), F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.size("all") - F.col("need") + 1)).alias("at", "t"))
-    return of.select("t.token", "id", "n", "m", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), *[f"b{k}" for k in range(MAPS)])
+    of = shared.groupBy("id", "n").agg(F.collect_list(F.struct("times", "token")).alias("all"))
+    of = of.withColumn("need", F.expr(_LEAST.format("n")).cast("int")).where("size(all) >= need").withColumn("m", F.size("all"))
+
+    def bits(k: int) -> Column:
+        here = lambda t: F.shiftright(t["token"], 6).bitwiseAND(F.lit(MAPS - 1)) == k
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t["token"].bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("all", F.lit(0).cast("bigint"), lambda found, t: F.when(here(t), found.bitwiseOR(bit(t))).otherwise(found)).alias(f"b{k}")
+
+    maps = [f"b{k}" for k in range(MAPS)]
+    of = of.select("id", "n", "m", *[bits(k) for k in range(MAPS)], F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.col("m") - F.col("need") + 1)).alias("at", "t"))
+    return of.select("t.token", "id", "n", "m", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), *maps)
 
 
 def _overlap() -> str:
@@ -133,11 +140,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut(first.select("ka", "kb", "m.doc", "m.line", "m.n", "m.head"), "classes")
     numbers = _Numbers(classes)
 
-    tokens = classes.select(numbers.id().alias("id"), "n", F.posexplode("head").alias("pos", "token")).repartition(parts, "token")
+    tokens = classes.select(numbers.id().alias("id"), F.col("n").cast("bigint").alias("n"), F.posexplode("head").alias("pos", "token"))
+    tokens = tokens.select("token", "id", F.expr("shiftleft(n, 32) | pos").alias("at")).repartition(parts, "token")
     # both readers of the exchange ask for all its columns, so that it is made once
-    often = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("n").alias("less"), F.min("pos").alias("place"))
-    often = often.where("times > 1 and low is not null and less > 0 and place >= 0").select("token", "times")
-    shared = cut(tokens.join(often.hint("shuffle_hash"), "token"), "shared")
+    often = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("at").alias("place")).where("times > 1 and low is not null and place >= 0")
+    shared = tokens.join(often.select("token", "times").hint("shuffle_hash"), "token")
+    shared = cut(shared.select("token", "id", F.expr("cast(shiftright(at, 32) as int)").alias("n"), F.expr("cast(at & 4294967295 as int)").alias("pos"), "times"), "shared")
     firsts = cut(classes.select("ka", "kb", numbers.id().alias("id")), "firsts")
     discard(classes)
 
@@ -147,7 +155,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ids = few.select(F.col("x_id").alias("id")).unionByName(few.select(F.col("y_id").alias("id"))).withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
     wanted = ids.groupBy("id").agg(F.max("hot").alias("hot")).select(numbers.doc().alias("doc"), F.struct(numbers.line().alias("line"), "id", "hot").alias("at"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_list("at").alias("some")), "doc")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_list("at").alias("some")).hint("shuffle_hash"), "doc")
     told = texts.select(F.split(F.lower("text"), "\n").alias("parts"), "some").select("parts", F.explode("some").alias("at"))
     told = told.select("at.id", "at.hot", F.get("parts", F.col("at.line")).alias("s")).where("trim(s) <> ''")
     sets = cut(_with_keys(told), "sets")
@@ -179,7 +187,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, gone = fresh(docs, "doc"), fresh(docs, "gone")
     per_doc = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set("line")).alias(gone))
-    met = docs.join(per_doc, F.col(id_col).cast("long") == F.col(key), "left")
+    met = docs.join(per_doc.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(key), "left")
     parts = F.split(F.col(text_col), "\n")
     edges = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(parts)))
 

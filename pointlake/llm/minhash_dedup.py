@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tx
 from .components import components
-from .shared import cut
+from .shared import cut, fresh
 
 HASHES = 64
 SHINGLE_WORDS = 5
@@ -286,9 +286,20 @@ def minhash_components(
 def keep_one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates of a document with a smaller id.
 
-    Of rows that repeat an id, one is left; rows without an id stay.
+    Null, empty and wordless texts are near nothing and stay, as rows without an id do. Rows that repeat an id are
+    documents of their own: those of unrelated texts all stay, and of rows with one id and one text one is left, which one
+    isn't defined. Columns may have any names. An empty table gives an empty table.
     """
-    found = minhash_components(docs, **parameters)
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named, free = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    key = fresh(docs, "kept")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = minhash_components(named, **parameters)
+        kept = found.where("kept").select(F.col("doc_id").alias(key))
+        return named.join(kept, F.col("doc_id").cast("long") == F.col(key), "left_semi").unionByName(free)
+    of = F.xxhash64("doc_id", F.lit(1), "text")  # a row's own number
+    rows = named.select(of.alias("doc_id"), F.col("doc_id").cast("long").alias("named"), "text")
+    found = minhash_components(rows, **parameters).select("doc_id", "component_id", "n_shingles").distinct()
+    found = found.join(rows.select("doc_id", "named").distinct(), "doc_id").withColumn("group", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    kept = found.groupBy("group").agg(F.min(F.struct("named", "doc_id")).alias("m")).select(F.col("m.doc_id").alias(key))
+    first = named.withColumn(key, of).dropDuplicates([key])
+    return first.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(free)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 
 def uniform(text: Column) -> Column:
@@ -37,25 +37,26 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, alpha: float
 
     ``weights`` has source and weight: what isn't named has weight 0. Without it, a source's weight is its
     number of rows to the power ``alpha``. Weights are normalised; negative and null ones count as 0. A null source is
-    a source. Rows that repeat an id get equal counts; a null id is hashed as an empty string. Columns of the
-    input named copy or shuffle_key are replaced. No rows give no rows.
+    a source. Rows that repeat an id get equal counts; a null id is hashed as an empty string; texts of any length are
+    carried as they are. Columns of the input named copy or shuffle_key are replaced, all others stay whatever their
+    names. No rows give no rows.
     """
-    counts = cut(docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count("*").alias("mix_n")), "sources")
+    counts = cut(docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n")), "sources")
     if weights is None:
-        weighed = counts.withColumn("mix_w", F.pow(F.col("mix_n").cast("double"), F.lit(float(alpha))))
+        weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
     else:
-        named = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("mix_w")).groupBy("w_source").agg(F.sum("mix_w").alias("mix_w"))
-        weighed = counts.join(named, F.col("mix_source").eqNullSafe(F.col("w_source")), "left").withColumn("mix_w", F.greatest(F.coalesce("mix_w", F.lit(0.0)), F.lit(0.0)))
-    rows, total = weighed.agg(F.sum("mix_n"), F.sum("mix_w")).first()
-    rate = F.col("mix_w") * F.lit(float(rows or 0)) / F.col("mix_n") / F.lit(float(total or 1.0))
-    rates = cut(weighed.select("mix_source", rate.alias("mix_rate")).select("mix_source", poisson_cdf(F.col("mix_rate")).alias("mix_cdf")), "rates")
+        named = weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("w")).groupBy("named").agg(F.sum("w").alias("w"))
+        weighed = counts.join(named, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)))
+    rows, total = weighed.agg(F.sum("n"), F.sum("w")).first()
+    rate = F.col("w") * F.lit(float(rows or 0)) / F.col("n") / F.lit(float(total or 1.0))
+    own, cdf, count = fresh(docs, "source"), fresh(docs, "cdf"), fresh(docs, "count")
+    rates = cut(weighed.select("source", rate.alias("rate")).select(F.col("source").alias(own), poisson_cdf(F.col("rate")).alias(cdf)), "rates")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = uniform(F.concat(F.lit(seed + ":"), name))
-    count = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    met = docs.select(*kept).join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    copies = met.withColumn("mix_u", u).withColumn("mix_count", count).where("mix_count > 0")
-    copies = copies.select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("copy"))
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    met = docs.select(*[F.col(f"`{c}`") for c in kept], u.alias(count)).join(rates, F.col(source_col).eqNullSafe(F.col(own)))
+    copies = met.withColumn(count, F.size(F.filter(cdf, lambda c: c <= F.col(count)))).where(F.col(count) > 0)
+    copies = copies.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col(count))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(seed + ":order:"), name, F.lit(":"), F.col("copy").cast("string"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
@@ -67,7 +68,7 @@ r AS (SELECT source, sqrt(n::DOUBLE) * (SELECT sum(n) FROM s)::DOUBLE / n / (SEL
 p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
       FROM r, LATERAL (SELECT unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS k)),
 u AS (SELECT *, ('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
-c AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u) AS m FROM u)
+m AS (SELECT u.doc_id, count(p.k) AS m FROM u LEFT JOIN p ON p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u GROUP BY u.doc_id)
 SELECT doc_id, text, lang, source, n_chars, CAST(k AS INT) AS copy, md5('mix-1:order:' || doc_id || ':' || k) AS shuffle_key
-FROM c, LATERAL (SELECT unnest(generate_series(1, m)) AS k)
+FROM documents JOIN m USING (doc_id), LATERAL (SELECT unnest(generate_series(1, m)) AS k)
 """

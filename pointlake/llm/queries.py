@@ -90,4 +90,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import exact_topk, mix_sources
+
+    return {"op6_mix_sources": mix_sources.ORACLE, "op10_exact_topk": exact_topk.ORACLE}

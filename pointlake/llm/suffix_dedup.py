@@ -3,8 +3,8 @@
 Sharding. Of the k-grams in a window of 200 bytes, the one with the smallest hash is the window's anchor; equal
 windows have equal anchors at equal offsets. An anchor occurrence stands for a run of window starts, and the
 bytes of all these windows are its context. Anchors that occur once in the corpus end the search for their
-windows. Contexts that are equal as wholes are classes, told by hash and counted: all windows of a class of two or
-more repeat. What is left are different contexts around one anchor, as where a repeated passage begins and
+windows. Contexts that are equal as wholes are classes, told by 128 bits of two hashes that have nothing in common (the
+anchor's, and the whole's over another table and base) and counted: all windows of a class of two or more repeat. What is left are different contexts around one anchor, as where a repeated passage begins and
 ends: one context of each class goes to the task of its anchor, where a suffix array (see ``lyndon_sort``) brings
 equal windows together. Around an anchor with very many classes the search goes on with longer k-grams instead, up
 to k = 200, where anchors are windows and counting them decides. No group is cut short and none is unbounded.
@@ -39,7 +39,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, empty, sums
     grams = len(data) - k + 1
-    least = (tx.ranges(sums, np.arange(grams), np.arange(k, k + grams)) & ~_PLACE) | np.arange(grams, dtype=np.uint64)
+    every = tx.mix((sums[k - 1 : k - 1 + grams] - sums[:grams]) * tx.powers(len(sums))[1][:grams])  # as ``ranges`` has it
+    least = (every & ~_PLACE) | np.arange(grams, dtype=np.uint64)
     span = 1
     while span < width:
         step = min(span, width - span)
@@ -64,25 +65,15 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield np.array([a]), np.array([begin, min(int(offsets[b]), begin + _PIECE + WINDOW - 1)])
 
 
-def _keys(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tx.utf8(batch.column(2))
-            for _, cuts in _pieces(offsets):
-                _, _, _, place, sums = anchors(data[cuts[0] : cuts[-1]], cuts - cuts[0], k)
-                yield pa.RecordBatch.from_arrays([pa.array(tx.ranges(sums, place, place + k).view(np.int64))], names=["a"])
-
-    return run
-
-
 def _runs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tx.utf8(batch.column(2))
             base = batch.column(1).to_numpy(zero_copy_only=False)
             for rows, cuts in _pieces(offsets):
-                row, lo, hi, place, sums = anchors(data[cuts[0] : cuts[-1]], cuts - cuts[0], k)
-                whole = tx.ranges(sums, lo, hi + WINDOW) ^ tx.mix((place - lo).astype(np.uint64) + np.uint64(1))
+                piece = data[cuts[0] : cuts[-1]]
+                row, lo, hi, place, sums = anchors(piece, cuts - cuts[0], k)
+                whole = tx.ranges(tx.prefix(piece, 1), lo, hi + WINDOW, 1) ^ tx.mix((place - lo).astype(np.uint64) + np.uint64(1))
                 at = base[rows[row]] + cuts[0] - offsets[rows[row]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tx.ranges(sums, place, place + k).view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(pa.array(rows[row])), pa.array((lo + at).astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32))],
@@ -147,8 +138,11 @@ def repeated_ranges(texts: DataFrame, most_classes: int = 1000, step: int = 0) -
     """(doc, start, end) byte ranges, maybe overlapping, of repeated windows in ``texts`` (doc, base, bytes)."""
     k = STEPS[step]
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    often = texts.mapInArrow(_keys(k), "a long").groupBy("a").count().where("count > 1").select("a")
-    runs = cut(texts.mapInArrow(_runs(k), "a long, c long, doc long, lo long, n int").join(often, "a"), f"runs{k}")
+    every = texts.mapInArrow(_runs(k), "a long, c long, doc long, lo long, n int").repartition(n, "a")
+    # both readers of the exchange ask for all its columns, so that it is made once
+    often = every.groupBy("a").agg(F.count("*").alias("times"), *[F.min(c).alias(f"any_{c}") for c in ("c", "doc", "lo", "n")])
+    often = often.where("times > 1 and any_n > 0 and any_lo >= 0 and any_c is not null and any_doc is not null").select("a")
+    runs = cut(every.join(often.hint("shuffle_hash"), "a"), f"runs{k}")
     classes = runs.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc", "lo", "n")).alias("m"))
     classes = cut(classes.select("a", "c", "times", "m.doc", "m.lo", "m.n"), f"classes{k}")
     whole = runs.join(classes.where("times > 1").select("a", "c"), ["a", "c"])

@@ -80,14 +80,16 @@ class Network:
 
 def _start(docs: list, labels: np.ndarray, rng: np.random.Generator) -> Network:
     """Small random values; the first dimension starts as the smoothed log-odds of a row's documents."""
-    seen = np.zeros((2, ROWS))
+    seen = np.zeros((2, ROWS), np.float32)
     for (word, head), y in zip(docs, labels, strict=True):
         seen[int(y), np.unique(np.r_[word, head])] += 1
     total = np.bincount(labels.astype(int), minlength=2)
-    odds = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
-    count = seen.sum(0)
-    table = rng.normal(0, 0.05, (ROWS, DIMS)).astype(np.float32) * (count > 0)[:, None]
-    table[:, 0] = odds * count / (count + 5)
+    known = np.flatnonzero(seen.any(axis=0))  # the other rows stay 0: the table is the largest thing in the driver
+    no, yes = seen[:, known].astype(float)
+    odds = np.log((yes + 1) / (total[1] + 2)) - np.log((no + 1) / (total[0] + 2))
+    table = np.zeros((ROWS, DIMS), np.float32)
+    table[known] = rng.normal(0, 0.05, (len(known), DIMS))
+    table[known, 0] = odds * (no + yes) / (no + yes + 5)
     table[PAD] = 0
     filters = [rng.normal(0, 0.2, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for f in filters:
@@ -164,32 +166,37 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([parts(word), parts(head), *[batch.column(i).slice(a, b - a) for i in (1, 2, 3)]], names=["word", "head", "lang", "toxic", "part"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, fit_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Fit on at most ``per_class`` toxic and twice as many other documents that aren't held out.
 
     Held out are the ids whose crc32 as text leaves 0 modulo 5; those that leave 1 calibrate and aren't trained on.
-    Ids labelled twice count as toxic if one label says so; null labels don't count. None if a class is missing.
+    Ids labelled twice count as toxic if one label says so; null labels don't count. Of rows that repeat an id, the text
+    that sorts first by hash is taken. Texts of over ``fit_chars`` characters aren't fitted on, which bounds what the driver
+    gathers; a null text counts as empty. None if a class is missing or the tables are empty.
     """
     part = (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int")
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("part", part).where("part <> 0")
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, per_class).unionByName(pick(0, 2 * per_class))
     met = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = met.select("text", "lang", "toxic", "part").mapInArrow(_rows_of, "word binary, head binary, lang string, toxic int, part int").collect()
+    one = met.where(F.coalesce(F.length("text"), F.lit(0)) <= fit_chars).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "toxic", "part")).alias("m")).select("m.text", "m.lang", "m.toxic", "m.part")
+    rows = one.mapInArrow(_rows_of, "word binary, head binary, lang string, toxic int, part int").collect()
     read = [(np.frombuffer(r["word"], np.int32), np.frombuffer(r["head"], np.int32)) for r in rows]
     toxic, trial = (np.array(x) for x in ([float(r["toxic"]) for r in rows], [r["part"] == 1 for r in rows]))
+    said = [r["lang"] or "" for r in rows]
+    del rows
     if len({*toxic}) < 2:
         return None
     if len({*toxic[~trial]}) < 2 or len({*toxic[trial]}) < 2:
-        trial = np.zeros(len(rows), bool)
+        trial = np.zeros(len(read), bool)
     order = sorted(np.flatnonzero(~trial), key=lambda i: (toxic[i], read[i][0].tobytes(), read[i][1].tobytes()))
     net = train([read[i] for i in order], toxic[order])
-    seen = np.flatnonzero(trial) if trial.any() else np.arange(len(rows))
+    seen = np.flatnonzero(trial) if trial.any() else np.arange(len(read))
     logit = np.concatenate([net.logits(*_joined([read[i] for i in seen[a : a + 64]])) for a in range(0, len(seen), 64)])
     point = best_threshold(logit, toxic[seen])
     net.shift += point
     logit = logit - point
-    langs = np.array([rows[i]["lang"] or "" for i in seen])
+    langs = np.array([said[i] for i in seen])
     for lang in sorted({*langs}):
         own = langs == lang
         if len({*toxic[seen][own]}) == 2:
