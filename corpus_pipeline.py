@@ -6,6 +6,9 @@ keeps one document of each group, mixing repeats documents to the target weights
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pointlake.llm.line_dedup import dedup_lines
@@ -13,31 +16,54 @@ from pointlake.llm.minhash_dedup import keep_one_of_each
 from pointlake.llm.mix_sources import mix_sources
 from pointlake.llm.pieces import encode_pieces
 from pointlake.llm.queries import tokenizer_file
-from pointlake.llm.shared import cut
+from pointlake.llm.shared import cut, live, release
 from pointlake.llm.toxicity import fit_toxicity, score_toxicity
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_made: set[str] = set()
+
+
+def stage(f: Stage) -> Stage:
+    """Removes the scratch tables of the stage before, whose result is written by now, and notes those of this one."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_made)
+        _made.clear()
+        before = live()
+        out = f(spark, docs, sf_dir)
+        _made.update(live() - before)
+        return out
+
+    return run_stage
+
 
+@stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't scored as toxic."""
     net = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, net).where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies and near-copies of lines."""
     return dedup_lines(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return keep_one_of_each(docs)
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, shuffled."""
     return mix_sources(docs).select(*docs.columns)
 
 
+@stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the piece ids of the text."""
     return encode_pieces(docs.select("doc_id", "source", "text"), tokenizer_file("piece_bpe_32k.model")).drop("text")
@@ -50,8 +76,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
     return docs
