@@ -139,9 +139,8 @@ def exact_topk(vectors: DataFrame, is_query: str, k: int = 20, scale: int = 64,
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-t AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS d FROM v),
+WITH x AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings WHERE vec_id IS NOT NULL),
+t AS (SELECT vec_id, CAST(floor(64 * x) AS BIGINT) AS w, d FROM x WHERE vec_id NOT IN (SELECT vec_id FROM x WHERE x IS NULL OR NOT isfinite(x))),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score FROM t q JOIN t c ON q.d = c.d AND q.vec_id <> c.vec_id
       WHERE q.vec_id % 20 = 0 GROUP BY ALL),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
