@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by cosine: inverted file with product-quantised residuals and exact reranking.
 
-Fitted on a bounded sample: coarse centroids, one codebook per group of dimensions for the residuals, and,
-by the sample's own exact neighbours, how many lists to probe and how many candidates of a list to rerank
-for the wanted recall. Every row is indexed: its list, its code and its vector are written as a table. A list
-may hold any share of the rows, so it is dealt into parts of bounded size; each query meets all parts of the
-lists it probes. In a part, candidates are ranked by asymmetric distance tables, the best are reranked on
-the original vectors in double precision, and a window merges the parts.
+Fitted on a bounded sample: coarse centroids, one codebook per group of dimensions for the residuals, and, by the
+sample's own exact neighbours, how many lists to probe and how many candidates of a query to rerank for the
+wanted recall. Every row is indexed: its list, its code and its vector are written as a table.
+
+A search has two rounds. In the first, each query meets the codes of the lists it probes. A list may hold any share
+of the rows and be probed by any share of the queries, so both are dealt: candidates into parts of ``part_rows``,
+queries into strips of ``strip_rows``, and a group holds one of each. Asymmetric distance tables rank its candidates,
+and a window keeps the ``rerank`` best of each query over all groups. In the second round only those are joined
+with their vectors, scored in double precision and ranked.
 """
 
 from __future__ import annotations
@@ -69,32 +72,39 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centres
 
 
-def fit(sample: np.ndarray, n: int, k: int, recall: float, list_rows: int = 400, most_lists: int = 4096, trial: int = 256, seed: int = 1) -> Model:
-    """Fit on unit vectors ``sample``, standing for ``n`` rows."""
+def fit(sample: np.ndarray, n: int, k: int, recall: float, most_lists: int = 4096, trial: int = 256, seed: int = 1) -> Model:
+    """Fit on unit vectors ``sample``, standing for ``n`` rows.
+
+    The lists are 4 times the root of ``n``, but 16 rows of the sample each at least. Half of what the recall allows
+    to be lost is spent on lists that aren't probed, half on candidates that aren't reranked. The rank of a true
+    neighbour among the candidates by its code is taken from the sample and carried over to ``n`` rows.
+    """
     rng = np.random.default_rng(seed)
-    lists = int(min(max(1, n // list_rows), most_lists, max(1, len(sample) // 20)))
+    lists = int(min(max(1, 4 * int(n**0.5)), most_lists, max(1, len(sample) // 16)))
     centroids = k_means(sample, lists, 8, rng)
     which = nearest(sample, centroids)
     books = np.stack([_full(k_means(r, min(CODES, len(r)), 6, rng)) for r in split(sample - centroids[which], SUBSPACES)])
-    model = Model(centroids, books, lists, n)
+    model = Model(centroids, books, lists, max(4 * k, 16))
     some = rng.permutation(len(sample))[:trial]
-    exact = sample[some] @ sample.T
-    exact[np.arange(len(some)), some] = -np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
         return model
+    exact = sample[some] @ sample.T
+    exact[np.arange(len(some)), some] = -np.inf
     best = np.argpartition(exact, -k, axis=1)[:, -k:]
     place = np.empty((len(some), lists), np.int64)
     order = np.argsort(-(sample[some] @ centroids.T), axis=1, kind="stable")
     place[np.arange(len(some))[:, None], order] = np.arange(lists)
-    needed = np.sort(place[np.arange(len(some))[:, None], which[best]].ravel())
-    model.probes = min(lists, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 2)
+    lost = (1 - recall) / 2
+    upto = lambda ranks: int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil((1 - lost) * len(ranks))))]) + 1
+    model.probes = min(lists, upto(place[np.arange(len(some))[:, None], which[best]].ravel()))
     codes = model.codes(sample, which)
     guess = np.stack([table_scores(q, centroids, books, codes, which) for q in sample[some]])
     guess[np.arange(len(some)), some] = -np.inf
-    ranks = [((guess[i] > guess[i, j]) & (which == which[j])).sum() for i in range(len(some)) for j in best[i]]
-    ranks.sort()
-    model.rerank = int(max(4 * k, 16, np.ceil((1 + ranks[min(len(ranks) - 1, int(np.ceil(0.99 * len(ranks))))]) * 1.5 * n / len(sample))))
+    ranks = np.array([(guess[i] > guess[i, j]).sum() for i in range(len(some)) for j in best[i]])
+    # in n rows, a true neighbour has n / sample times as many candidates ahead of it only if they lie as it does; the
+    # neighbours are nearer too, so that the root of that ratio is on the safe side for the codes' error
+    model.rerank = int(max(model.rerank, np.ceil(1.25 * upto(ranks) * max(1.0, n / len(sample)) ** 0.5)))
     return model
 
 
@@ -121,7 +131,7 @@ def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, x = _usable(batch)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "v"])
 
 
 def matrix(column, dims: int) -> np.ndarray:
@@ -144,7 +154,7 @@ def _assign(model: Model):
                 x = unit(matrix(batch.column(1), model.centroids.shape[1]))
                 which = model.lists(x)
                 codes = model.codes(x, which)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(which, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(which, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*batch.schema.names, "list", "code"])
 
     return run
 
@@ -156,57 +166,65 @@ def _probe(model: Model):
                 x = unit(matrix(batch.column(1), model.centroids.shape[1]))
                 order = np.argsort(-(x @ model.centroids.T), axis=1, kind="stable")[:, : model.probes]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["query_id", "q", "probes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), flat], names=["query_id", "q", "probes"])
 
     return run
 
 
-def _search(model: Model, k: int):
-    dims = model.centroids.shape[1]
+def _rank_codes(model: Model):
+    """One strip of queries against one part of a list: the ``rerank`` best of each query by asymmetric distances."""
+    dims, many = model.centroids.shape[1], model.rerank
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
-        ids, vectors = right["vec_id"].to_numpy()[order], right["v"].to_pylist()
-        x = matrix(right["v"], max([dims, *(len(b) // 8 for b in vectors)]))[order]
-        codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)[order]
-        q = matrix(left["q"], max([x.shape[1], *(len(b) // 8 for b in left["q"].to_pylist())])) if left.num_rows else np.zeros((0, dims))
-        x = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1]))) if q.shape[1] > x.shape[1] else x
-        q_id, out = left["query_id"].to_numpy(), []
-        ux, uq = unit(x), unit(q)
-        tables = np.stack([r @ b.T for b, r in zip(model.books, split(uq[:, :dims], SUBSPACES), strict=True)]) if len(q) else None
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "guess": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
+        codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
+        q, q_id, out = matrix(left["q"], dims), left["query_id"].to_numpy(), []
+        centre = model.centroids[key[0].as_py()]
+        parts = split(q, SUBSPACES)
         for i in range(len(q)):
-            if not len(ids):
-                break
-            guess = tables[0, i][codes[:, 0]]
-            for m in range(1, SUBSPACES):
-                guess = guess + tables[m, i][codes[:, m]]
-            if q_id[i] in ids[np.searchsorted(ids, q_id[i]) :][:1]:
-                guess[ids == q_id[i]] = -np.inf
-            take = np.arange(len(ids))
-            if len(ids) > model.rerank:
-                least = np.partition(guess, len(ids) - model.rerank)[len(ids) - model.rerank]
-                sure = np.flatnonzero(guess > least)
-                take = np.r_[sure, np.flatnonzero(guess == least)[: model.rerank - len(sure)]]
-            take = take[ids[take] != q_id[i]]
-            score = (ux[take] * uq[i]).sum(1)
-            best = np.lexsort((ids[take], -score))[:k]
-            out.append((np.full(len(best), q_id[i]), ids[take][best], score[best]))
-        a, b, c = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+            guess = np.full(len(ids), float(q[i] @ centre))
+            for m in range(SUBSPACES):
+                guess += (model.books[m] @ parts[m][i])[codes[:, m]]
+            take = np.flatnonzero(ids != q_id[i])
+            if len(take) > many:
+                take = take[np.argpartition(-guess[take], many)[:many]]
+            out.append((np.full(len(take), q_id[i]), rows[take], guess[take]))
+        a, b, c = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.table({"query_id": a, "row": b, "guess": c})
 
     return run
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            dims = max(len(b) // 8 for i in (1, 3) for b in batch.column(i).to_pylist())
+            score = (unit(matrix(batch.column(1), dims)) * unit(matrix(batch.column(3), dims))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
 def neighbours(
-    vectors: DataFrame, is_query: str, k: int = 5, recall: float = 0.97, fit_rows: int = 20_000, part_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame,
+    is_query: str,
+    k: int = 5,
+    recall: float = 0.97,
+    fit_rows: int = 20_000,
+    part_rows: int = 4096,
+    strip_rows: int = 1024,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest found, by cosine in double precision.
 
     ``is_query`` is an SQL condition on ``vec_id``. The index is fitted on at most ``fit_rows`` rows (those with the
     smallest hash of the id) and holds every row. Ties go to the smaller id; rows with the query's own id aren't
-    its candidates; fewer than k candidates are all returned. Rows without id and vectors that are null, zero or
-    hold null or non-finite components take no part; a shorter vector counts as filled up with zeros. Rows that
-    repeat an id are candidates each; as queries, the one that sorts first counts.
+    its candidates; fewer than k candidates are all returned, if the lists probed hold them. Rows without id and vectors
+    that are null, zero or hold null or non-finite components take no part; a shorter vector counts as filled up with
+    zeros. Rows that repeat an id are candidates each; as queries, the one that sorts first counts. Other columns aren't
+    read. An empty table gives an empty table.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_valid, "vec_id long, v binary")
     rows = cut(rows, "vectors")
@@ -214,19 +232,28 @@ def neighbours(
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
-    dims = longest // 8
-    model = fit(unit(matrix(pa.array(list(sample["v"]), pa.binary()), dims)), n, k, recall)
-    index = cut(rows.mapInArrow(_assign(model), "vec_id long, v binary, list int, code binary"), "index")
-    sizes = index.groupBy("list").count().select("list", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
-    held = {r["list"]: r["parts"] for r in sizes.collect()}  # as many numbers as there are lists
-    if model.probes >= len(model.centroids) - 1:
-        model.probes = len(model.centroids)
-    parts = F.create_map(*[F.lit(x) for item in held.items() for x in item])
-    part = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.element_at(parts, F.col("list"))).cast("int")
-    dealt = index.withColumn("part", part)
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_probe(model), "query_id long, q binary, probes array<int>")
-    asked = asked.select("query_id", "q", F.explode("probes").alias("list"))
-    asked = asked.where(F.map_contains_key(parts, F.col("list"))).select("query_id", "q", "list", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("list")) - 1)).alias("part"))
-    found = asked.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_search(model, k), "query_id long, vec_id long, score double")
+    model = fit(unit(matrix(pa.array(list(sample["v"]), pa.binary()), longest // 8)), n, k, recall)
+    index = cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_assign(model), "vec_id long, v binary, row long, list int, code binary"), "index")
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    probes = asked.mapInArrow(_probe(model), "query_id long, q binary, probes array<int>").select("query_id", "q", F.explode("probes").alias("list"))
+
+    def dealt(of: DataFrame, most: int, name: str) -> tuple[DataFrame, dict[int, int]]:
+        """Into how many blocks the rows of each list go: as many numbers as there are lists."""
+        sizes = {r[0]: -(-r[1] // most) for r in of.groupBy("list").count().collect()}
+        return of, sizes
+
+    index, parts = dealt(index, part_rows, "part")
+    probes, strips = dealt(cut(probes, "probes"), strip_rows, "strip")
+    of = lambda sizes: F.element_at(F.create_map(*[F.lit(x) for item in sizes.items() for x in item]), F.col("list"))
+    block = lambda key, sizes: F.pmod(F.xxhash64(key), of(sizes)).cast("int")
+    both = F.col("list").isin(sorted(parts.keys() & strips.keys()))
+    left = probes.where(both).withColumn("strip", block("query_id", strips)).withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1)))
+    right = index.where(both).select("vec_id", "row", "code", "list").withColumn("part", block("row", parts)).withColumn("strip", F.explode(F.sequence(F.lit(0), of(strips) - 1)))
+    keys = ["list", "part", "strip"]
+    guessed = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank_codes(model), "query_id long, row long, guess double")
+    likely = Window.partitionBy("query_id").orderBy(F.desc("guess"), F.asc("row"))
+    chosen = guessed.withColumn("place", F.row_number().over(likely)).where(F.col("place") <= model.rerank).select("query_id", "row")
+    met = chosen.join(index.select("row", "vec_id", "v"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    found = met.select("query_id", "q", "vec_id", "v").mapInArrow(_exact, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
