@@ -4,11 +4,10 @@ Fitted on a bounded sample: coarse centroids, one codebook per group of dimensio
 sample's own exact neighbours, how many lists to probe and how many candidates of a query to rerank for the
 wanted recall. Every row is indexed: its list, its code and its vector are written as a table.
 
-A search has two rounds. In the first, each query meets the codes of the lists it probes. A list may hold any share
-of the rows and be probed by any share of the queries, so both are dealt: candidates into parts of ``part_rows``,
-queries into strips of ``strip_rows``, and a group holds one of each. Asymmetric distance tables rank its candidates,
-and a window keeps the ``rerank`` best of each query over all groups. In the second round only those are joined
-with their vectors, scored in double precision and ranked.
+A search deals lists into parts of about ``part_rows`` rows: small lists share a part, a large one has several. Queries
+are dealt into strips, and a group holds one strip and one part with a list that they probe. There, the rows of each
+query's lists are ranked by asymmetric distance tables, the ``rerank`` best are scored on the original vectors
+in double precision, and the k nearest go on to a window that merges the parts.
 """
 
 from __future__ import annotations
@@ -166,44 +165,53 @@ def _probe(model: Model):
                 x = unit(matrix(batch.column(1), model.centroids.shape[1]))
                 order = np.argsort(-(x @ model.centroids.T), axis=1, kind="stable")[:, : model.probes]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), flat], names=["query_id", "q", "probes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["query_id", "q", "probes"])
 
     return run
 
 
-def _rank_codes(model: Model):
-    """One strip of queries against one part of a list: the ``rerank`` best of each query by asymmetric distances."""
-    dims, many = model.centroids.shape[1], model.rerank
+def _search(model: Model, k: int):
+    """One strip of queries against one part: the k nearest of each query among the rows of the lists it probes."""
+    dims, lists = model.centroids.shape[1], len(model.centroids)
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "guess": pa.array([], pa.float64())})
+    def run(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return empty
-        ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, which = right["vec_id"].to_numpy(), right["list"].to_numpy()
         codes = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-        q, q_id, out = matrix(left["q"], dims), left["query_id"].to_numpy(), []
-        centre = model.centroids[key[0].as_py()]
-        parts = split(q, SUBSPACES)
+        wide = max([dims, *(len(b) // 8 for table, c in ((left, "q"), (right, "v")) for b in table[c].to_pylist())])
+        x, q = unit(matrix(right["v"], wide)), unit(matrix(left["q"], wide))
+        q_id, probes, out = left["query_id"].to_numpy(), left["probes"].to_pylist(), []
+        parts, coarse = split(q[:, :dims], SUBSPACES), q[:, :dims] @ model.centroids.T
         for i in range(len(q)):
-            guess = np.full(len(ids), float(q[i] @ centre))
-            for m in range(SUBSPACES):
-                guess += (model.books[m] @ parts[m][i])[codes[:, m]]
-            take = np.flatnonzero(ids != q_id[i])
-            if len(take) > many:
-                take = take[np.argpartition(-guess[take], many)[:many]]
-            out.append((np.full(len(take), q_id[i]), rows[take], guess[take]))
+            wanted = np.zeros(lists, bool)
+            wanted[probes[i]] = True
+            take = np.flatnonzero(wanted[which] & (ids != q_id[i]))
+            if len(take) > model.rerank:
+                own = codes[take]
+                guess = coarse[i][which[take]]
+                for m in range(SUBSPACES):
+                    guess += (model.books[m] @ parts[m][i])[own[:, m]]
+                take = take[np.argpartition(-guess, model.rerank)[: model.rerank]]
+            score = (x[take] * q[i]).sum(1)
+            best = np.lexsort((ids[take], -score))[:k]
+            out.append((np.full(len(best), q_id[i]), ids[take][best], score[best]))
         a, b, c = (np.concatenate(v) for v in zip(*out, strict=True))
-        return pa.table({"query_id": a, "row": b, "guess": c})
+        return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            dims = max(len(b) // 8 for i in (1, 3) for b in batch.column(i).to_pylist())
-            score = (unit(matrix(batch.column(1), dims)) * unit(matrix(batch.column(3), dims))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], names=["query_id", "vec_id", "score"])
+def parts_of_lists(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each list its first part and its number of parts; lists share a part while it has room."""
+    out, part, room = {}, 0, most
+    for number in sorted(sizes):
+        n = -(-sizes[number] // most)
+        if n > 1 or sizes[number] > room:
+            part, room = part + 1, most
+        out[number] = (part, n)
+        part, room = (part + n, most) if n > 1 else (part, room - sizes[number])
+    return out
 
 
 def neighbours(
@@ -234,26 +242,17 @@ def neighbours(
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
     model = fit(unit(matrix(pa.array(list(sample["v"]), pa.binary()), longest // 8)), n, k, recall)
     index = cut(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_assign(model), "vec_id long, v binary, row long, list int, code binary"), "index")
+    sizes = {r[0]: r[1] for r in index.groupBy("list").count().collect()}  # as many numbers as there are lists
+    parts = parts_of_lists(sizes, max(part_rows, 8 * model.rerank))  # so that no more than an eighth of a part is reranked
+    first, many = (F.create_map(*[F.lit(x) for number, p in parts.items() for x in (number, p[j])]) for j in (0, 1))
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    probes = asked.mapInArrow(_probe(model), "query_id long, q binary, probes array<int>").select("query_id", "q", F.explode("probes").alias("list"))
-
-    def dealt(of: DataFrame, most: int, name: str) -> tuple[DataFrame, dict[int, int]]:
-        """Into how many blocks the rows of each list go: as many numbers as there are lists."""
-        sizes = {r[0]: -(-r[1] // most) for r in of.groupBy("list").count().collect()}
-        return of, sizes
-
-    index, parts = dealt(index, part_rows, "part")
-    probes, strips = dealt(cut(probes, "probes"), strip_rows, "strip")
-    of = lambda sizes: F.element_at(F.create_map(*[F.lit(x) for item in sizes.items() for x in item]), F.col("list"))
-    block = lambda key, sizes: F.pmod(F.xxhash64(key), of(sizes)).cast("int")
-    both = F.col("list").isin(sorted(parts.keys() & strips.keys()))
-    left = probes.where(both).withColumn("strip", block("query_id", strips)).withColumn("part", F.explode(F.sequence(F.lit(0), of(parts) - 1)))
-    right = index.where(both).select("vec_id", "row", "code", "list").withColumn("part", block("row", parts)).withColumn("strip", F.explode(F.sequence(F.lit(0), of(strips) - 1)))
-    keys = ["list", "part", "strip"]
-    guessed = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank_codes(model), "query_id long, row long, guess double")
-    likely = Window.partitionBy("query_id").orderBy(F.desc("guess"), F.asc("row"))
-    chosen = guessed.withColumn("place", F.row_number().over(likely)).where(F.col("place") <= model.rerank).select("query_id", "row")
-    met = chosen.join(index.select("row", "vec_id", "v"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    found = met.select("query_id", "q", "vec_id", "v").mapInArrow(_exact, "query_id long, vec_id long, score double")
+    strips = max(1, -(-asked.count() // strip_rows))
+    probes = asked.mapInArrow(_probe(model), "query_id long, q binary, probes array<int>")
+    some = F.filter("probes", lambda p: F.map_contains_key(first, p))  # an empty list has no part
+    every = F.array_distinct(F.flatten(F.transform(some, lambda p: F.sequence(F.element_at(first, p), F.element_at(first, p) + F.element_at(many, p) - 1))))
+    left = probes.select("query_id", "q", "probes", F.pmod(F.xxhash64("query_id"), F.lit(strips)).cast("int").alias("strip"), F.explode(every).alias("part"))
+    part = F.element_at(first, F.col("list")) + F.pmod(F.xxhash64("row"), F.element_at(many, F.col("list"))).cast("int")
+    right = index.select("vec_id", "v", "list", "code", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+    found = left.groupBy("part", "strip").cogroup(right.groupBy("part", "strip")).applyInArrow(_search(model, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

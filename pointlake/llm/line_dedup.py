@@ -116,7 +116,8 @@ def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
         return F.aggregate("all", F.lit(0).cast("bigint"), lambda found, t: F.when(here(t), found.bitwiseOR(bit(t))).otherwise(found)).alias(f"b{k}")
 
     maps = [f"b{k}" for k in range(MAPS)]
-    of = of.select("id", "n", "m", *[bits(k) for k in range(MAPS)], F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.col("m") - F.col("need") + 1)).alias("at", "t"))
+    of = of.select("id", "n", "m", "need", "all", *[bits(k) for k in range(MAPS)])  # before the rows are multiplied
+    of = of.select("id", "n", "m", *maps, F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.col("m") - F.col("need") + 1)).alias("at", "t"))
     return of.select("t.token", "id", "n", "m", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), *maps)
 
 
