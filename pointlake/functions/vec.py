@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,14 +66,24 @@ def inverse_rigid(a) -> list[Column]:
 def eigenvalues(m) -> list[Column]:
     """Greatest and least eigenvalue of a symmetric matrix given as xx, xy, xz, yy, yz, zz, in closed form."""
     xx, xy, xz, yy, yz, zz = [c.cast("double") for c in cols(m)]
-    q = (xx + yy + zz) / 3
-    p = F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
-    a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
-    d, e, f = xy / p, xz / p, yz / p
-    det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
-    phi = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3
-    known = p > 1e-12 * F.abs(q) + 1e-300
-    return [F.when(known, q + 2 * p * F.cos(phi)), F.when(known, q + 2 * p * F.cos(phi + 2 * math.pi / 3))]
+
+    def spread(q: Column) -> Column:
+        off = (xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q)
+        return F.struct(q.alias("q"), F.sqrt((off + 2 * (xy * xy + xz * xz + yz * yz)) / 6).alias("p"))
+
+    def turn(s: Column) -> Column:
+        q, p = s["q"], s["p"]
+        a, b, c = (xx - q) / p, (yy - q) / p, (zz - q) / p
+        d, e, f = xy / p, xz / p, yz / p
+        det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
+        known = p > 1e-12 * F.abs(q) + 1e-300
+        return F.when(known, F.struct(q.alias("q"), p.alias("p"), (F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / 2))) / 3).alias("phi")))
+
+    def ends(t: Column) -> Column:
+        return F.struct((t["q"] + 2 * t["p"] * F.cos(t["phi"])).alias("most"), (t["q"] + 2 * t["p"] * F.cos(t["phi"] + 2 * math.pi / 3)).alias("least"))
+
+    found = bind((xx + yy + zz) / 3, lambda q: bind(spread(q), lambda s: bind(turn(s), ends)))
+    return [found["most"], found["least"]]
 
 
 def eigenvector(m, value: Column) -> Column:
@@ -82,3 +93,25 @@ def eigenvector(m, value: Column) -> Column:
     found = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
     longest = F.greatest(*[F.struct(dot(v, v).alias("n"), *[x.alias(f"v{i}") for i, x in enumerate(v)]) for v in found])
     return F.transform(F.array(longest), lambda s: F.when(s["n"] > 0, F.array(*[s[f"v{i}"] / F.sqrt(s["n"]) for i in range(3)])))[0]
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it; plans don't expand it either."""
+    return F.transform(F.array(value), f)[0]
+
+
+def eigen(m) -> Column:
+    """Of a symmetric matrix given as xx, xy, xz, yy, yz, zz: a struct of l_max, l_min, axis_max and axis_min."""
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+    whole = F.struct(*[c.cast("double").alias(n) for n, c in zip(names, cols(m), strict=True)])
+
+    def axes(s: Column) -> Column:
+        own = [s[n] for n in names]
+        most, least = eigenvalues(own)
+
+        def both(v: Column) -> Column:
+            return F.struct(v["l_max"].alias("l_max"), v["l_min"].alias("l_min"), eigenvector(own, v["l_max"]).alias("axis_max"), eigenvector(own, v["l_min"]).alias("axis_min"))
+
+        return bind(F.struct(most.alias("l_max"), least.alias("l_min")), both)
+
+    return bind(whole, axes)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import cross, dot, eigenvalues, eigenvector
+from ..functions.vec import bind, cross, dot, eigen
 from .spatial import cut_lineage, knn_join, radius_join
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -26,9 +26,7 @@ def covariance(m: DataFrame) -> DataFrame:
 def principal_axes(neigh: DataFrame, keys, xyz=("x", "y", "z")) -> DataFrame:
     """Greatest and least eigenvalue of every group's covariance and their unit axes; null where undefined."""
     c = covariance(moments(neigh, keys, xyz))
-    most, least = eigenvalues([f"c{p}" for p in PAIRS])
-    c = c.withColumns({"l_max": most, "l_min": least})
-    return c.withColumns({"axis_max": eigenvector([f"c{p}" for p in PAIRS], F.col("l_max")), "axis_min": eigenvector([f"c{p}" for p in PAIRS], F.col("l_min"))})
+    return c.withColumn("e_", eigen([f"c{p}" for p in PAIRS])).select("*", "e_.*").drop("e_")
 
 
 def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float) -> DataFrame:
@@ -46,14 +44,21 @@ def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float) -> Data
     return seen.withColumns({f"n{c}": F.col("axis_min")[i] * sign for i, c in enumerate("xyz")}).drop("axis_min", "cam_id", "vx", "vy", "vz")
 
 
-def refine_normals(points: DataFrame, k: int, r: float, of: DataFrame | None = None) -> DataFrame:
-    """One pass of smoothing: the mean normal of the k nearest points (itself included), of unit length."""
-    base = points if of is None else of
-    left = base.select("cloud_id", F.col("point_id").alias("sample_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    near = knn_join(left, points.select("cloud_id", "point_id", "x", "y", "z", "nx", "ny", "nz"), k, r)
-    mean = near.groupBy("cloud_id", F.col("sample_id").alias("point_id")).agg(*[F.avg(c).alias(c) for c in ("nx", "ny", "nz")])
-    size = F.sqrt(dot(("nx", "ny", "nz"), ("nx", "ny", "nz")))
-    return mean.withColumn("size_", size).select("cloud_id", "point_id", *[F.when(F.col("size_") > 0, F.col(c) / F.col("size_")).alias(c) for c in ("nx", "ny", "nz")])
+def refine_normals(points: DataFrame, k: int, r: float, passes: int = 1) -> DataFrame:
+    """cloud_id, point_id, nx, ny, nz after ``passes`` of smoothing: the mean normal of the k nearest points (itself
+    included), of unit length; null where the normals cancel out. Neighbours are found once, each pass is cut."""
+    left = points.select("cloud_id", F.col("point_id").alias("sample_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    near = knn_join(left, points.select("cloud_id", "point_id", "x", "y", "z"), k, r).select("cloud_id", "sample_id", "point_id")
+    if passes > 1:
+        near = cut_lineage(near)
+    now = points.select("cloud_id", "point_id", "nx", "ny", "nz")
+    for step in range(passes):
+        mean = near.join(now, ["cloud_id", "point_id"]).groupBy("cloud_id", F.col("sample_id").alias("point_id")).agg(*[F.avg(c).alias(c) for c in ("nx", "ny", "nz")])
+        size = F.sqrt(dot(("nx", "ny", "nz"), ("nx", "ny", "nz")))
+        now = mean.withColumn("size_", size).select("cloud_id", "point_id", *[F.when(F.col("size_") > 0, F.col(c) / F.col("size_")).alias(c) for c in ("nx", "ny", "nz")])
+        if step + 1 < passes:
+            now = cut_lineage(now)
+    return now
 
 
 def frame_sums(samples: DataFrame, points: DataFrame, r: float) -> DataFrame:
@@ -62,22 +67,28 @@ def frame_sums(samples: DataFrame, points: DataFrame, r: float) -> DataFrame:
     return near.groupBy("cloud_id", "sample_id").agg(F.count("*").alias("n"), *[F.sum(f"n{c}").alias(f"t{c}") for c in "xyz"], *[F.sum(F.col(f"n{p[0]}") * F.col(f"n{p[1]}")).alias(f"m{p}") for p in PAIRS])
 
 
+def _frame(e: Column) -> Column:
+    """From both axes of the scatter: curvature axis c, normal n and binormal b as one struct; null where an axis is."""
+    a, n = ([e[axis][i] for i in range(3)] for axis in ("axis_min", "axis_max"))
+    big = F.greatest(*[F.struct(F.abs(v).alias("size"), F.lit(-i).alias("at"), v.alias("v")) for i, v in enumerate(a)])["v"]
+    flip_a, flip_n = F.when(big < 0, -1).otherwise(1), F.when(dot(n, ("tx", "ty", "tz")) < 0, -1).otherwise(1)
+    turned = F.struct(*[(v * flip_a).alias(f"c{i}") for i, v in enumerate(a)], *[(v * flip_n).alias(f"n{i}") for i, v in enumerate(n)])
+
+    def with_side(f: Column) -> Column:
+        c, m = ([f[f"{v}{i}"] for i in range(3)] for v in "cn")
+        return F.struct(*[x.alias(f"{v}{i}") for v, xs in (("n", m), ("b", cross(c, m)), ("c", c)) for i, x in enumerate(xs)])
+
+    return F.when(e["axis_min"].isNotNull() & e["axis_max"].isNotNull(), bind(turned, with_side))
+
+
 def local_frames(samples: DataFrame, points: DataFrame, r: float) -> DataFrame:
     """cloud_id, sample_id, n0..n2 (normal), b0..b2 (binormal), c0..c2 (curvature axis).
 
     The curvature axis is that of the least eigenvalue of the normals' scatter, its largest component positive; the
     normal that of the greatest, turned to the side of the summed normals; the binormal is their cross product.
     """
-    m = [f"m{p}" for p in PAIRS]
-    most, least = eigenvalues(m)
-    s = frame_sums(samples, points, r).withColumns({"l_max": most, "l_min": least})
-    s = s.withColumns({"a": eigenvector(m, F.col("l_min")), "b": eigenvector(m, F.col("l_max"))}).where("a is not null and b is not null")
-    big = F.greatest(*[F.struct(F.abs(F.col("a")[i]).alias("size"), F.lit(-i).alias("at"), F.col("a")[i].alias("v")) for i in range(3)])["v"]
-    flip_a = F.when(big < 0, -1).otherwise(1)
-    flip_b = F.when(dot([F.col("b")[i] for i in range(3)], ("tx", "ty", "tz")) < 0, -1).otherwise(1)
-    s = s.withColumns({f"c{i}": F.col("a")[i] * flip_a for i in range(3)} | {f"n{i}": F.col("b")[i] * flip_b for i in range(3)})
-    side = cross(("c0", "c1", "c2"), ("n0", "n1", "n2"))
-    return s.select("cloud_id", "sample_id", *[f"n{i}" for i in range(3)], *[x.alias(f"b{i}") for i, x in enumerate(side)], *[f"c{i}" for i in range(3)])
+    s = frame_sums(samples, points, r).select("cloud_id", "sample_id", bind(eigen([f"m{p}" for p in PAIRS]), _frame).alias("f_"))
+    return s.where("f_ is not null").select("cloud_id", "sample_id", "f_.*")
 
 
 def plane_inliers(points: DataFrame, planes: DataFrame, dist: float) -> DataFrame:
@@ -88,21 +99,35 @@ def plane_inliers(points: DataFrame, planes: DataFrame, dist: float) -> DataFram
 
 
 def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int = 42) -> DataFrame:
-    """cloud_id, a, b, c, d of the dominant plane: the best of planes through three hashed points, refitted to its inliers."""
-    tries = points.select("cloud_id", "point_id", "x", "y", "z", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("try"))
-    order = Window.partitionBy("cloud_id", "try").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "try", "point_id")))
-    three = tries.withColumn("k", F.row_number().over(order)).where("k <= 3")
-    three = three.groupBy("cloud_id", "try").agg(*[F.max(F.when(F.col("k") == k, F.col(c).cast("double"))).alias(f"{c}{k}") for k in (1, 2, 3) for c in "xyz"])
+    """cloud_id, a, b, c, d of the dominant plane: the best of planes through three drawn points, refitted to its inliers.
+
+    A try draws three of a cloud's points by a hash of seed, try and cloud; one that draws a point twice, or three in a line,
+    gives no plane. All tries of a cloud are counted in one pass over its points, and the refit is taken about
+    a point of the plane, so that large coordinates don't cancel. Points are numbered in one window a cloud.
+    """
+    order = Window.partitionBy("cloud_id").orderBy("point_id")
+    numbered = points.select("cloud_id", "x", "y", "z", (F.row_number().over(order) - 1).cast("long").alias("at"))
+    sizes = points.groupBy("cloud_id").agg(F.count("*").alias("m"))
+    draws = sizes.select("cloud_id", "m", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("try")).select("*", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
+    draws = draws.select("cloud_id", "try", "k", F.pmod(F.xxhash64(F.lit(seed), "try", "k", "cloud_id"), F.col("m")).alias("at"))
+    three = draws.join(numbered, ["cloud_id", "at"]).groupBy("cloud_id", "try").agg(*[F.max(F.when(F.col("k") == k, F.col(c).cast("double"))).alias(f"{c}{k}") for k in (1, 2, 3) for c in "xyz"])
     normal = cross(*[[F.col(f"{c}{k}") - F.col(f"{c}1") for c in "xyz"] for k in (2, 3)])
     planes = three.withColumns({f"n{i}": v for i, v in enumerate(normal)}).withColumn("len", F.sqrt(dot(("n0", "n1", "n2"), ("n0", "n1", "n2")))).where("len > 0")
     planes = planes.select("cloud_id", "try", *[(F.col(f"n{i}") / F.col("len")).alias(c) for i, c in enumerate("abc")], "x1", "y1", "z1").withColumn("d", -dot(("a", "b", "c"), ("x1", "y1", "z1")))
-    near = (F.abs(dot(("a", "b", "c"), ("x", "y", "z")) + F.col("d")) <= dist).cast("long")
-    count = points.join(planes, "cloud_id").groupBy("cloud_id", "try", "a", "b", "c", "d").agg(F.sum(near).alias("n"))
-    best = count.groupBy("cloud_id").agg(F.max(F.struct("n", F.col("try").alias("t"), "a", "b", "c", "d")).alias("m")).select("cloud_id", "m.a", "m.b", "m.c", "m.d")
-    best = cut_lineage(best)  # one row per cloud
-    axes = principal_axes(plane_inliers(points, best, dist).where("inlier"), ("cloud_id",))
+    tried = planes.groupBy("cloud_id").agg(F.array_sort(F.collect_list(F.struct("try", "a", "b", "c", "d"))).alias("planes"))  # at most ``iterations``
+
+    def near(i: int) -> Column:
+        p = F.get("planes", F.lit(i))
+        return F.sum((F.abs(dot((p["a"], p["b"], p["c"]), ("x", "y", "z")) + p["d"]) <= dist).cast("long")).alias(f"n{i}")
+
+    count = points.join(tried, "cloud_id").groupBy("cloud_id").agg(F.first("planes").alias("planes"), *[near(i) for i in range(iterations)])
+    every = F.array(*[F.struct(F.coalesce(f"n{i}", F.lit(-1)).alias("n"), F.get("planes", F.lit(i)).alias("p")) for i in range(iterations)])
+    best = cut_lineage(count.select("cloud_id", F.array_max(every).alias("m")).select("cloud_id", "m.p.a", "m.p.b", "m.p.c", "m.p.d").where("a is not null"))  # one row per cloud
+    foot = best.select("cloud_id", *[(-F.col("d") * F.col(v)).alias(f"o{c}") for v, c in zip("abc", "xyz", strict=True)])
+    on = plane_inliers(points, best, dist).where("inlier").join(foot, "cloud_id").select("cloud_id", "ox", "oy", "oz", *[(F.col(c) - F.col(f"o{c}")).alias(c) for c in "xyz"])
+    axes = principal_axes(on, ("cloud_id", "ox", "oy", "oz"))
     n = F.col("n").cast("double")
-    fit = axes.select("cloud_id", *[F.col("axis_min")[i].alias(c) for i, c in enumerate("abc")], *[(F.col(f"s{c}") / n).alias(f"g{c}") for c in "xyz"]).where("a is not null")
+    fit = axes.select("cloud_id", *[F.col("axis_min")[i].alias(c) for i, c in enumerate("abc")], *[(F.col(f"s{c}") / n + F.col(f"o{c}")).alias(f"g{c}") for c in "xyz"]).where("a is not null")
     return cut_lineage(fit.select("cloud_id", "a", "b", "c", (-dot(("a", "b", "c"), ("gx", "gy", "gz"))).alias("d")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -175,12 +176,13 @@ knn = lambda s, d: spatial.knn_join(fixture(s, d, "fx_samples"), fixture(s, d, "
 query("j2_knn_join", "SELECT cloud_id, sample_id, point_id, d2, rank FROM s_knn")(lambda s, d: knn(s, d).select("cloud_id", "sample_id", "point_id", "d2", "rank"))
 query("j9_nearest_centre", "SELECT cloud_id, point_id, arg_min(sample_id, (d2, sample_id)) AS centre_id, min(d2) AS d2 FROM (SELECT p.cloud_id, p.point_id, s.sample_id, (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) AS d2 FROM fx_obj p JOIN fx_samples s ON p.cloud_id = s.cloud_id) q GROUP BY ALL")(
     lambda s, d: spatial.nearest_centre(fixture(s, d, "fx_obj"), fixture(s, d, "fx_samples").select("cloud_id", F.col("sample_id").alias("centre_id"), *[F.col(f"s{c}").alias(f"c{c}") for c in "xyz"])))
+STEPS["s_all"] = "SELECT cloud_id, point_id AS sample_id, x AS sx, y AS sy, z AS sz FROM fx_points"
 query("a8_remove_statistical_outliers", """SELECT m.cloud_id, m.point_id FROM (SELECT cloud_id, a AS point_id, avg(sqrt(d2)) AS v FROM (SELECT p.cloud_id, p.sample_id AS a, q.sample_id AS b, (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz) AS d2,
-    row_number() OVER (PARTITION BY p.cloud_id, p.sample_id ORDER BY (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz), q.sample_id) AS k FROM fx_samples p JOIN fx_samples q ON p.cloud_id = q.cloud_id) n WHERE k <= 4 AND a <> b GROUP BY ALL) m
+    row_number() OVER (PARTITION BY p.cloud_id, p.sample_id ORDER BY (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz), q.sample_id) AS k FROM s_all p JOIN s_all q ON p.cloud_id = q.cloud_id) n WHERE k <= 4 AND a <> b GROUP BY ALL) m
     JOIN (SELECT cloud_id, avg(v) AS mu, stddev_samp(v) AS sigma FROM (SELECT cloud_id, a, avg(sqrt(d2)) AS v FROM (SELECT p.cloud_id, p.sample_id AS a, q.sample_id AS b, (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz) AS d2,
-    row_number() OVER (PARTITION BY p.cloud_id, p.sample_id ORDER BY (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz), q.sample_id) AS k FROM fx_samples p JOIN fx_samples q ON p.cloud_id = q.cloud_id) n WHERE k <= 4 AND a <> b GROUP BY ALL) w GROUP BY ALL) t ON m.cloud_id = t.cloud_id WHERE v <= mu + sigma OR sigma IS NULL
-    UNION ALL SELECT cloud_id, min(sample_id) FROM fx_samples GROUP BY cloud_id HAVING count(*) = 1""")(
-    lambda s, d: spatial.remove_statistical_outliers(fixture(s, d, "fx_samples").select("cloud_id", F.col("sample_id").alias("point_id"), *[F.col(f"s{c}").alias(c) for c in "xyz"]), 3, 1.0, 20_000).select("cloud_id", "point_id"))
+    row_number() OVER (PARTITION BY p.cloud_id, p.sample_id ORDER BY (p.sx - q.sx) * (p.sx - q.sx) + (p.sy - q.sy) * (p.sy - q.sy) + (p.sz - q.sz) * (p.sz - q.sz), q.sample_id) AS k FROM s_all p JOIN s_all q ON p.cloud_id = q.cloud_id) n WHERE k <= 4 AND a <> b GROUP BY ALL) w GROUP BY ALL) t ON m.cloud_id = t.cloud_id WHERE v <= mu + sigma OR sigma IS NULL
+    UNION ALL SELECT cloud_id, min(sample_id) FROM s_all GROUP BY cloud_id HAVING count(*) = 1""")(
+    lambda s, d: spatial.remove_statistical_outliers(fixture(s, d, "fx_points"), 3, 1.0, 12_000).select("cloud_id", "point_id"))
 query("a16_neighbourhood_stats", "SELECT cloud_id, sample_id, count(*) AS n, round(avg(x), 4) AS mx, round(avg(y), 4) AS my, round(avg(z), 4) AS mz, CAST(sum(cam0) AS BIGINT) AS seen_0, CAST(sum(cam1) AS BIGINT) AS seen_1 FROM s_radius GROUP BY ALL")(
     lambda s, d: spatial.neighbourhood_stats(near_samples(s, d)).select("cloud_id", "sample_id", "n", *r4("mx", "my", "mz"), "seen_0", "seen_1"))
 
@@ -189,8 +191,10 @@ _SUMS = "count(*) AS n, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS s{c}" for c
 query("a3_normal_moments", f"SELECT a.cloud_id, a.point_id, {_SUMS.replace('(x', '(b.x').replace('(y', '(b.y').replace('(z', '(b.z').replace('* x', '* b.x').replace('* y', '* b.y').replace('* z', '* b.z')} FROM fx_points a JOIN fx_points b ON a.cloud_id = b.cloud_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {R_NORMAL**2} GROUP BY ALL")(
     lambda s, d: normals.moments(spatial.radius_join(fixture(s, d, "fx_points").select("cloud_id", F.col("point_id").alias("own"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), fixture(s, d, "fx_points").drop("point_id"), R_NORMAL, lxyz=("ox", "oy", "oz")), ("cloud_id", "own")).withColumnRenamed("own", "point_id"))
 query("a3_estimate_normals")(lambda s, d: normals.estimate_normals(cams(fixture(s, d, "fx_normals")).drop("cam0", "cam1"), fixture(s, d, "fx_viewpoints"), R_NORMAL).select("cloud_id", "point_id", "nx", "ny", "nz"))
-query("a4_refine_normals", "SELECT cloud_id, sample_id AS point_id, round(sx / n, 4) AS nx, round(sy / n, 4) AS ny, round(sz / n, 4) AS nz FROM (SELECT cloud_id, sample_id, avg(nx) AS sx, avg(ny) AS sy, avg(nz) AS sz, nullif(sqrt(avg(nx) * avg(nx) + avg(ny) * avg(ny) + avg(nz) * avg(nz)), 0) AS n FROM s_knn GROUP BY ALL) q")(
-    lambda s, d: normals.refine_normals(fixture(s, d, "fx_normals"), K, 12_000, fixture(s, d, "fx_samples").select("cloud_id", F.col("sample_id").alias("point_id"), *[F.col(f"s{c}").alias(c) for c in "xyz"])).select("cloud_id", "point_id", *r4("nx", "ny", "nz")))
+STEPS["s_knn_all"] = STEPS["s_knn"].replace("fx_samples", "s_all")
+query("a4_refine_normals", "SELECT cloud_id, sample_id AS point_id, round(sx / n, 4) AS nx, round(sy / n, 4) AS ny, round(sz / n, 4) AS nz FROM (SELECT cloud_id, sample_id, avg(nx) AS sx, avg(ny) AS sy, avg(nz) AS sz, nullif(sqrt(avg(nx) * avg(nx) + avg(ny) * avg(ny) + avg(nz) * avg(nz)), 0) AS n FROM s_knn_all GROUP BY ALL) q")(
+    lambda s, d: normals.refine_normals(fixture(s, d, "fx_normals"), K, 12_000).select("cloud_id", "point_id", *r4("nx", "ny", "nz")))
+query("a4_refine_normals_3_passes")(lambda s, d: normals.refine_normals(fixture(s, d, "fx_normals"), K, 12_000, 3).select("cloud_id", "point_id", *r4("nx", "ny", "nz")))
 query("a6_frame_sums", "SELECT cloud_id, sample_id, count(*) AS n, CAST(sum(nx) AS BIGINT) AS tx, CAST(sum(ny) AS BIGINT) AS ty, CAST(sum(nz) AS BIGINT) AS tz, " + ", ".join(f"CAST(sum(n{p[0]} * n{p[1]}) AS BIGINT) AS m{p}" for p in normals.PAIRS) + " FROM s_radius GROUP BY ALL")(
     lambda s, d: normals.frame_sums(fixture(s, d, "fx_samples"), fixture(s, d, "fx_normals"), R_FRAME))
 query("a6_local_frames")(lambda s, d: normals.local_frames(fixture(s, d, "fx_samples"), fixture(s, d, "fx_normals"), 3 * R_FRAME))
@@ -200,9 +204,9 @@ query("e1_principal_axes", f"""SELECT cloud_id, n, round((q + 2 * p * cos(phi))
     lambda s, d: normals.principal_axes(fixture(s, d, "fx_points"), ("cloud_id",)).withColumn("q", (F.col("cxx") + F.col("cyy") + F.col("czz")) / 3).select("cloud_id", "n", F.round(F.col("l_max") / F.col("q"), 4).alias("l_max"), F.round(F.col("l_min") / F.col("q"), 4).alias("l_min")))
 flat = lambda s, d: fixture(s, d, "fx_points").select("cloud_id").distinct().select("cloud_id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.0).alias("c"), F.lit(-10000.0).alias("d"))
 query("a7_plane_inliers", "SELECT cloud_id, CAST(sum(CASE WHEN abs(z - 10000) <= 5000 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM fx_points GROUP BY ALL")(lambda s, d: normals.plane_inliers(fixture(s, d, "fx_points"), flat(s, d), 5000).groupBy("cloud_id").agg(F.sum(F.col("inlier").cast("long")).alias("n")))
-query("a7_fit_plane")(lambda s, d: normals.fit_plane(fixture(s, d, "fx_points"), 10_000, 8))
+query("a7_fit_plane")(lambda s, d: normals.fit_plane(fixture(s, d, "fx_points"), 10_000))
 query("u3_remove_plane", "SELECT * FROM fx_points WHERE abs(z - 10000) > 5000")(lambda s, d: normals.remove_plane(fixture(s, d, "fx_points"), flat(s, d), 5000))
-query("t7_sample_above_plane")(lambda s, d: normals.sample_above_plane(fixture(s, d, "fx_points"), 10_000, 8))
+query("t7_sample_above_plane")(lambda s, d: normals.sample_above_plane(fixture(s, d, "fx_points"), 10_000))
 
 # poses
 _GRID = " UNION ALL ".join(f"SELECT {a}, {k}, " + ", ".join(str(round(sum(t[3 * i + m] * r[3 * m + j] for m in range(3)))) for i in range(3) for j in range(3)) for a in range(3) for k in range(2) for t in [[-1, 0, 0, 0, 1, 0, 0, 0, -1]] for r in [poses.axis_rotation(a, -1.5707963267948966 + 1.5707963267948966 * k)])
@@ -310,12 +314,11 @@ query("i9_project3", f"SELECT {_KEYS}, view, count(*) AS n, CAST(round(600000 *
 query("i10_describe_1", f"SELECT {_KEYS}, 0 AS channel, row, col, value FROM ({_U8}) q WHERE value <> 0")(lambda s, d: raster.describe(unit(s, d), SIZE, 1).withColumn("value", F.col("value").cast("int")))
 for _n in (3, 12, 15):
     query(f"i10_describe_{_n}")(lambda s, d, n=_n: raster.describe(unit(s, d), SIZE, n))
-query("c4_describe_candidates")(lambda s, d: pipelines.describe_candidates(at(s, d), fixture(s, d, "fx_obj"), IMAGE, 1, HAND).select(*poses.POSE, F.xxhash64("image").alias("image_hash")))
-shadow = lambda s, d: raster.shadow_voxels(near_samples(s, d), fixture(s, d, "fx_viewpoints"), 60_000, 3000, draws=10)
+shadow = lambda s, d: raster.shadow_voxels(near_samples(s, d), fixture(s, d, "fx_viewpoints"), 60_000, 3000)
 STEPS["s_voxels"] = """SELECT DISTINCT cloud_id, sample_id, cam_id, CAST(trunc((x + far * dx) / 3000) AS BIGINT) AS ix, CAST(trunc((y + far * dy) / 3000) AS BIGINT) AS iy, CAST(trunc((z + far * dz) / 3000) AS BIGINT) AS iz FROM (
-    SELECT r.cloud_id, r.sample_id, c.cam_id, x, y, z, (k + 0.5::DOUBLE) / 10 * 60000 AS far, (mx - vx) / len AS dx, (my - vy) / len AS dy, (mz - vz) / len AS dz FROM s_radius r JOIN (
+    SELECT r.cloud_id, r.sample_id, c.cam_id, x, y, z, (k + 0.5::DOUBLE) / 20 * 60000 AS far, (mx - vx) / len AS dx, (my - vy) / len AS dy, (mz - vz) / len AS dz FROM s_radius r JOIN (
     SELECT m.*, v.*  EXCLUDE (cloud_id), sqrt((mx - vx) * (mx - vx) + (my - vy) * (my - vy) + (mz - vz) * (mz - vz)) AS len FROM (SELECT cloud_id, sample_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, max(cam0) AS c0, max(cam1) AS c1 FROM s_radius GROUP BY ALL) m
-    JOIN fx_viewpoints v ON v.cloud_id = m.cloud_id AND (v.cam_id = 0 AND c0 = 1 OR v.cam_id = 1 AND c1 = 1)) c ON r.cloud_id = c.cloud_id AND r.sample_id = c.sample_id, (SELECT unnest(generate_series(0, 9)) AS k) g) q"""
+    JOIN fx_viewpoints v ON v.cloud_id = m.cloud_id AND (v.cam_id = 0 AND c0 = 1 OR v.cam_id = 1 AND c1 = 1)) c ON r.cloud_id = c.cloud_id AND r.sample_id = c.sample_id, (SELECT unnest(generate_series(0, 19)) AS k) g) q"""
 query("i11_shadow_voxels", "SELECT cloud_id, sample_id, cam_id, count(*) AS n, CAST(sum(ix) AS BIGINT) AS ix, CAST(sum(iy) AS BIGINT) AS iy, CAST(sum(iz) AS BIGINT) AS iz FROM s_voxels GROUP BY ALL")(
     lambda s, d: shadow(s, d).groupBy("cloud_id", "sample_id", "cam_id").agg(F.count("*").alias("n"), *[F.sum(f"i{c}").alias(f"i{c}") for c in "xyz"]))
 query("i12_shadow_intersection", "SELECT v.cloud_id, v.sample_id, ix, iy, iz FROM s_voxels v JOIN (SELECT cloud_id, sample_id, count(DISTINCT cam_id) AS m FROM s_voxels GROUP BY ALL) c ON v.cloud_id = c.cloud_id AND v.sample_id = c.sample_id GROUP BY v.cloud_id, v.sample_id, ix, iy, iz, m HAVING count(*) = m")(lambda s, d: raster.shadow_intersection(shadow(s, d)))
@@ -403,4 +406,97 @@ query("m5_select_best", "SELECT arg_max(model_id, (accuracy, -model_id)) AS mode
     lambda s, d: scoring.select_best(s.read.parquet(f"{d}/embeddings.parquet").groupBy(F.col("label").alias("model_id")).agg(F.round(F.avg(F.when(F.col("embedding")[0] > 0, 100.0).otherwise(0.0)), 4).alias("accuracy"))))
 query("c1_preprocess", f"SELECT cloud_id, x, y, z, n_points FROM (SELECT cloud_id, lx + (x - lx) // 3000 * 3000 AS x, ly + (y - ly) // 3000 * 3000 AS y, lz + (z - lz) // 3000 * 3000 AS z, count(*) AS n_points FROM (SELECT * FROM fx_points_dirty WHERE x IS NOT NULL AND {_sides('x', 'y', 'z')}) n JOIN (SELECT cloud_id, min(x) AS lx, min(y) AS ly, min(z) AS lz FROM fx_points_dirty WHERE x IS NOT NULL AND {_sides('x', 'y', 'z')} GROUP BY ALL) b USING (cloud_id) GROUP BY ALL) q")(
     lambda s, d: pipelines.preprocess(fixture(s, d, "fx_points_dirty"), fixture(s, d, "fx_viewpoints"), BOX, 3000).select("cloud_id", "x", "y", "z", "n_points"))
-query("c3_detect")(lambda s, d: pipelines.detect(at(s, d), fixture(s, d, "fx_obj"), IMAGE, 1, HAND, net(SIZE), 5).select("cloud_id", "sample_id", "orient", "score", "rank"))
+query("c1_preprocess_full")(lambda s, d: pipelines.preprocess(cams(fixture(s, d, "fx_normals")).drop("cam0", "cam1"), fixture(s, d, "fx_viewpoints"), BOX, 3000, R_NORMAL, (K, 12_000, 2), 10_000, 30).select("cloud_id", "point_id", *r4("nx", "ny", "nz"), "sample"))
+
+# detection: the linear scorer's scores are whole numbers, so that SQL can rank as Spark does
+REACH = Box(-120_000, 120_000, -120_000, 120_000, -120_000, 120_000)
+WIDTHS = (5_000, 100_000)
+SCORER = [i % 7 - 3 for i in range(SIZE * SIZE)]
+TURNS = ((1, 0, 0, 0, 1, 0, 0, 0, 1), (0, -1, 0, 1, 0, 0, 0, 0, 1), (-1, 0, 0, 0, -1, 0, 0, 0, 1), (0, 1, 0, -1, 0, 0, 0, 0, 1))
+
+
+def turned(samples):
+    """The four quarter turns about z at every sample, as the fixture has them."""
+    every = F.array(*[F.struct(F.lit(k).alias("orient"), *[F.lit(x).alias(c) for c, x in zip(poses.R, r, strict=True)]) for k, r in enumerate(TURNS)])
+    return samples.withColumn("t_", F.explode(every)).select(*samples.columns, "t_.*")
+
+
+def obj(s, d):
+    return fixture(s, d, "fx_obj").withColumns({c: F.col(c) / 1000 for c in ("nx", "ny", "nz")})
+
+
+def by_weights(images):
+    return scoring.linear_score(images, SCORER)
+
+
+def _hand_in(c: str) -> str:
+    i = "xyz".index(c)
+    at = f"p{c} + 60000 * r{i}1, p{c} - 60000 * r{i}1, p{c} + 60000 * r{i}0 + 60000 * r{i}1, p{c} - 60000 * r{i}0"
+    return f"least({at}) >= -120000 AND greatest({at}) <= 120000"
+
+
+_AT = ", ".join(f"r{i}0 * (top - 60000) + r{i}1 * ((slot_l + 10000 + slot_r) / 2) + s{c} AS p{c}" for i, c in enumerate("xyz"))
+STEPS["d_cands"] = f"SELECT *, top - 60000 AS bottom FROM (SELECT p.*, slot_l, slot_r, top, width, label, {_AT} FROM fx_poses p JOIN s_fit USING ({_KEYS}) JOIN s_deep USING ({_KEYS}) JOIN s_width USING ({_KEYS}) JOIN s_label USING ({_KEYS})) q WHERE width >= 5000 AND width <= 100000 AND {' AND '.join(map(_hand_in, 'xyz'))}"
+STEPS["d_unit"] = STEPS["s_unit"].replace("SELECT n.*, -50000 AS bottom, (slot_l + 10000 + slot_r) / 2 AS centre FROM s_held n", f"SELECT n.*, c.bottom, (c.slot_l + 10000 + c.slot_r) / 2 AS centre FROM s_neigh n JOIN (SELECT {_KEYS}, bottom, slot_l, slot_r FROM d_cands) c USING ({_KEYS})")
+for _new, _old in (("d_cells", "s_cells"), ("d_depth", "s_depth"), ("d_wide", "s_wide")):
+    STEPS[_new] = re.sub(r"\bs_(unit|cells|depth)\b", r"d_\1", STEPS[_old])
+STEPS["d_u8"] = _U8.replace("s_wide", "d_wide")
+STEPS["d_told"] = f"SELECT {_KEYS}, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * ((row * {SIZE} + col) % 7 - 3)) AS BIGINT) AS score FROM d_u8 WHERE value <> 0 GROUP BY ALL"
+
+
+def filtered(s, d):
+    found = pipelines.generate_candidates(fixture(s, d, "fx_samples"), fixture(s, d, "fx_poses"), obj(s, d), HAND, P, 5000, 20.0, 6, 3000)
+    return spatial.cut_lineage(pipelines.filtered_candidates(found, HAND, REACH, WIDTHS))
+
+
+def c4_describe(s, d):
+    """The images of all candidates in the workspace, told by their sum and by a weighted sum."""
+    images = pipelines.describe_candidates(filtered(s, d), fixture(s, d, "fx_obj"), IMAGE, 1, HAND)
+    total = F.aggregate("image", F.lit(0).cast("long"), lambda n, v: n + v)
+    return by_weights(images).select(*poses.POSE, total.alias("total"), F.col("score").cast("long").alias("score"))
+
+
+query("c4_describe_candidates", "SELECT * FROM d_told")(c4_describe)
+
+
+def detected(s, d, **more):
+    """Ranked poses of every cloud, the whole way from its samples."""
+    options = {"placements": P, "step": 5000, "friction": 20.0, "viable": 6, "near": 3000}
+    return pipelines.detect(obj(s, d), fixture(s, d, "fx_samples"), fixture(s, d, "fx_poses"), HAND, IMAGE, 1, by_weights, 5, REACH, WIDTHS, **options, **more)
+
+
+query("c3_detect", f"SELECT * FROM (SELECT {_KEYS}, score, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, sample_id, orient) AS rank FROM d_told) q WHERE rank <= 5")(
+    lambda s, d: detected(s, d).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.col("score").cast("long").alias("score"), "rank"))
+query("c3_detect_upward", f"SELECT * FROM (SELECT {_KEYS}, score, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, sample_id, orient) AS rank FROM d_told JOIN (SELECT {_KEYS}, r00 FROM fx_poses) r USING ({_KEYS}) WHERE r00 = 1) q WHERE rank <= 5")(
+    lambda s, d: detected(s, d, direction=(1, 0, 0), most_angle=0.5).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.col("score").cast("long").alias("score"), "rank"))
+query("c3_detect_clustered")(lambda s, d: detected(s, d, clusters=2, limits=LIMITS).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.round("score", 3).alias("score"), "rank"))
+
+
+def rounds(s, d, nearest_only: bool):
+    first = fixture(s, d, "fx_samples").select("cloud_id", "sample_id", *[F.col(f"s{c}").cast("double").alias(f"s{c}") for c in "xyz"])
+    return pipelines.detect_iterative(obj(s, d), first, turned, HAND, 1, 6, 5_000, REACH, WIDTHS, nearest_only=nearest_only, placements=P, step=5000, friction=20.0, viable=6, near=3000)
+
+
+query("u4_accumulate_rounds")(lambda s, d: rounds(s, d, True).select(*poses.POSE, "round", "label", *[F.round(c, 2).alias(c) for c in ("px", "py", "pz", "width")]))
+query("c5_detect_iterative")(lambda s, d: pipelines.best_of_rounds(rounds(s, d, False), obj(s, d), HAND, IMAGE, 1, by_weights, -100_000, 5).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.round("score", 3).alias("score"), "rank"))
+
+
+def c7_whole(s, d):
+    """From scans to a shuffled, balanced, split training set, the images told by their sums."""
+    views = cams(fixture(s, d, "fx_obj").join(fixture(s, d, "fx_normals").select("cloud_id", "point_id", "cam0", "cam1"), ["cloud_id", "point_id"])).select("cloud_id", "point_id", "x", "y", "z", "cams")
+    told = pipelines.training_instances(views, mesh(s, d), fixture(s, d, "fx_viewpoints"), turned, HAND, IMAGE, 1, REACH, WIDTHS, 2000, R_NORMAL, 6, 2, 2, 20.0, 6, 3000, placements=P, step=5000)
+    total = F.aggregate("image", F.lit(0).cast("long"), lambda n, v: n + v)
+    return pipelines.build_training_set(told, 20, (0, 5, 10, 15)).select("view_id", "id", "label", "split", "round", total.alias("total"))
+
+
+query("c7_training_set_from_scans")(c7_whole)
+
+
+def m3_train(s, d):
+    """Scores of a model fitted on four fifths of the vectors, for all of them."""
+    rows = features(s, d).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(5)))
+    model = scoring.train_scorer(rows.where("part > 0"), [f"f{i}" for i in range(16)], maxIter=20)
+    return model.transform(rows).select("vec_id", F.col("prediction").cast("int").alias("prediction"))
+
+
+query("m3_train_scorer")(m3_train)
