@@ -8,8 +8,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pointlake.llm import exact_topk, ivf_pq, line_dedup, lyndon_sort, minhash_dedup, mix_sources, pieces, secret_scan, suffix_dedup, token_files, toxicity
+from pointlake.llm import cached_encode, exact_topk, ivf_pq, line_dedup, lyndon_sort, minhash_dedup, mix_sources, pieces, secret_scan, suffix_dedup, textnum, token_files, toxicity
 from pointlake.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -254,3 +255,118 @@ def test_neighbours_recall(spark):
         hits += len({*np.argsort(-s)[:5]} & {r.vec_id for r in got if r.query_id == q})
     assert hits / 60 >= 0.9
     assert ivf_pq.neighbours(vectors(spark, [None]), "vec_id % 50 = 0").count() == 0
+
+
+def thue_morse(n):
+    """A string of n letters and its complement, which sums of powers modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_hashes_tell_thue_morse_strings_apart(spark, n):
+    one, two = thue_morse(n)
+    data, ends = np.frombuffer((one + two).encode(), np.uint8), np.array([n, 2 * n])
+    assert len({*textnum.hashes(data, ends - n, ends).tolist()}) == 2
+    assert all(len({*textnum.ranges(textnum.prefix(data, w), ends - n, ends, w).tolist()}) == 2 for w in (0, 1))
+    frame = docs(spark, [one, two])
+    assert [r.kept for r in minhash_dedup.minhash_components(frame).collect()] == [True, True]
+    path = tokenizer_file("piece_bpe_32k.model")
+    assert {r.doc_id: r.decoded for r in pieces.decode_pieces(pieces.encode_pieces(frame, path), path).collect()} == {0: one, 1: two}
+
+
+def test_chunks_of_one_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(textnum, "hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    encoder = cached_encode.ChunkEncoder(lambda texts: [list(t) for t in texts])
+    data = np.frombuffer(b"abcabd", np.uint8)
+    count, ids = encoder.encode(data, np.array([0, 3, 0]), np.array([3, 6, 2]))
+    assert count.tolist() == [3, 3, 2] and ids.tolist() == list(b"abcabdab")
+
+
+def test_near_dedup_keeps_rows_of_one_id_with_other_texts(spark):
+    frame = docs(spark, ["", "other text altogether", "p q r s t u", "p q r s t u", "p q r s t u", None], [3, 3, 5, 5, 4, None]).withColumn("kept_id", F.lit(1)).withColumn("kept_0", F.lit(2))
+    out = minhash_dedup.keep_one_of_each(frame)
+    assert out.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, ""), (3, ""), (3, "other text altogether"), (4, "p q r s t u")]
+    assert minhash_dedup.keep_one_of_each(docs(spark, [])).count() == 0
+
+
+def test_mixing_with_clashing_names_ties_and_repeats(spark):
+    frame = docs(spark, ["t"] * 4, [1, 1, 2, None]).withColumns({c: F.lit(7) for c in ("mix_source", "mix_cdf", "mix_u", "source_0", "copy")})
+    out = mix_sources.mix_sources(frame)
+    assert out.columns == [*[c for c in frame.columns if c != "copy"], "copy", "shuffle_key"]
+    rows = out.collect()
+    assert all(r.mix_u == 7 and r.source_0 == 7 for r in rows) and sum(r.doc_id == 1 for r in rows) % 2 == 0
+
+
+def test_line_dedup_with_clashing_names_and_repeated_ids(spark):
+    frame = docs(spark, ["one two\nthree", "one two\nfour", "", None, "one two"], [1, 2, 2, 3, None]).withColumns({c: F.lit(1) for c in ("doc_0", "gone_0", "removed_lines_", "line", "s")})
+    out = line_dedup.dedup_lines(frame, count_col="n_removed")
+    assert sorted((r.doc_id or 0, str(r.text)) for r in out.collect()) == [(0, "one two"), (1, "one two\nthree"), (2, ""), (2, "four"), (3, "None")]
+
+
+def test_line_dedup_of_many_near_copies_of_one_line(spark):
+    """More copies than ``HOT``: the way by rarity, with its star and the lines that find no match there."""
+    rng, lines = np.random.default_rng(11), []
+    base = [f"b{i}" for i in range(60)]
+    for k in range(300):
+        line = list(base)
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            line[at] = f"x{k}_{at}"
+        lines.append(" ".join(line))
+    got = {r.doc for r in line_dedup.removed_lines(docs(spark, lines)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x.split() for x in lines)]
+    want = {i for i in range(300) if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(i))}
+    assert got == want and len(want) > 100
+
+
+def test_topk_of_very_large_components(spark):
+    x = [[1e300, 1.0], [1e300, 2.0], [3.0, -1e-9], [0.5, 0.25]]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in exact_topk.exact_topk(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), "vec_id = 3", 2).collect()}
+    assert got == {(3, 1): (0, 2**63 - 1), (3, 2): (1, 2**63 - 1)}
+    assert exact_topk.exact_topk(vectors(spark, []), "vec_id = 3").count() == 0
+
+
+def test_neighbours_recall_with_many_lists(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(ivf_pq, "fit", lambda *a, of=ivf_pq.fit, **k: fitted.append(of(*a, **k)) or fitted[-1])
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 1, (40, 16))
+    x = (centres[rng.integers(0, 40, 3000)] + rng.normal(0, 0.3, (3000, 16))).astype(np.float32)
+    got = ivf_pq.neighbours(vectors(spark, x), "vec_id % 50 = 0", part_rows=256, strip_rows=16).collect()
+    u, hits = x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for q in range(0, 3000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len({*np.argsort(-s)[:5]} & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 300 >= 0.9 and len(fitted[0].centroids) >= 64 and fitted[0].rerank <= 0.3 * 3000
+
+
+def test_toxicity_of_repeated_ids_and_empty_tables(spark):
+    frame = docs(spark, ["a b", "c d", None], [1, 1, 2])
+    assert toxicity.fit_toxicity(frame, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
+    assert toxicity.fit_toxicity(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")) is None
+    assert toxicity.score_toxicity(docs(spark, []), None).count() == 0
+
+
+def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    clean = [words(rng, 40) for _ in range(60)]
+    texts = [*clean, *clean[:5], *[t + " nasty ugly" for t in clean[20:40]]]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i >= 65)) for i in range(85)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (name, apply) in enumerate(corpus_pipeline.STAGES):
+        out = apply(spark, table, str(tmp_path))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out.write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+        ids = [r.doc_id for r in table.collect()]
+        if name == "line_dedup":
+            assert all(not r.text for r in table.where("doc_id between 60 and 64").collect())
+        if name == "near_dedup":
+            assert len(ids) == len(set(ids)) and {*range(60)} <= {*ids}
+    assert "token_ids" in table.columns
