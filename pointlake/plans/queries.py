@@ -484,7 +484,7 @@ query("c5_detect_iterative")(lambda s, d: pipelines.best_of_rounds(rounds(s, d,
 def c7_whole(s, d):
     """From scans to a shuffled, balanced, split training set, the images told by their sums."""
     views = cams(fixture(s, d, "fx_obj").join(fixture(s, d, "fx_normals").select("cloud_id", "point_id", "cam0", "cam1"), ["cloud_id", "point_id"])).select("cloud_id", "point_id", "x", "y", "z", "cams")
-    told = pipelines.training_instances(views, mesh(s, d), fixture(s, d, "fx_viewpoints"), turned, HAND, IMAGE, 1, REACH, WIDTHS, 2000, R_NORMAL, 6, 2, 2, 20.0, 6, 3000, placements=P, step=5000)
+    told = pipelines.training_instances(views, mesh(s, d), fixture(s, d, "fx_viewpoints"), turned, HAND, IMAGE, 1, REACH, WIDTHS, 2000, R_NORMAL, 6, 2, 2, 20.0, 1, 20_000, placements=P, step=5000)
     total = F.aggregate("image", F.lit(0).cast("long"), lambda n, v: n + v)
     return pipelines.build_training_set(told, 20, (0, 5, 10, 15)).select("view_id", "id", "label", "split", "round", total.alias("total"))
 

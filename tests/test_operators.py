@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointlake.functions.vec import axis_rotation, eigenvalues, eigenvector
-from pointlake.operators import clean, dataset, normals, poses, ranking, scoring, spatial
+from pointlake.operators import clean, dataset, normals, poses, ranking, raster, scoring, spatial
 from pointlake.params import Box, Hand
 from pointlake.sources import io
 
@@ -124,9 +124,57 @@ def test_resampling_stops_when_every_view_has_enough(spark):
 
 
 def test_convolution():
-    x = np.array([[1, 1, 1, 0, 0], [0, 1, 1, 1, 0], [0, 0, 1, 1, 1], [0, 0, 1, 1, 0], [0, 1, 1, 0, 0]], float)
-    w = np.array([[1, 0, 1], [0, 1, 0], [1, 0, 1]], float)
-    assert scoring.convolve(x[None, None], w[None, None], np.zeros(1))[0, 0].tolist() == [[4, 3, 4], [2, 4, 3], [2, 3, 4]]
+    rng = np.random.default_rng(4)
+    x, w, bias = rng.normal(size=(2, 3, 7, 6)), rng.normal(size=(4, 3, 3, 2)), rng.normal(size=4)
+    want = np.zeros((2, 4, 5, 5))
+    for n, k, i, j in np.ndindex(want.shape):
+        want[n, k, i, j] = (x[n, :, i : i + 3, j : j + 2] * w[k]).sum() + bias[k]
+    assert np.allclose(scoring.convolve(x, w, bias), want)
+
+
+def test_packed_image_fills_gaps(spark):
+    rows = [(1, 1, 0, c, r, k, v) for c, r, k, v in ((0, 0, 0, 7), (1, 2, 1, 9), (0, 2, 2, 5))]
+    pixels = spark.createDataFrame(rows, "cloud_id int, sample_id int, orient int, channel int, row int, col int, value short")
+    want = np.zeros((3, 3, 2), int)
+    want[0, 0, 0], want[2, 1, 1], want[2, 2, 0] = 7, 9, 5
+    assert raster.pack(pixels, 3, 2).first()["image"] == want.ravel().tolist()
+
+
+def test_normals_join_the_cloud_they_belong_to(spark, tmp_path):
+    head = "VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA ascii\n"
+    for name, z in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}_gt.pcd").write_text(head + f"0 0 {z}\n1 0 {z}\n")
+        (tmp_path / f"{name}_gt_normals.csv").write_text(f"0,0,{z}\n0,{z},0\n")
+    manifest = spark.createDataFrame([(str(tmp_path / f"{n}_gt.pcd"), str(tmp_path / f"{n}_gt_normals.csv")) for n in "ab"], "cloud string, normals string")
+    normals_ = io.read_normals_csv(spark, str(tmp_path / "*_normals.csv"), manifest)
+    got = clean.attach_normals(io.ingest_pcd(spark, str(tmp_path / "*.pcd")), normals_).orderBy("z", "x")
+    assert [(r.z, r.ny, r.nz) for r in got.collect()] == [(1, 0, 1), (1, 1, 0), (2, 0, 2), (2, 2, 0)]
+
+
+def test_refined_normals_settle(spark):
+    df = cloud(spark, [(i, j, 0) for i in range(4) for j in range(4)]).withColumns({"nx": F.when(F.col("point_id") == 5, 0.6).otherwise(0.0), "ny": F.lit(0.0), "nz": F.when(F.col("point_id") == 5, 0.8).otherwise(1.0)})
+    one, three = (normals.refine_normals(df, 5, 1.5, n).agg(F.max(F.abs("nx"))).first()[0] for n in (1, 3))
+    assert 0 < three < one < 0.6
+
+
+def test_frame_plans_stay_small(spark):
+    df = cloud(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0)]).withColumns({"nx": F.lit(0.6), "ny": F.lit(0.0), "nz": F.lit(0.8)})
+    samples = df.select("cloud_id", F.col("point_id").alias("sample_id"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    plan = normals.local_frames(samples, df, 2.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
+
+
+def test_matrices_descriptors_and_clouds_round_trip(spark, tmp_path):
+    m = spark.createDataFrame([("a", [float(i) for i in range(16)])], "object string, m array<double>")
+    m.write.parquet(str(tmp_path / "m"))
+    assert io.read_matrices(spark, str(tmp_path / "m")).first()["m"][5] == 5
+    cands = spark.createDataFrame([(1, 2, 3, [0.0] * 16, 0.5)], "cloud_id int, sample_id int, orient int, m array<double>, width double")
+    images = spark.createDataFrame([(1, 2, 3, [1, 2])], "cloud_id int, sample_id int, orient int, image array<short>")
+    io.write_descriptors(cands, images, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d")).first()["image"] == [1, 2]
+    points = cloud(spark, [(1, 2, 3)]).withColumns({"object": F.lit("o"), "camera": F.lit(4)})
+    io.write_clouds(points, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).where("object = 'o' and camera = 4").count() == 1
 
 
 def test_dedupe_keeps_the_better_pose(spark):
@@ -150,7 +198,8 @@ def test_files_of_clouds(spark, tmp_path):
 def test_round_trips_of_sinks(spark, tmp_path):
     df = box(spark)
     io.write_normals_csv(df, str(tmp_path / "n"))
-    assert io.read_normals_csv(spark, str(tmp_path / "n")).count() == df.count()
+    back = io.read_normals_csv(spark, str(tmp_path / "n"))
+    assert back.count() == df.count() and {r[0] for r in back.select("cloud_id").distinct().collect()} == {r[0] for r in df.select("cloud_id").distinct().collect()}
     inst = spark.createDataFrame([("a", [1, 2], "train"), ("b", [3, 4], "test")], "id string, image array<int>, split string")
     io.write_instances(inst, str(tmp_path / "i"))
     io.write_instances(inst, str(tmp_path / "i"))

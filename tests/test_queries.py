@@ -9,7 +9,7 @@ import pytest
 from pointlake.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-SOME = ("c0_flagship", "a2_voxelize", "j1_radius_join", "a9_finger_placements", "a12_deepen", "a14_antipodal_label", "i8_minmax_u8", "i12_shadow_intersection", "t5_subsample_indices", "c8_align_scans")
+SOME = ("c0_flagship", "a2_voxelize", "j1_radius_join", "a9_finger_placements", "a12_deepen", "a14_antipodal_label", "i8_minmax_u8", "i12_shadow_intersection", "t5_subsample_indices", "c8_align_scans", "c3_detect", "c4_describe_candidates")
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="the given tables are not here")
