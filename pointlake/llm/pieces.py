@@ -10,13 +10,17 @@ entry, and the chunks' best paths simply join. Each worker keeps the ids of ever
 
 A giant document is cut anywhere instead, into chunks of a fixed number of characters that are tasks of their
 own. A boundary's state is the number of characters by which the last piece reaches beyond it. Every chunk
-yields the matrix of best scores from each state at its start to each state at its end; the matrices of a
-document are combined by an associative max-plus scan, which fixes the states at all boundaries of the best path,
-and each chunk is then backtraced by itself.
+yields the matrix of best scores from each state at its start to each state at its end. Groups of chunks combine
+theirs by an associative max-plus scan, then the groups of a document theirs, which gives the best scores of all states
+at every boundary. With these each chunk says which state at its start belongs to each state at its end; these maps
+are followed from the end of the document, and each chunk is then backtraced by itself.
+
+Of segmentations with one score that is given whose last piece is longest, then the one before it, and so on. Both
+ways keep this rule, so it doesn't matter for the ids which of them a text takes.
 
 The vocabulary given here was made for merges, not for scores: its files rank pieces. A piece's score is taken as
 its log-probability under Zipf's law by that rank (see ``Vocabulary``), so segmentations are the most probable
-ones under that law, and not those of the merge procedure. Decoding gives back the text exactly.
+ones under that law, and not those of the merge procedure. Decoding gives back the text exactly, but for marks of its own, which become spaces.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tx
 from .cached_encode import ChunkEncoder
-from .shared import cut
+from .shared import cut, fresh
 
 MARK = "▁"
 NEVER = -(1 << 60)
@@ -122,19 +126,36 @@ class Vocabulary:
         out[out < NEVER // 2] = NEVER
         return out
 
-    def between(self, text: str, size: int, begin: int, end: int) -> list[int]:
-        """The ids of the best path through a chunk from one state to another."""
-        best, back = [NEVER] * (size + self.longest), [(0, ())] * (size + self.longest)
-        best[begin] = 0
-        for i in range(begin, size):
+    def paths(self, text: str, size: int, entry: np.ndarray) -> tuple[list[int], list[tuple[int, ...]]]:
+        """From the scores of the states at a chunk's start: of each place (the place before it, the ids between them)."""
+        best, back, said = [NEVER] * (size + self.longest), list(range(size + self.longest)), [()] * (size + self.longest)
+        best[: len(entry)] = entry.tolist()
+        for i in range(size):
             if best[i] > NEVER:
                 for length, score, ids in self.steps(text, i):
+                    # a state at the start is a piece that begins before all of this chunk's
                     if best[i] + score > best[i + length]:
-                        best[i + length], back[i + length] = best[i] + score, (i, ids)
+                        best[i + length], back[i + length], said[i + length] = best[i] + score, i, ids
+        return back, said
+
+    def begins(self, text: str, size: int, entry: np.ndarray) -> list[int]:
+        """The state at the chunk's start on the path to each state at its end that can be reached."""
+        back, said = self.paths(text, size, entry)
+        out = []
+        for end in range(self.longest):
+            i = size + end
+            while said[i]:
+                i = back[i]
+            out.append(i)
+        return out
+
+    def between(self, text: str, size: int, end: int, entry: np.ndarray) -> list[int]:
+        """The ids of the pieces that begin in a chunk, on the path to a state at its end."""
+        back, said = self.paths(text, size, entry)
         out, i = [], size + end
-        while i > begin:
-            i, ids = back[i]
-            out.append(ids)
+        while said[i]:
+            out.append(said[i])
+            i = back[i]
         return [x for ids in reversed(out) for x in ids]
 
     def decode(self, ids: list[int]) -> str:
@@ -157,14 +178,22 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state at the start, state at the end) of each chunk on the best path from state 0 to state 0."""
-    prefixes, state, out = scan(matrices), 0, []
-    for k in range(len(matrices) - 1, -1, -1):
-        into = prefixes[k - 1][0] if k else np.where(np.arange(len(matrices[0])) == 0, 0, NEVER)
-        begin = int((into + matrices[k][:, state]).argmax())
-        out.append((begin, state))
-        state = begin
+def start_scores(states: int) -> np.ndarray:
+    """Of the states before the first chunk: nothing reaches into it."""
+    return np.where(np.arange(states) == 0, 0, NEVER)
+
+
+def after(entry: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Scores of the states behind a stretch, from those before it and its matrix."""
+    return np.maximum((entry[:, None] + matrix).max(axis=0), NEVER)
+
+
+def end_states(begins: list[list[int]]) -> list[int]:
+    """The state at each chunk's end, from the chunks' maps; the last one ends in state 0."""
+    out, state = [], 0
+    for into in reversed(begins):
+        out.append(state)
+        state = into[state]
     return out[::-1]
 
 
@@ -234,49 +263,96 @@ def _matrices(path: str, chunk: int):
     return run
 
 
-def _states(key: tuple, table: pa.Table) -> pa.Table:
-    order = np.argsort(table["i"].to_numpy())
-    raw = table["matrix"].to_pylist()
-    n = math.isqrt(len(raw[0]) // 8)
-    states = boundary_states([np.frombuffer(raw[j], np.int64).reshape(n, n) for j in order])
-    return pa.table({"key": table["key"].take(pa.array(order)), "i": table["i"].take(pa.array(order)), "begin": pa.array([s[0] for s in states], pa.int32()), "end": pa.array([s[1] for s in states], pa.int32())})
+def _square(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.int64)
+    return x.reshape(math.isqrt(len(x)), -1)
+
+
+def _ordered(table: pa.Table, by: str) -> pa.Table:
+    return table.take(pa.array(np.argsort(table[by].to_numpy())))
+
+
+def _prefixes(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a group of neighbouring chunks: the product before each chunk (null for the first), and at the last one that of all."""
+    table = _ordered(table, "i")
+    products = [m.tobytes() for m in scan([_square(x) for x in table["matrix"].to_pylist()])]
+    whole = [None] * (len(products) - 1) + products[-1:]
+    return pa.table({"key": table["key"], "part": table["part"], "i": table["i"], "before": pa.array([None, *products[:-1]], pa.binary()), "whole": pa.array(whole, pa.binary())})
+
+
+def _entries(key: tuple, table: pa.Table) -> pa.Table:
+    """Of a document's groups: the scores of the states before each."""
+    table = _ordered(table, "part")
+    products = scan([_square(x) for x in table["whole"].to_pylist()])
+    start = start_scores(len(products[0]))
+    entry = [start, *[after(start, m) for m in products[:-1]]]
+    return pa.table({"key": table["key"], "part": table["part"], "entry": pa.array([e.astype(np.int64).tobytes() for e in entry], pa.binary())})
+
+
+def _begins(path: str, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary.load(path)
+        for batch in batches:
+            entries, maps = [], []
+            for i, n, text, entry, before in zip(*[batch.column(j).to_pylist() for j in range(1, 6)], strict=True):
+                entry = np.frombuffer(entry, np.int64)
+                if before is not None:
+                    entry = after(entry, _square(before))
+                entries.append(entry.tobytes())
+                maps.append(v.begins(text, min(chunk, n - i * chunk), entry))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(entries, pa.binary()), pa.array(maps, pa.list_(pa.int32()))], names=["key", "i", "n", "text", "entry", "begins"])
+
+    return run
+
+
+def _ends(key: tuple, table: pa.Table) -> pa.Table:
+    table = _ordered(table, "i")
+    return pa.table({"key": table["key"], "i": table["i"], "end": pa.array(end_states(table["begins"].to_pylist()), pa.int32())})
 
 
 def _backtrace(path: str, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.load(path)
         for batch in batches:
-            rows = zip(*[batch.column(j).to_pylist() for j in (1, 2, 3, 4, 5)], strict=True)
-            ids = [v.between(text, min(chunk, n - i * chunk), begin, end) for i, n, text, begin, end in rows]
+            rows = zip(*[batch.column(j).to_pylist() for j in range(1, 6)], strict=True)
+            ids = [v.between(text, min(chunk, n - i * chunk), end, np.frombuffer(entry, np.int64)) for i, n, text, entry, end in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["key", "i", "ids"])
 
     return run
 
 
-def encode_pieces(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 4096, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 4096, group: int = 512, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids``: the piece ids of every whole text (an input column of that name is replaced).
 
-    Texts of more than ``giant`` characters are encoded chunk by chunk in parallel. A null or empty text has no ids.
-    Where two segmentations have one score, either may be given. Rows may repeat ids or have none; all stay.
+    Texts of more than ``giant`` characters are encoded chunk by chunk in parallel, the chunks' matrices combined in
+    groups of ``group`` and then by document, where a string's greatest length leaves 1,024 groups at most; the ids are those of the
+    other way. A null or empty text has no ids. Of segmentations with one score that with the longest last pieces is
+    given. Rows may repeat ids or texts or have none; all stay, with all other columns whatever their names. An empty
+    table gives an empty result.
     """
     kept = [c for c in docs.columns if c != "token_ids"]
-    docs = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("pl_text"))
-    small = docs.where(F.length("pl_text") <= giant)
+    whole, key = fresh(docs, "pl_text"), fresh(docs, "pl_key")
+    docs = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias(whole))
+    small = docs.where(F.length(whole) <= giant)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     out = small.mapInArrow(_encode_all(path), f"{types}, token_ids array<int>")
-    large = docs.where(F.length("pl_text") > giant)
-    text = F.concat(F.lit(MARK), F.translate("pl_text", " ", MARK))
-    large = large.select(*kept, F.xxhash64("pl_text").alias("pl_key"), F.md5("pl_text").alias("pl_md5"), text.alias("pl_text"))
-    key = F.concat("pl_md5", F.col("pl_key").cast("string"))
+    large = docs.where(F.length(whole) > giant)
+    large = large.select(*kept, F.sha2(whole, 256).alias(key), F.concat(F.lit(MARK), F.translate(whole, " ", MARK)).alias(whole))
     longest = Vocabulary.load(path).longest
-    pieces = large.select(key.alias("key"), "pl_text").dropDuplicates(["key"]).select("key", F.length("pl_text").alias("n"), "pl_text")
-    pieces = pieces.select("key", "n", "pl_text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("i"))
-    pieces = pieces.select("key", "i", "n", F.col("pl_text").substr(F.col("i") * chunk + 1, F.lit(chunk + longest)).alias("part"))
-    pieces = cut(pieces, "giant-chunks").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i")
-    states = pieces.mapInArrow(_matrices(path, chunk), "key string, i int, matrix binary").groupBy("key").applyInArrow(_states, "key string, i int, begin int, end int")
-    traced = pieces.join(states, ["key", "i"]).select("key", "i", "n", "part", "begin", "end").mapInArrow(_backtrace(path, chunk), "key string, i int, ids array<int>")
-    joined = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all")).select(F.col("key").alias("pl_joined"), F.flatten("all.ids").alias("token_ids"))
-    return out.unionByName(large.join(joined, key == F.col("pl_joined")).select(*kept, "token_ids"))
+    texts = large.select(F.col(key).alias("key"), F.col(whole).alias("text")).dropDuplicates(["key"]).select("key", F.length("text").alias("n"), "text")
+    texts = texts.select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))).alias("i"))
+    chunks = texts.select("key", "i", "n", F.col("text").substr(F.col("i") * chunk + 1, F.lit(chunk + longest)).alias("text"))
+    chunks = cut(chunks, "giant-chunks").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i")
+    matrices = chunks.mapInArrow(_matrices(path, chunk), "key string, i int, matrix binary").withColumn("part", F.floor(F.col("i") / group).cast("int"))
+    prefixes = cut(matrices.groupBy("key", "part").applyInArrow(_prefixes, "key string, part int, i int, before binary, whole binary"), "giant-prefixes")
+    entries = prefixes.where("whole is not null").select("key", "part", "whole").groupBy("key").applyInArrow(_entries, "key string, part int, entry binary")
+    known = prefixes.select("key", "part", "i", "before").join(entries, ["key", "part"])
+    known = chunks.join(known, ["key", "i"]).select("key", "i", "n", "text", "entry", "before")
+    known = cut(known.mapInArrow(_begins(path, chunk), "key string, i int, n int, text string, entry binary, begins array<int>"), "giant-begins")
+    ends = known.select("key", "i", "begins").groupBy("key").applyInArrow(_ends, "key string, i int, end int")
+    traced = known.drop("begins").join(ends, ["key", "i"]).select("key", "i", "n", "text", "entry", "end").mapInArrow(_backtrace(path, chunk), "key string, i int, ids array<int>")
+    joined = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("all")).select(F.col("key").alias(key), F.flatten("all.ids").alias("token_ids"))
+    return out.unionByName(large.join(joined, key).select(*kept, "token_ids"))
 
 
 def decode_pieces(encoded: DataFrame, path: str, out_col: str = "decoded") -> DataFrame:

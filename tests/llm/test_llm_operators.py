@@ -61,7 +61,7 @@ def test_minhash_pairs_survive_in_deep_nodes(spark):
     for _ in range(7):
         large = minhash_dedup._branches(large, reps)
         both = large.groupBy("node").count().where("count > 1").select("node")  # what is alone in a node is done
-        large = large.join(both, "node").select("rep", "node").localCheckpoint()
+        large = large.join(both, "node").select("rep", "node").checkpoint()
     assert large.select("rep").distinct().count() >= 596
 
 
@@ -110,21 +110,48 @@ def test_token_files_equal_the_tokenizer(spark):
 
 def test_pieces_giant_and_small_alike(spark):
     path = tokenizer_file("piece_bpe_32k.model")
-    texts = ["Some plain words and more of them " * 10, None, "", "  two  spaces ", "漢字 and ﬁ\n"]
+    texts = ["Some plain words and more of them " * 10, None, "", "  two  spaces ", "漢字 and ﬁ\n", "Some plain words and more of them " * 10, "▁ mark ▁▁ of  its own", "a" * 300, " " * 100]
+    found = {}
     for giant in (10, 100_000):
-        out = pieces.decode_pieces(pieces.encode_pieces(docs(spark, texts), path, giant=giant, chunk=32), path).collect()
-        assert {r.doc_id: r.decoded for r in out} == {i: t or "" for i, t in enumerate(texts)}
+        out = pieces.decode_pieces(pieces.encode_pieces(docs(spark, texts), path, giant=giant, chunk=32, group=3), path).collect()
+        assert {r.doc_id: r.decoded for r in out} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+        found[giant] = {r.doc_id: r.token_ids for r in out}
+    assert found[10] == found[100_000]
+    assert pieces.encode_pieces(docs(spark, []), path).count() == 0
 
 
-def test_scan_finds_the_best_score():
-    v = pieces.Vocabulary.load(tokenizer_file("piece_bpe_32k.model"))
-    text = pieces.marked("an example of text that is cut into chunks")
-    ids, best = v.encode(text)
-    parts = [(text[i : i + 16 + v.longest], min(16, len(text) - i)) for i in range(0, len(text), 16)]
-    mats = [v.transfer(t, n) for t, n in parts]
-    assert pieces.scan(mats)[-1][0, 0] == best
-    joined = [x for (t, n), (a, b) in zip(parts, pieces.boundary_states(mats), strict=True) for x in v.between(t, n, a, b)]
-    assert v.decode(joined) == v.decode(ids)
+def test_pieces_of_whole_documents_go_either_way(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars between 200 and 6000").select("doc_id", "text")
+    ids = lambda giant: {r.doc_id: r.token_ids for r in pieces.encode_pieces(some, path, giant=giant, chunk=300, group=4).collect()}
+    found = ids(199)
+    assert len(found) > 50 and found == ids(1 << 30)
+
+
+def test_pieces_with_clashing_names_and_repeated_ids(spark):
+    path = tokenizer_file("piece_bpe_32k.model")
+    rows = [(1, "one text " * 5, 1, 2), (1, "one text " * 5, 3, 4), (None, "x", 5, 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, pl_text_0 long, PL_KEY_0 long")
+    out = pieces.encode_pieces(table, path, giant=10, chunk=20).collect()
+    assert sorted((r.pl_text_0, r["PL_KEY_0"]) for r in out) == [(1, 2), (3, 4), (5, 6)] and len({tuple(r.token_ids) for r in out}) == 2
+
+
+def test_scan_follows_one_rule_where_scores_tie():
+    rng = np.random.default_rng(4)
+    v = pieces.Vocabulary({p: 0 for p in ("a", "b", "aa", "ab", "ba", "aba", "bb", "abab")}, list(range(100, 356)), [])
+    v.pieces = {p: (i, -len(p)) for i, p in enumerate(v.pieces)}  # every segmentation has the same score
+    v.table |= v.pieces
+    v.table["b"] = (1, -2)
+    for _ in range(30):
+        text = "".join(rng.choice(["a", "b"], 61))
+        parts = [(text[i : i + 8 + v.longest], min(8, len(text) - i)) for i in range(0, len(text), 8)]
+        mats = [v.transfer(t, n) for t, n in parts]
+        start = pieces.start_scores(v.longest)
+        entries = [start, *[pieces.after(start, m) for m in pieces.scan(mats)[:-1]]]
+        ends = pieces.end_states([v.begins(t, n, e) for (t, n), e in zip(parts, entries, strict=True)])
+        joined = [x for (t, n), e, end in zip(parts, entries, ends, strict=True) for x in v.between(t, n, end, e)]
+        ids, best = v.encode(text)
+        assert joined == ids and pieces.scan(mats)[-1][0, 0] == best
 
 
 def test_toxicity_learns_words(spark):
@@ -229,6 +256,24 @@ def test_secret_scan_adds_every_unlabelled_credential(spark):
     assert [",".join(x for x in r.spans.split(",") if x.startswith("grammar")) for r in rows] == want
 
 
+def test_secret_scan_learns_and_scores_whole_credentials(spark):
+    rng = np.random.default_rng(9)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    short = lambda: "".join(x for _ in range(4) for x in (rng.choice(list("QXZJ")), rng.choice(list("0123456789")), rng.choice(list("qxzj"))))
+    long = lambda: ".".join("".join(rng.choice(letters, 50)) for _ in range(2))
+    plain = lambda: words(rng, 30) + ". "
+    texts = [f"{plain()} token = {make()} {plain()}" for make in (short, long) for _ in range(60)]
+    free = [make() for make in (short, long) for _ in range(20)]
+    texts += [f"{plain()}{f}. {plain()}" for f in free]
+    texts += [f"{plain()}AKIA{'B' * 20}{free[-1]} {plain()}"]
+    rows = secret_scan.scan_secrets(docs(spark, [*texts, None, ""])).orderBy("doc_id").collect()
+    added = [[tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("grammar")] for r in rows]
+    assert not any(added[:120]) and added[-2:] == [[], []]
+    assert sum(added[120 + k] == [(texts[120 + k].index(f), texts[120 + k].index(f) + len(f))] for k, f in enumerate(free)) >= 38
+    assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
+    assert secret_scan.uncovered("abcdefgh", [("assign", 1, 5, ""), ("hex", 2, 4, ""), ("hex", 4, 6, "")]) == "a     gh"
+
+
 def vectors(spark, x):
     return spark.createDataFrame([(i, None if v is None else [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
 
