@@ -27,7 +27,7 @@ class ChunkEncoder:
     starts anew, which changes the time but not the ids. Chunks of over ``long`` bytes are encoded each time.
     """
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list], most_kept: int = 1_000_000, most_bytes: int = 32 << 20, long: int = 1024):
+    def __init__(self, encode_new: Callable[[list[bytes]], list], most_kept: int = 250_000, most_bytes: int = 8 << 20, long: int = 1024):
         self.encode_new, self.most_kept, self.most_bytes, self.long = encode_new, most_kept, most_bytes, long
         self._clear()
 
