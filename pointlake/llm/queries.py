@@ -33,10 +33,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import decode_pieces, digests, encode_pieces
+    from .pieces import digests, encode_pieces
 
     path = tokenizer_file("piece_bpe_32k.model")
-    return digests(decode_pieces(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path))
+    return digests(encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

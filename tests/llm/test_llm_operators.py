@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import io
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -94,8 +96,6 @@ def test_token_file_random_access():
 
 
 def test_token_files_equal_the_tokenizer(spark):
-    import zlib
-
     from tokenizers import Tokenizer
 
     path = tokenizer_file("byte_bpe_50k.json")
@@ -116,6 +116,8 @@ def test_pieces_giant_and_small_alike(spark):
         out = pieces.decode_pieces(pieces.encode_pieces(docs(spark, texts), path, giant=giant, chunk=32, group=3), path).collect()
         assert {r.doc_id: r.decoded for r in out} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
         found[giant] = {r.doc_id: r.token_ids for r in out}
+        sums = {r.doc_id: (r.n_pieces, r.ids_crc32, r.decoded_md5) for r in pieces.digests(pieces.encode_pieces(docs(spark, texts), path, giant=giant, chunk=32, group=3), path).collect()}
+        assert sums == {r.doc_id: (len(r.token_ids), zlib.crc32(np.array(r.token_ids, "<u4").tobytes()), hashlib.md5(r.decoded.encode()).hexdigest()) for r in out}
     assert found[10] == found[100_000]
     assert pieces.encode_pieces(docs(spark, []), path).count() == 0
 
