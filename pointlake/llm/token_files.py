@@ -158,7 +158,8 @@ def _encoder(path: str) -> ChunkEncoder:
         def encode_new(texts: list[bytes]) -> list:
             return [x.ids for x in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
-        _ENCODERS[path] = ChunkEncoder(encode_new)
+        # four times the default: this encoder is alone in its worker, and asking the tokenizer again is what costs
+        _ENCODERS[path] = ChunkEncoder(encode_new, most_kept=1_000_000, most_bytes=32 << 20)
     return _ENCODERS[path]
 
 
