@@ -84,12 +84,35 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import simhash_components
+
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", relabelled), "vec_id % 100 = 0")
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance_resample import resample
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, _table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f.__name__: f for f in (op1_minhash_dedup, op2_token_files, op3_pieces, op4_toxicity, op5_suffix_dedup, op6_mix_sources, op7_line_dedup, op8_secret_scan, op9_neighbours, op10_exact_topk)}
+    found |= {f.__name__: f for f in (op11_simhash_dedup, op12_hard_negatives, op13_importance_resample)}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_topk, mix_sources
+    from . import exact_topk, hard_negatives, importance_resample, mix_sources
 
-    return {"op6_mix_sources": mix_sources.ORACLE, "op10_exact_topk": exact_topk.ORACLE}
+    found = {"op6_mix_sources": mix_sources.ORACLE, "op10_exact_topk": exact_topk.ORACLE}
+    return found | {"op12_hard_negatives": hard_negatives.ORACLE, "op13_importance_resample": importance_resample.ORACLE}
