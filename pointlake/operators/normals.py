@@ -6,37 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import bind, cross, dot, eigen
-from .spatial import cut_lineage, knn_join, radius_join
+from .spatial import both_ways, cut_lineage, knn_join, neighbour_pairs, radius_join
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
 
-def moments(neigh: DataFrame, keys, xyz=("x", "y", "z")) -> DataFrame:
-    """Count, sums and sums of products of the coordinates of every group."""
-    x = dict(zip("xyz", xyz, strict=True))
-    return neigh.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[c]).alias(f"s{c}") for c in "xyz"], *[F.sum(F.col(x[p[0]]) * F.col(x[p[1]])).alias(f"s{p}") for p in PAIRS])
+def moments(neigh: DataFrame, keys, xyz=("x", "y", "z"), about=None) -> DataFrame:
+    """Count, sums and sums of products of the coordinates of every group, less the row's ``about`` if it is given."""
+    x = {n: F.col(c) - F.col(o) if o else F.col(c) for n, c, o in zip("xyz", xyz, about or (None,) * 3, strict=True)}
+    return neigh.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[c]).alias(f"s{c}") for c in "xyz"], *[F.sum(x[p[0]] * x[p[1]]).alias(f"s{p}") for p in PAIRS])
 
 
 def covariance(m: DataFrame) -> DataFrame:
-    """cxx .. czz from moments, as doubles."""
+    """cxx .. czz from moments, as doubles. Exact only as far as the products are: take moments about a place near the points."""
     n = F.col("n").cast("double")
     return m.withColumns({f"c{p}": F.col(f"s{p}") / n - (F.col(f"s{p[0]}") / n) * (F.col(f"s{p[1]}") / n) for p in PAIRS})
 
 
-def principal_axes(neigh: DataFrame, keys, xyz=("x", "y", "z")) -> DataFrame:
-    """Greatest and least eigenvalue of every group's covariance and their unit axes; null where undefined."""
-    c = covariance(moments(neigh, keys, xyz))
-    return c.withColumn("e_", eigen([f"c{p}" for p in PAIRS])).select("*", "e_.*").drop("e_")
+def axes_of(m: DataFrame) -> DataFrame:
+    """Moments with covariance, greatest and least eigenvalue and their unit axes; null where undefined."""
+    return covariance(m).withColumn("e_", eigen([f"c{p}" for p in PAIRS])).select("*", "e_.*").drop("e_")
 
 
-def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float) -> DataFrame:
+def principal_axes(neigh: DataFrame, keys, xyz=("x", "y", "z"), about=None) -> DataFrame:
+    """Greatest and least eigenvalue of every group's covariance and their unit axes; null where undefined.
+
+    Sums are taken about ``about`` (columns that are the same for all rows of a group), or else about the group's own lower
+    corner, so that large coordinates don't cancel.
+    """
+    if about is None:
+        about = ("low_x_", "low_y_", "low_z_")
+        low = neigh.groupBy(*keys).agg(*[F.min(c).alias(o) for c, o in zip(xyz, about, strict=True)])
+        neigh = neigh.join(low, list(keys))
+    return axes_of(moments(neigh, keys, xyz, about))
+
+
+def neighbour_moments(points: DataFrame, r: float) -> DataFrame:
+    """Moments of each point's neighbours within ``r`` about the point, itself included: cloud_id, point_id, n, sums.
+
+    Each pair is found once and counts both ways; a point alone has n = 1 and sums of 0. Repeated ids count as one point.
+    """
+    near = both_ways(neighbour_pairs(points, r)).withColumnRenamed("own_id", "point_id")
+    around = moments(near, ("cloud_id", "point_id"), about=("ox", "oy", "oz"))
+    own = points.groupBy("cloud_id", "point_id").agg(F.count("*").alias("own_"))
+    met = own.join(around, ["cloud_id", "point_id"], "left")
+    sums = [f"s{c}" for c in "xyz"] + [f"s{p}" for p in PAIRS]
+    return met.select("cloud_id", "point_id", (F.coalesce("n", F.lit(0)) + F.col("own_")).alias("n"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
+
+
+def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float, with_gap: bool = False) -> DataFrame:
     """Normal of the plane through the neighbours of each point, pointed at the viewpoint of its first camera.
 
-    Fewer than three neighbours give null. viewpoints: cloud_id, cam_id, vx, vy, vz.
+    Moments are taken about the point itself, so that places far from the origin lose nothing. Fewer than three neighbours give null.
+    viewpoints: cloud_id, cam_id, vx, vy, vz. ``with_gap`` adds ``gap``: the middle eigenvalue less the least one, as a share of
+    their sum; where it is near 0 the normal is arbitrary.
     """
-    left = points.select("cloud_id", F.col("point_id").alias("sample_id"), *[F.col(c).alias(f"s{c}_") for c in "xyz"])
-    near = radius_join(left, points.select("cloud_id", "point_id", "x", "y", "z"), r, lxyz=("sx_", "sy_", "sz_"))
-    axes = principal_axes(near, ("cloud_id", "sample_id")).where("n >= 3").select("cloud_id", F.col("sample_id").alias("point_id"), "axis_min")
+    axes = axes_of(neighbour_moments(points, r)).where("n >= 3")
+    trace = F.col("cxx") + F.col("cyy") + F.col("czz")
+    gap = ((trace - F.col("l_max") - 2 * F.col("l_min")) / trace).alias("gap")
+    axes = axes.select("cloud_id", "point_id", "axis_min", *([gap] if with_gap else []))
     seen = points.withColumn("cam_id", F.array_min("cams")).drop("nx", "ny", "nz").join(axes, ["cloud_id", "point_id"], "left")
     seen = seen.join(viewpoints, ["cloud_id", "cam_id"], "left")
     away = dot([F.col("axis_min")[i] for i in range(3)], [F.col(c) - F.col(f"v{c}") for c in "xyz"]) > 0
@@ -70,25 +98,31 @@ def frame_sums(samples: DataFrame, points: DataFrame, r: float) -> DataFrame:
 def _frame(e: Column) -> Column:
     """From both axes of the scatter: curvature axis c, normal n and binormal b as one struct; null where an axis is."""
     a, n = ([e[axis][i] for i in range(3)] for axis in ("axis_min", "axis_max"))
-    big = F.greatest(*[F.struct(F.abs(v).alias("size"), F.lit(-i).alias("at"), v.alias("v")) for i, v in enumerate(a)])["v"]
-    flip_a, flip_n = F.when(big < 0, -1).otherwise(1), F.when(dot(n, ("tx", "ty", "tz")) < 0, -1).otherwise(1)
-    turned = F.struct(*[(v * flip_a).alias(f"c{i}") for i, v in enumerate(a)], *[(v * flip_n).alias(f"n{i}") for i, v in enumerate(n)])
+    up = lambda v: F.when(F.greatest(*[F.struct(F.abs(x).alias("size"), F.lit(-i).alias("at"), x.alias("v")) for i, x in enumerate(v)])["v"] < 0, -1).otherwise(1)
+    t = ("tx", "ty", "tz")
+    side = dot(n, t)
+    flip_n = F.when(F.abs(side) <= 1e-6 * F.sqrt(dot(t, t)), up(n)).when(side < 0, -1).otherwise(1)
+    turned = F.struct(*[(v * up(a)).alias(f"c{i}") for i, v in enumerate(a)], *[(v * flip_n).alias(f"n{i}") for i, v in enumerate(n)])
 
     def with_side(f: Column) -> Column:
         c, m = ([f[f"{v}{i}"] for i in range(3)] for v in "cn")
         return F.struct(*[x.alias(f"{v}{i}") for v, xs in (("n", m), ("b", cross(c, m)), ("c", c)) for i, x in enumerate(xs)])
 
-    return F.when(e["axis_min"].isNotNull() & e["axis_max"].isNotNull(), bind(turned, with_side))
+    trace = F.col("mxx") + F.col("myy") + F.col("mzz")
+    gap = F.least(2 * e["l_max"] + e["l_min"] - trace, trace - e["l_max"] - 2 * e["l_min"]) / trace
+    return F.when(e["axis_min"].isNotNull() & e["axis_max"].isNotNull(), F.struct(bind(turned, with_side).alias("f"), gap.alias("gap")))
 
 
-def local_frames(samples: DataFrame, points: DataFrame, r: float) -> DataFrame:
+def local_frames(samples: DataFrame, points: DataFrame, r: float, with_gap: bool = False) -> DataFrame:
     """cloud_id, sample_id, n0..n2 (normal), b0..b2 (binormal), c0..c2 (curvature axis).
 
     The curvature axis is that of the least eigenvalue of the normals' scatter, its largest component positive; the
-    normal that of the greatest, turned to the side of the summed normals; the binormal is their cross product.
+    normal that of the greatest, turned to the side of the summed normals, or where they cancel, its largest component
+    positive; the binormal is their cross product. ``with_gap`` adds ``gap``: the smaller distance of the middle eigenvalue
+    from the others, as a share of their sum; where it is near 0 the axes are arbitrary.
     """
     s = frame_sums(samples, points, r).select("cloud_id", "sample_id", bind(eigen([f"m{p}" for p in PAIRS]), _frame).alias("f_"))
-    return s.where("f_ is not null").select("cloud_id", "sample_id", "f_.*")
+    return s.where("f_ is not null").select("cloud_id", "sample_id", "f_.f.*", *(["f_.gap"] if with_gap else []))
 
 
 def plane_inliers(points: DataFrame, planes: DataFrame, dist: float) -> DataFrame:
@@ -125,7 +159,7 @@ def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int =
     best = cut_lineage(count.select("cloud_id", F.array_max(every).alias("m")).select("cloud_id", "m.p.a", "m.p.b", "m.p.c", "m.p.d").where("a is not null"))  # one row per cloud
     foot = best.select("cloud_id", *[(-F.col("d") * F.col(v)).alias(f"o{c}") for v, c in zip("abc", "xyz", strict=True)])
     on = plane_inliers(points, best, dist).where("inlier").join(foot, "cloud_id").select("cloud_id", "ox", "oy", "oz", *[(F.col(c) - F.col(f"o{c}")).alias(c) for c in "xyz"])
-    axes = principal_axes(on, ("cloud_id", "ox", "oy", "oz"))
+    axes = axes_of(moments(on, ("cloud_id", "ox", "oy", "oz")))
     n = F.col("n").cast("double")
     fit = axes.select("cloud_id", *[F.col("axis_min")[i].alias(c) for i, c in enumerate("abc")], *[(F.col(f"s{c}") / n + F.col(f"o{c}")).alias(f"g{c}") for c in "xyz"]).where("a is not null")
     return cut_lineage(fit.select("cloud_id", "a", "b", "c", (-dot(("a", "b", "c"), ("gx", "gy", "gz"))).alias("d")))

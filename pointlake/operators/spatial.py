@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
@@ -14,23 +14,100 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder named by ``spark.checkpoint.dir``; one of its own is set only where none is."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointlake-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointlake-"))
     return df.checkpoint()
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, key: str = "cloud_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z")) -> DataFrame:
+_BITS = 21
+_CELL, _PART = "cell_", "part_"
+
+
+def packed_cell(cell) -> Column:
+    """Three cell numbers as one long, each modulo 2**21: what lies so many cells apart is told from neighbours by its distance."""
+    x, y, z = (c.cast("long").bitwiseAND(F.lit((1 << _BITS) - 1)) for c in cell)
+    return F.shiftleft(x, 2 * _BITS).bitwiseOR(F.shiftleft(y, _BITS)).bitwiseOR(z)
+
+
+def _side(r: float) -> float:
+    """Cells a little wider than ``r``, so that rounding of far coordinates can't put two neighbours two cells apart."""
+    return r * (1 + 1e-6)
+
+
+def _cell_of(xyz, r: float) -> list[Column]:
+    return [F.floor(F.col(c) / _side(r)) for c in xyz]
+
+
+def _around(rows: DataFrame, xyz, r: float, half: bool = False) -> DataFrame:
+    """``rows``, once for each cell of side ``r`` that a ball of radius ``r`` about the point meets, with that cell.
+
+    With ``half`` only the point's own cell and those after it in the order of their offsets, which are ``ahead_``.
+    """
+    side, own, inner = _side(r), ("n0_", "n1_", "n2_"), ("h0_", "h1_", "h2_")
+    rows = rows.withColumns(dict(zip(own, _cell_of(xyz, r), strict=True)))
+    rows = rows.withColumns({h: F.col(c) - F.col(n) * side for h, n, c in zip(inner, own, xyz, strict=True)})
+    steps, found = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], []
+    for step in steps[13:] if half else steps:
+        short = [F.col(h) if s < 0 else side - F.col(h) for h, s in zip(inner, step, strict=True) if s]
+        away = sum((x * x for x in short[1:]), short[0] * short[0]) if short else F.lit(0)
+        cell = F.struct(packed_cell([F.col(n) + s for n, s in zip(own, step, strict=True)]).alias("cell"), F.lit(any(step)).alias("ahead"))
+        found.append(F.when(away <= r * r * (1 + 1e-5), cell))  # rounding may not lose a cell
+    met = rows.withColumn("at_", F.explode(F.array(*found))).where("at_ is not null")
+    return met.withColumns({_CELL: F.col("at_.cell"), "ahead_": F.col("at_.ahead")}).drop("at_", *own, *inner)
+
+
+def _dealt(near: DataFrame, own: DataFrame, key: str, dense: int | None, by: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the columns to meet on. Cells of over ``dense`` rows are divided by a hash of ``by``; near rows visit all parts."""
+    on = [key, _CELL]
+    if dense is None:
+        return near, own, on
+    full = own.groupBy(*on).agg(F.count("*").alias("n_")).where(F.col("n_") > dense).select(*on, F.ceil(F.col("n_") / dense).cast("int").alias("n_"))
+    full = cut_lineage(full)  # at most one row for ``dense`` points
+    if full.isEmpty():
+        return near, own, on
+    one = F.coalesce("n_", F.lit(1))
+    own = own.join(full, on, "left").withColumn(_PART, F.pmod(F.xxhash64(by), one).cast("int")).drop("n_")
+    near = near.join(full, on, "left").withColumn(_PART, F.explode(F.sequence(F.lit(0), one - 1))).drop("n_")
+    return near, own, [*on, _PART]
+
+
+def radius_join(left: DataFrame, right: DataFrame, r: float, key: str = "cloud_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z"), dense: int | None = None, by: str = "point_id") -> DataFrame:
     """All pairs of one cloud within distance ``r`` (closed), with the squared distance ``d2``.
 
-    The left side, which should be the smaller one, is copied to the 27 cells around its own; both sides meet on
-    (cloud, cell), so that one dense cloud spreads over many tasks. Column names but the key must differ.
+    The left side, which should be the smaller one, is copied to the cells of side ``r`` that its ball meets (27 at most);
+    both sides meet on (cloud, cell), so that one dense cloud spreads over many tasks. With ``dense``, right cells of
+    more rows are divided by a hash of ``by``; that counts the right side first. Column names but the key must differ.
     """
-    cells = [f"g{c}_" for c in "xyz"]
-    near = left.withColumns({g: F.explode(F.sequence(*[(F.floor(F.col(c) / r) + o) for o in (-1, 1)])) for g, c in list(zip(cells, lxyz, strict=True))[:1]})
-    for g, c in list(zip(cells, lxyz, strict=True))[1:]:
-        near = near.withColumn(g, F.explode(F.sequence(F.floor(F.col(c) / r) - 1, F.floor(F.col(c) / r) + 1)))
-    own = right.withColumns({g: F.floor(F.col(c) / r) for g, c in zip(cells, rxyz, strict=True)})
+    near = _around(left, lxyz, r).drop("ahead_")
+    near, own, on = _dealt(near, right.withColumn(_CELL, packed_cell(_cell_of(rxyz, r))), key, dense, by)
     gap = [F.col(b) - F.col(a) for a, b in zip(lxyz, rxyz, strict=True)]
-    return near.join(own, [key, *cells]).withColumn("d2", dot(gap, gap)).where(F.col("d2") <= r * r).drop(*cells)
+    return near.join(own, on).withColumn("d2", dot(gap, gap)).where(F.col("d2") <= r * r).drop(_CELL, _PART)
+
+
+def neighbour_pairs(points: DataFrame, r: float, key: str = "cloud_id", id_col: str = "point_id", xyz=("x", "y", "z"), dense: int | None = 20_000) -> DataFrame:
+    """Every two points of a cloud within ``r``, once: key, a_id, ax, ay, az, b_id, bx, by, bz, d2.
+
+    A point is copied to its own cell and the half of the cells around it that comes after; in its own cell, each two points meet
+    in the order of id and place. Cells of over ``dense`` points are divided (see ``radius_join``). Points that repeat
+    an id are points of their own, unless they are in one place.
+    """
+    side = lambda p: points.select(key, F.col(id_col).alias(f"{p}_id"), *[F.col(c).alias(f"{p}{n}") for n, c in zip("xyz", xyz, strict=True)])
+    a, b = ("ax", "ay", "az"), ("bx", "by", "bz")
+    near, own, on = _dealt(_around(side("a"), a, r, half=True), side("b").withColumn(_CELL, packed_cell(_cell_of(b, r))), key, dense, "b_id")
+    gap = [F.col(n) - F.col(m) for m, n in zip(a, b, strict=True)]
+    first = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.struct(*a) < F.struct(*b)))
+    met = near.join(own, on).withColumn("d2", dot(gap, gap)).where((F.col("d2") <= r * r) & (F.col("ahead_") | first))
+    return met.select(key, "a_id", *a, "b_id", *b, "d2")
+
+
+def both_ways(pairs: DataFrame, key: str = "cloud_id") -> DataFrame:
+    """Each pair as two rows: key, own_id, ox, oy, oz, other_id, x, y, z, d2."""
+    names = ("own_id", "ox", "oy", "oz", "other_id", "x", "y", "z")
+    a, b = ("a_id", "ax", "ay", "az"), ("b_id", "bx", "by", "bz")
+    rows = F.array(*[F.struct(*[F.col(c).alias(n) for n, c in zip(names, order, strict=True)]) for order in ((*a, *b), (*b, *a))])
+    return pairs.select(key, "d2", F.explode(rows).alias("p_")).select(key, "p_.*", "d2")
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, r: float, key: str = "cloud_id", id_col: str = "sample_id", right_id: str = "point_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z"), most_rounds: int = 6) -> DataFrame:

@@ -189,15 +189,60 @@ query("a16_neighbourhood_stats", "SELECT cloud_id, sample_id, count(*) AS n, rou
 # normals, frames, planes
 _SUMS = "count(*) AS n, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS s{c}" for c in "xyz") + ", " + ", ".join(f"CAST(sum({p[0]} * {p[1]}) AS BIGINT) AS s{p}" for p in normals.PAIRS)
 query("a3_normal_moments", f"SELECT a.cloud_id, a.point_id, {_SUMS.replace('(x', '(b.x').replace('(y', '(b.y').replace('(z', '(b.z').replace('* x', '* b.x').replace('* y', '* b.y').replace('* z', '* b.z')} FROM fx_points a JOIN fx_points b ON a.cloud_id = b.cloud_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {R_NORMAL**2} GROUP BY ALL")(
-    lambda s, d: normals.moments(spatial.radius_join(fixture(s, d, "fx_points").select("cloud_id", F.col("point_id").alias("own"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), fixture(s, d, "fx_points").drop("point_id"), R_NORMAL, lxyz=("ox", "oy", "oz")), ("cloud_id", "own")).withColumnRenamed("own", "point_id"))
-query("a3_estimate_normals")(lambda s, d: normals.estimate_normals(cams(fixture(s, d, "fx_normals")).drop("cam0", "cam1"), fixture(s, d, "fx_viewpoints"), R_NORMAL).select("cloud_id", "point_id", "nx", "ny", "nz"))
+    lambda s, d: normals.moments(paired(s, d), ("cloud_id", "point_id")))
+
+
+def paired(s, d):
+    """Every point of the fixture with each of its neighbours and itself: pairs are found once and read both ways."""
+    points = fixture(s, d, "fx_points")
+    near = spatial.both_ways(spatial.neighbour_pairs(points, R_NORMAL)).select("cloud_id", F.col("own_id").alias("point_id"), "x", "y", "z")
+    return near.unionByName(points.select("cloud_id", "point_id", "x", "y", "z"))
+
+
+_GAPS = {p: f"(b.{p[0]} - a.{p[0]}) * (b.{p[1]} - a.{p[1]})" for p in normals.PAIRS}
+STEPS["n_moments"] = f"""SELECT a.cloud_id, a.point_id, a.x, a.y, a.z, a.cam0, count(*) AS n, {", ".join(f"sum(b.{c} - a.{c}) AS s{c}" for c in "xyz")}, {", ".join(f"sum({g}) AS s{p}" for p, g in _GAPS.items())}
+    FROM fx_normals a JOIN fx_points b ON a.cloud_id = b.cloud_id WHERE {_GAPS["xx"]} + {_GAPS["yy"]} + {_GAPS["zz"]} <= {R_NORMAL**2} GROUP BY ALL HAVING count(*) >= 3"""
+STEPS["n_cov"] = f"""SELECT *, (cxx + cyy + czz) / 3 AS q FROM (SELECT cloud_id, point_id, x, y, z, cam0,
+    {", ".join(f"CAST(s{p} AS DOUBLE) / n - (CAST(s{p[0]} AS DOUBLE) / n) * (CAST(s{p[1]} AS DOUBLE) / n) AS c{p}" for p in normals.PAIRS)} FROM n_moments) m"""
+STEPS["n_turn"] = """SELECT *, acos(greatest(-1.0, least(1.0, (dx * (dy * dz - fy * fy) - fx * (fx * dz - fy * fz) + fz * (fx * fy - dy * fz)) / 2))) / 3 AS phi FROM (
+    SELECT *, (cxx - q) / p AS dx, (cyy - q) / p AS dy, (czz - q) / p AS dz, cxy / p AS fx, cyz / p AS fy, cxz / p AS fz FROM (
+    SELECT *, sqrt(((cxx - q) * (cxx - q) + (cyy - q) * (cyy - q) + (czz - q) * (czz - q) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p FROM n_cov) a WHERE p > 0) b"""
+STEPS["n_rows"] = """SELECT *, (3 * q - l1 - 2 * l0) / (3 * q) AS gap, cxy * cyz - cxz * (cyy - l0) AS a0, cxz * cxy - (cxx - l0) * cyz AS a1, (cxx - l0) * (cyy - l0) - cxy * cxy AS a2,
+    cxy * (czz - l0) - cxz * cyz AS b0, cxz * cxz - (cxx - l0) * (czz - l0) AS b1, (cxx - l0) * cyz - cxy * cxz AS b2,
+    (cyy - l0) * (czz - l0) - cyz * cyz AS e0, cyz * cxz - cxy * (czz - l0) AS e1, cxy * cyz - (cyy - l0) * cxz AS e2
+    FROM (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l0 FROM n_turn) t"""
+STEPS["n_axis"] = """SELECT cloud_id, point_id, gap, x - CASE WHEN cam0 = 1 THEN 0 ELSE 200000 END AS wx, y AS wy, z - CASE WHEN cam0 = 1 THEN 200000 ELSE 0 END AS wz, v[2] / sqrt(v[1]) AS ux, v[3] / sqrt(v[1]) AS uy, v[4] / sqrt(v[1]) AS uz
+    FROM (SELECT *, list_max([[a0 * a0 + a1 * a1 + a2 * a2, a0, a1, a2], [b0 * b0 + b1 * b1 + b2 * b2, b0, b1, b2], [e0 * e0 + e1 * e1 + e2 * e2, e0, e1, e2]]) AS v FROM n_rows) r WHERE v[1] > 0"""
+# a normal is told where the plane is clear and the viewpoint is off it
+STEPS["n_told"] = """SELECT cloud_id, point_id, CASE WHEN seen < 0 THEN ux ELSE -ux END AS nx, CASE WHEN seen < 0 THEN uy ELSE -uy END AS ny, CASE WHEN seen < 0 THEN uz ELSE -uz END AS nz
+    FROM (SELECT *, ux * wx + uy * wy + uz * wz AS seen FROM n_axis WHERE gap > 0.01) a WHERE abs(seen) > 1"""
+
+
+def clear_normals(s, d):
+    views = cams(fixture(s, d, "fx_normals")).withColumn("left_", F.col("cam0") == 1).drop("cam0", "cam1")
+    out = normals.estimate_normals(views, fixture(s, d, "fx_viewpoints"), R_NORMAL, with_gap=True)
+    view = (F.when(F.col("left_"), 0).otherwise(200_000), F.lit(0), F.when(F.col("left_"), 200_000).otherwise(0))
+    seen = sum((F.col(f"n{c}") * (F.col(c) - v) for c, v in zip("xyz", view, strict=True)), F.lit(0.0))
+    return out.where((F.col("gap") > 0.01) & (F.abs(seen) > 1)).select("cloud_id", "point_id", *[(F.round(c, 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
+
+
+query("a3_estimate_normals", "SELECT cloud_id, point_id, round(nx, 4) + 0.0 AS nx, round(ny, 4) + 0.0 AS ny, round(nz, 4) + 0.0 AS nz FROM n_told")(clear_normals)
 STEPS["s_knn_all"] = STEPS["s_knn"].replace("fx_samples", "s_all")
 query("a4_refine_normals", "SELECT cloud_id, sample_id AS point_id, round(sx / n, 4) AS nx, round(sy / n, 4) AS ny, round(sz / n, 4) AS nz FROM (SELECT cloud_id, sample_id, avg(nx) AS sx, avg(ny) AS sy, avg(nz) AS sz, nullif(sqrt(avg(nx) * avg(nx) + avg(ny) * avg(ny) + avg(nz) * avg(nz)), 0) AS n FROM s_knn_all GROUP BY ALL) q")(
     lambda s, d: normals.refine_normals(fixture(s, d, "fx_normals"), K, 12_000).select("cloud_id", "point_id", *r4("nx", "ny", "nz")))
 query("a4_refine_normals_3_passes")(lambda s, d: normals.refine_normals(fixture(s, d, "fx_normals"), K, 12_000, 3).select("cloud_id", "point_id", *r4("nx", "ny", "nz")))
 query("a6_frame_sums", "SELECT cloud_id, sample_id, count(*) AS n, CAST(sum(nx) AS BIGINT) AS tx, CAST(sum(ny) AS BIGINT) AS ty, CAST(sum(nz) AS BIGINT) AS tz, " + ", ".join(f"CAST(sum(n{p[0]} * n{p[1]}) AS BIGINT) AS m{p}" for p in normals.PAIRS) + " FROM s_radius GROUP BY ALL")(
     lambda s, d: normals.frame_sums(fixture(s, d, "fx_samples"), fixture(s, d, "fx_normals"), R_FRAME))
-query("a6_local_frames")(lambda s, d: normals.local_frames(fixture(s, d, "fx_samples"), fixture(s, d, "fx_normals"), 3 * R_FRAME))
+# the fixture's normals lie along the axes, so that their scatter is diagonal
+STEPS["f_sums"] = f"""SELECT s.cloud_id, s.sample_id, CAST(sum(nx) AS BIGINT) AS tx, CAST(sum(ny) AS BIGINT) AS ty, CAST(sum(nz) AS BIGINT) AS tz, sum(nx * nx) AS mx, sum(ny * ny) AS my, sum(nz * nz) AS mz
+    FROM fx_samples s JOIN fx_normals p ON s.cloud_id = p.cloud_id WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz) <= {9 * R_FRAME**2} GROUP BY ALL"""
+_UNIT = {"x": "[1, 0, 0]", "y": "[0, 1, 0]", "z": "[0, 0, 1]"}
+_most = lambda f: "CASE " + " ".join(f"WHEN m{c} = {f}(mx, my, mz) THEN {u}" for c, u in _UNIT.items()) + " END"
+STEPS["f_axes"] = f"""SELECT cloud_id, sample_id, c, CASE WHEN n[1] * tx + n[2] * ty + n[3] * tz < 0 THEN -1 ELSE 1 END AS turn, n FROM (
+    SELECT *, {_most('least')} AS c, {_most('greatest')} AS n FROM f_sums WHERE mx <> my AND my <> mz AND mx <> mz) q"""
+query("a6_local_frames", """SELECT cloud_id, sample_id, CAST(c[1] AS DOUBLE) AS c0, CAST(c[2] AS DOUBLE) AS c1, CAST(c[3] AS DOUBLE) AS c2, CAST(turn * n[1] AS DOUBLE) AS n0, CAST(turn * n[2] AS DOUBLE) AS n1, CAST(turn * n[3] AS DOUBLE) AS n2,
+    CAST(turn * (c[2] * n[3] - c[3] * n[2]) AS DOUBLE) AS b0, CAST(turn * (c[3] * n[1] - c[1] * n[3]) AS DOUBLE) AS b1, CAST(turn * (c[1] * n[2] - c[2] * n[1]) AS DOUBLE) AS b2 FROM f_axes""")(
+    lambda s, d: normals.local_frames(fixture(s, d, "fx_samples"), fixture(s, d, "fx_normals"), 3 * R_FRAME, with_gap=True).where("gap > 1e-5").select("cloud_id", "sample_id", *[(F.round(f"{v}{i}", 4) + 0.0).alias(f"{v}{i}") for v in "cnb" for i in range(3)]))
 _COV = ", ".join(f"avg({p[0]} * {p[1]}) - avg({p[0]}) * avg({p[1]}) AS c{p}" for p in normals.PAIRS)
 query("e1_principal_axes", f"""SELECT cloud_id, n, round((q + 2 * p * cos(phi)) / q, 4) AS l_max, round((q + 2 * p * cos(phi + 2 * pi() / 3)) / q, 4) AS l_min FROM (SELECT *, acos(greatest(-1.0, least(1.0, ((cxx - q) / p * ((cyy - q) / p * (czz - q) / p - cyz / p * cyz / p) - cxy / p * (cxy / p * (czz - q) / p - cyz / p * cxz / p) + cxz / p * (cxy / p * cyz / p - (cyy - q) / p * cxz / p)) / 2))) / 3 AS phi FROM (
     SELECT *, (cxx + cyy + czz) / 3 AS q, sqrt((power(cxx - (cxx + cyy + czz) / 3, 2) + power(cyy - (cxx + cyy + czz) / 3, 2) + power(czz - (cxx + cyy + czz) / 3, 2) + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6) AS p FROM (SELECT cloud_id, count(*) AS n, {_COV} FROM fx_points GROUP BY ALL) a) b) c""")(
@@ -287,12 +332,17 @@ query("p16_prune_by_score", "SELECT cloud_id, cand_id, score FROM fx_cands WHERE
 _RANK = "SELECT cloud_id, cand_id, score, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, cand_id) AS rank FROM fx_cands"
 query("t1_select_top", f"SELECT * FROM ({_RANK}) q WHERE rank <= 5")(lambda s, d: ranking.select_top(scored(s, d), 5).select("cloud_id", "cand_id", "score", "rank"))
 query("t2_rank_candidates", _RANK)(lambda s, d: ranking.rank_candidates(scored(s, d)).select("cloud_id", "cand_id", "score", "rank"))
-LIMITS = {"angle": 30.0, "dist": 50_000, "lateral": 30_000}
+WIDE = {"angle": 30.0, "dist": 50_000, "lateral": 30_000}
+LIMITS = WIDE | {"axis": ("ax", "ay", "az")}  # the fixture has one direction
 query("j5_pair_inliers", "SELECT cloud_id, cand_id, other_id FROM s_pairs")(lambda s, d: ranking.pair_inliers(scored(s, d), **LIMITS).select("cloud_id", F.col("i_cand_id").alias("cand_id"), F.col("j_cand_id").alias("other_id")))
 _CLUSTER = "SELECT cloud_id, cand_id, count(*) AS support, round(avg(px), 4) AS px, round(avg(score) - 2.576 * stddev_pop(score) / sqrt(count(*)), 3) AS score FROM s_pairs GROUP BY ALL HAVING count(*) >= 3"
 clusters = lambda s, d: ranking.cluster_candidates(scored(s, d), 3, **LIMITS).select("cloud_id", "cand_id", "support", *r4("px"), F.round("score", 3).alias("score"))
 query("a17_cluster_candidates", _CLUSTER)(clusters)
-query("a17_cluster_exclusive")(lambda s, d: ranking.cluster_exclusive(scored(s, d), 2, **LIMITS))
+_OWNED = """SELECT cloud_id, owner AS cand_id, count(*) AS support, round(avg(px), 4) AS px, round(avg(score) - 2.576 * stddev_pop(score) / sqrt(count(*)), 3) AS score FROM (
+    SELECT p.cloud_id, p.other_id, p.px, p.score, arg_min(p.cand_id, (-i.score, p.cand_id)) AS owner FROM s_pairs p JOIN fx_cands i ON p.cloud_id = i.cloud_id AND p.cand_id = i.cand_id GROUP BY ALL) q
+    GROUP BY ALL HAVING count(*) >= 2"""
+query("a17_cluster_exclusive", _OWNED)(
+    lambda s, d: ranking.cluster_exclusive(scored(s, d), 2, **LIMITS).select("cloud_id", "cand_id", "support", *r4("px"), F.round("score", 3).alias("score")))
 query("u5_clusters_or_all", f"WITH k AS ({_CLUSTER.replace('>= 3', '>= 12')}) SELECT cloud_id, cand_id FROM k UNION ALL SELECT cloud_id, cand_id FROM fx_cands c WHERE (SELECT count(*) FROM k WHERE k.cloud_id = c.cloud_id) <= 3".replace("WITH k AS", "SELECT * FROM (WITH k AS", 1) + ") q")(
     lambda s, d: ranking.clusters_or_all(ranking.cluster_candidates(scored(s, d), 12, **LIMITS).select("cloud_id", "cand_id"), scored(s, d)))
 query("j10_dedupe_candidates", """SELECT cloud_id, cand_id FROM fx_cands i WHERE NOT EXISTS (SELECT 1 FROM fx_cands j WHERE j.cloud_id = i.cloud_id AND (j.score > i.score OR j.score = i.score AND j.cand_id < i.cand_id)
@@ -469,12 +519,20 @@ query("c3_detect", f"SELECT * FROM (SELECT {_KEYS}, score, row_number() OVER (PA
     lambda s, d: detected(s, d).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.col("score").cast("long").alias("score"), "rank"))
 query("c3_detect_upward", f"SELECT * FROM (SELECT {_KEYS}, score, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, sample_id, orient) AS rank FROM d_told JOIN (SELECT {_KEYS}, r00 FROM fx_poses) r USING ({_KEYS}) WHERE r00 = 1) q WHERE rank <= 5")(
     lambda s, d: detected(s, d, direction=(1, 0, 0), most_angle=0.5).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.col("score").cast("long").alias("score"), "rank"))
-query("c3_detect_clustered")(lambda s, d: detected(s, d, clusters=2, limits=LIMITS).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.round("score", 3).alias("score"), "rank"))
+# the fixture's hands all have the axis z
+STEPS["d_best"] = f"""SELECT * FROM (SELECT cloud_id, sample_id, orient, px, py, pz, t.score, row_number() OVER (PARTITION BY cloud_id ORDER BY t.score DESC, sample_id, orient) AS rank FROM d_cands c JOIN d_told t USING ({_KEYS})) q WHERE rank <= 5"""
+STEPS["d_clusters"] = """SELECT i.cloud_id, i.sample_id, i.orient, avg(j.px) AS px, avg(j.score) - 2.576 * stddev_pop(j.score) / sqrt(count(*)) AS score
+    FROM d_best i JOIN d_best j ON i.cloud_id = j.cloud_id AND (i.sample_id <> j.sample_id OR i.orient <> j.orient)
+    WHERE (j.px - i.px) * (j.px - i.px) + (j.py - i.py) * (j.py - i.py) + (j.pz - i.pz) * (j.pz - i.pz) <= 2500000000
+    AND (j.px - i.px) * (j.px - i.px) + (j.py - i.py) * (j.py - i.py) <= 900000000 GROUP BY ALL HAVING count(*) >= 2"""
+query("c3_detect_clustered", """SELECT cloud_id, sample_id, orient, round(px, 2) AS px, round(score, 3) AS score FROM (SELECT * FROM d_clusters UNION ALL
+    SELECT cloud_id, sample_id, orient, px, score FROM d_best b WHERE (SELECT count(*) FROM d_clusters c WHERE c.cloud_id = b.cloud_id) <= 3) q""")(
+    lambda s, d: detected(s, d, clusters=2, limits=WIDE).select("cloud_id", "cand_id.sample_id", "cand_id.orient", F.round("px", 2).alias("px"), F.round("score", 3).alias("score")))
 
 
 def rounds(s, d, nearest_only: bool):
     first = fixture(s, d, "fx_samples").select("cloud_id", "sample_id", *[F.col(f"s{c}").cast("double").alias(f"s{c}") for c in "xyz"])
-    return pipelines.detect_iterative(obj(s, d), first, turned, HAND, 1, 6, 5_000, REACH, WIDTHS, nearest_only=nearest_only, placements=P, step=5000, friction=20.0, viable=6, near=3000)
+    return pipelines.detect_iterative(obj(s, d), first, turned, HAND, 2 if nearest_only else 1, 6, 5_000, REACH, WIDTHS, nearest_only=nearest_only, placements=P, step=5000, friction=20.0, viable=6, near=3000)
 
 
 query("u4_accumulate_rounds")(lambda s, d: rounds(s, d, True).select(*poses.POSE, "round", "label", *[F.round(c, 2).alias(c) for c in ("px", "py", "pz", "width")]))
