@@ -35,9 +35,10 @@ def feature_buckets(text: bytes, buckets: int, known: dict[bytes, tuple[int, int
     words = WORD.findall(text.lower())
     if len(known) > _KEPT_WORDS:
         known.clear()
-    for w in set(words) - known.keys():
-        c = zlib.crc32(w)
-        known[w] = c, zlib.crc32(b" ", c)
+    for w in set(words):
+        if w not in known:
+            c = zlib.crc32(w)
+            known[w] = c, zlib.crc32(b" ", c)
     both = [known[w] for w in words]
     n = len(words)
     out = np.empty(max(0, 2 * n - 1), np.int64)
