@@ -100,8 +100,8 @@ def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def eigen(m) -> Column:
-    """Of a symmetric matrix given as xx, xy, xz, yy, yz, zz: a struct of l_max, l_min, axis_max and axis_min."""
+def eigen(m, ends=("max", "min")) -> Column:
+    """Of a symmetric matrix given as xx, xy, xz, yy, yz, zz: a struct of l_max, l_min and the axes axis_max and axis_min, or those asked for."""
     names = ("xx", "xy", "xz", "yy", "yz", "zz")
     whole = F.struct(*[c.cast("double").alias(n) for n, c in zip(names, cols(m), strict=True)])
 
@@ -110,7 +110,7 @@ def eigen(m) -> Column:
         most, least = eigenvalues(own)
 
         def both(v: Column) -> Column:
-            return F.struct(v["l_max"].alias("l_max"), v["l_min"].alias("l_min"), eigenvector(own, v["l_max"]).alias("axis_max"), eigenvector(own, v["l_min"]).alias("axis_min"))
+            return F.struct(v["l_max"].alias("l_max"), v["l_min"].alias("l_min"), *[eigenvector(own, v[f"l_{e}"]).alias(f"axis_{e}") for e in ends])
 
         return bind(F.struct(most.alias("l_max"), least.alias("l_min")), both)
 

@@ -23,9 +23,9 @@ def covariance(m: DataFrame) -> DataFrame:
     return m.withColumns({f"c{p}": F.col(f"s{p}") / n - (F.col(f"s{p[0]}") / n) * (F.col(f"s{p[1]}") / n) for p in PAIRS})
 
 
-def axes_of(m: DataFrame) -> DataFrame:
+def axes_of(m: DataFrame, ends=("max", "min")) -> DataFrame:
     """Moments with covariance, greatest and least eigenvalue and their unit axes; null where undefined."""
-    return covariance(m).withColumn("e_", eigen([f"c{p}" for p in PAIRS])).select("*", "e_.*").drop("e_")
+    return covariance(m).withColumn("e_", eigen([f"c{p}" for p in PAIRS], ends)).select("*", "e_.*").drop("e_")
 
 
 def principal_axes(neigh: DataFrame, keys, xyz=("x", "y", "z"), about=None) -> DataFrame:
@@ -42,16 +42,15 @@ def principal_axes(neigh: DataFrame, keys, xyz=("x", "y", "z"), about=None) -> D
 
 
 def neighbour_moments(points: DataFrame, r: float) -> DataFrame:
-    """Moments of each point's neighbours within ``r`` about the point, itself included: cloud_id, point_id, n, sums.
+    """``points`` with the moments of each one's neighbours within ``r`` about itself: n (itself included) and the sums.
 
-    Each pair is found once and counts both ways; a point alone has n = 1 and sums of 0. Repeated ids count as one point.
+    Each pair is found once and counts both ways; a point alone has n = 1 and sums of 0. Rows that repeat an id share their neighbours.
     """
     near = both_ways(neighbour_pairs(points, r)).withColumnRenamed("own_id", "point_id")
     around = moments(near, ("cloud_id", "point_id"), about=("ox", "oy", "oz"))
-    own = points.groupBy("cloud_id", "point_id").agg(F.count("*").alias("own_"))
-    met = own.join(around, ["cloud_id", "point_id"], "left")
     sums = [f"s{c}" for c in "xyz"] + [f"s{p}" for p in PAIRS]
-    return met.select("cloud_id", "point_id", (F.coalesce("n", F.lit(0)) + F.col("own_")).alias("n"), *[F.coalesce(c, F.lit(0)).alias(c) for c in sums])
+    met = points.join(around, ["cloud_id", "point_id"], "left")
+    return met.withColumns({"n": F.coalesce("n", F.lit(0)) + 1} | {c: F.coalesce(c, F.lit(0)) for c in sums})
 
 
 def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float, with_gap: bool = False) -> DataFrame:
@@ -61,15 +60,16 @@ def estimate_normals(points: DataFrame, viewpoints: DataFrame, r: float, with_ga
     viewpoints: cloud_id, cam_id, vx, vy, vz. ``with_gap`` adds ``gap``: the middle eigenvalue less the least one, as a share of
     their sum; where it is near 0 the normal is arbitrary.
     """
-    axes = axes_of(neighbour_moments(points, r)).where("n >= 3")
+    keep = [c for c in points.columns if c not in ("nx", "ny", "nz")]
+    axes = axes_of(neighbour_moments(points.select(*keep), r), ("min",))
     trace = F.col("cxx") + F.col("cyy") + F.col("czz")
     gap = ((trace - F.col("l_max") - 2 * F.col("l_min")) / trace).alias("gap")
-    axes = axes.select("cloud_id", "point_id", "axis_min", *([gap] if with_gap else []))
-    seen = points.withColumn("cam_id", F.array_min("cams")).drop("nx", "ny", "nz").join(axes, ["cloud_id", "point_id"], "left")
-    seen = seen.join(viewpoints, ["cloud_id", "cam_id"], "left")
+    axes = axes.select(*keep, F.array_min("cams").alias("cam_id"), F.when(F.col("n") >= 3, F.col("axis_min")).alias("axis_min"), *([gap] if with_gap else []))
+    seen = axes.join(viewpoints, ["cloud_id", "cam_id"], "left")
     away = dot([F.col("axis_min")[i] for i in range(3)], [F.col(c) - F.col(f"v{c}") for c in "xyz"]) > 0
     sign = F.when(away, -1).otherwise(1)
-    return seen.withColumns({f"n{c}": F.col("axis_min")[i] * sign for i, c in enumerate("xyz")}).drop("axis_min", "cam_id", "vx", "vy", "vz")
+    normal = [(F.col("axis_min")[i] * sign).alias(f"n{c}") for i, c in enumerate("xyz")]
+    return seen.select(*keep, *normal, *(["gap"] if with_gap else []))
 
 
 def refine_normals(points: DataFrame, k: int, r: float, passes: int = 1) -> DataFrame:
