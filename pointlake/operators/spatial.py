@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import dot
+from ..scratch import shared_dir
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder named by ``spark.checkpoint.dir``; one of its own is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointlake-"))
+    """A checkpoint in the folder that driver and executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

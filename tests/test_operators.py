@@ -173,8 +173,8 @@ def test_matrices_descriptors_and_clouds_round_trip(spark, tmp_path):
     io.write_descriptors(cands, images, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "d")).first()["image"] == [1, 2]
     points = cloud(spark, [(1, 2, 3)]).withColumns({"object": F.lit("o"), "camera": F.lit(4)})
-    io.write_clouds(points, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c")).where("object = 'o' and camera = 4").count() == 1
+    assert io.write_clouds(points, str(tmp_path / "c"), "a") and not io.write_clouds(points, str(tmp_path / "c"), "a")
+    assert io.read_store(spark, str(tmp_path / "c")).where("object = 'o' and camera = 4").count() == 1
 
 
 def test_dedupe_keeps_the_better_pose(spark):
@@ -201,6 +201,6 @@ def test_round_trips_of_sinks(spark, tmp_path):
     back = io.read_normals_csv(spark, str(tmp_path / "n"))
     assert back.count() == df.count() and {r[0] for r in back.select("cloud_id").distinct().collect()} == {r[0] for r in df.select("cloud_id").distinct().collect()}
     inst = spark.createDataFrame([("a", [1, 2], "train"), ("b", [3, 4], "test")], "id string, image array<int>, split string")
-    io.write_instances(inst, str(tmp_path / "i"))
-    io.write_instances(inst, str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i")).where("split = 'test'").count() == 2
+    for batch in ("1", "2", "2"):
+        io.write_instances(inst, str(tmp_path / "i"), batch)
+    assert io.read_store(spark, str(tmp_path / "i")).where("split = 'test'").count() == 2
