@@ -7,7 +7,9 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,20 +45,48 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _LIVE: dict[str, SparkSession] = {}
+_SCOPE: ContextVar[set[str] | None] = ContextVar("scratch", default=None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is removed by ``release``, or when the driver process ends."""
     path = f"{shared_dir(spark)}/pointlake/{name}-{uuid.uuid4().hex}"
     _LIVE[path] = spark
+    if (made := _SCOPE.get()) is not None:
+        made.add(path)
     return path
 
 
+@contextmanager
+def scope() -> Iterator[set[str]]:
+    """The paths that ``scratch`` gives inside of the ``with``, in this thread; an outer scope gets them as well."""
+    made: set[str] = set()
+    outer = _SCOPE.get()
+    token = _SCOPE.set(made)
+    try:
+        yield made
+    finally:
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer |= made
+
+
 def live() -> set[str]:
     """The paths that ``scratch`` gave and that weren't removed."""
     return set(_LIVE)
 
 
+def read_by(df: DataFrame) -> set[str]:
+    """The scratch tables that ``df`` reads whenever it is computed."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return {path for path in _LIVE if path.rpartition("/")[2] in folders}
+
+
+def free(df: DataFrame) -> None:
+    """Remove the scratch tables of a result that won't be computed again, nor anything made from it."""
+    release(read_by(df))
+
+
 def release(paths: Iterable[str]) -> None:
     """Remove scratch tables of which nothing is read any more."""
     for path in list(paths):
