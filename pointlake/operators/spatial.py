@@ -104,38 +104,93 @@ def both_ways(pairs: DataFrame, key: str = "cloud_id") -> DataFrame:
     return pairs.select(key, "d2", F.explode(rows).alias("p_")).select(key, "p_.*", "d2")
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, r: float, key: str = "cloud_id", id_col: str = "sample_id", right_id: str = "point_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z"), most_rounds: int = 6) -> DataFrame:
-    """The k nearest right rows of every left row with ``rank``, ties to the smaller id; fewer if the cloud has fewer.
+_DEEPEST, _LEAF_ROWS = 20, 64
+_BOX = [f"{end}_{c}" for end in ("lo", "hi") for c in "xyz"]
+
+
+def _shifted(cell: tuple[str, ...], by: int) -> list[Column]:
+    return [F.shiftright(c, by).alias(c) for c in cell]
 
-    Rounds double the radius for the rows that lack neighbours; what is left after the last round meets its cloud.
+
+def nearest_rows(left: DataFrame, right: DataFrame, k: int, key: str = "cloud_id", id_col: str = "sample_id", right_id: str = "point_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z")) -> DataFrame:
+    """The k nearest right rows of every left row by descent through cells that are halved from level to level.
+
+    A cloud's box is the one cell of the first level. On each level every left row keeps the cells that may hold one of its k nearest:
+    those not farther than the distance within which other cells hold k rows for sure. Cells have the boxes and numbers of their rows, so that empty
+    space and outliers cost nothing. Rows meet only in the last cells, which hold few rows, unless many lie in one place.
+    All joins are on (cloud, cell). Returns key, id_col, the right columns, d2 and rank; ties go to the smaller id.
     """
-    size = right.groupBy(key).agg(F.count("*").alias("size_"))
-    todo = left.join(size, key)
+    cell = ("i_", "j_", "k_")
+    box = right.groupBy(key).agg(*[F.min(c).cast("double").alias(f"low{i}_") for i, c in enumerate(rxyz)], *[F.max(c).cast("double").alias(f"top{i}_") for i, c in enumerate(rxyz)], F.count("*").alias("n_"))
+    wide = F.greatest(*[F.col(f"top{i}_") - F.col(f"low{i}_") for i in range(3)])
+    box = cut_lineage(box.select(key, "n_", *[f"low{i}_" for i in range(3)], F.when(wide > 0, wide).otherwise(1.0).alias("wide_")))
+    most = box.agg(F.max("n_")).first()[0] or 0
+    place = [F.least(F.floor((F.col(c) - F.col(f"low{i}_")) / F.col("wide_") * float(1 << _DEEPEST)), F.lit((1 << _DEEPEST) - 1)).cast("int").alias(n) for i, (n, c) in enumerate(zip(cell, rxyz, strict=True))]
+    rows = cut_lineage(right.join(box, key).select(*right.columns, *place))
+    depth = 1
+    while 8**depth * _LEAF_ROWS < 8 * most and depth < _DEEPEST:
+        depth += 1
+    ends = [f(F.col(c).cast("double")).alias(f"{n}_{x}") for n, f in (("lo", F.min), ("hi", F.max)) for x, c in zip("xyz", rxyz, strict=True)]
+    while True:  # deeper while a cell is overfull, as dense parts of a cloud are
+        at = [F.shiftright(c, _DEEPEST - depth).alias(c) for c in cell]
+        leaves = cut_lineage(rows.groupBy(key, *at).agg(F.count("*").alias("m_"), *ends))
+        if depth >= _DEEPEST - 1 or (leaves.agg(F.max("m_")).first()[0] or 0) <= 4 * _LEAF_ROWS:
+            break
+        depth += 2
+    levels = [leaves]
+    for _ in range(depth - 1):
+        up = [F.sum("m_").alias("m_")] + [(F.min if b.startswith("lo") else F.max)(b).alias(b) for b in _BOX]
+        levels.append(cut_lineage(levels[-1].groupBy(key, *_shifted(cell, 1)).agg(*up)))
+    asked = left.select(key, id_col, *lxyz).distinct()
+    own = Window.partitionBy(key, id_col, *lxyz)
+    near = far = F.lit(0.0)  # squared distances to a cell's rows, at least and at most
+    for n, c in zip(lxyz, "xyz", strict=True):
+        short = F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(n), F.col(n) - F.col(f"hi_{c}"))
+        long = F.greatest(F.abs(F.col(n) - F.col(f"lo_{c}")), F.abs(F.col(n) - F.col(f"hi_{c}")))
+        near, far = near + short * short, far + long * long
+    parents = [f"p{c}" for c in cell]
+    front = asked.select("*", *[F.lit(0).alias(p) for p in parents])  # a cloud is one cell on the first level
+    for level, cells in enumerate(reversed(levels), 1):
+        met = front.join(cells.select("*", *[F.shiftright(c, 1).alias(p) for c, p in zip(cell, parents, strict=True)]), [key, *parents])
+        told = met.select(key, id_col, *lxyz, *cell, "m_", near.alias("near_"), far.alias("far_"))
+        sure = told.withColumn("sum_", F.sum("m_").over(own.orderBy("far_", *cell)))
+        held = sure.withColumn("bound_", F.min(F.when(F.col("sum_") >= k, F.col("far_"))).over(own))
+        kept = held.where(F.col("bound_").isNull() | (F.col("near_") <= F.col("bound_") * (1 + 1e-9)))
+        front = kept.select(key, id_col, *lxyz, *[F.col(c).alias(p if level < depth else c) for c, p in zip(cell, parents, strict=True)])
+        if level % 3 == 2:
+            front = cut_lineage(front)
+    leaf = rows.select(*right.columns, *[F.shiftright(c, _DEEPEST - depth).alias(c) for c in cell])
+    gap = [F.col(b) - F.col(a) for a, b in zip(lxyz, rxyz, strict=True)]
     order = Window.partitionBy(key, id_col).orderBy("d2", right_id)
-    found = None
-    for step in range(most_rounds + 1):
-        if step < most_rounds:
-            met = radius_join(todo, right, r * 2**step, key, lxyz, rxyz)
-        else:
-            gap = [F.col(b) - F.col(a) for a, b in zip(lxyz, rxyz, strict=True)]
-            met = todo.join(right, key).withColumn("d2", dot(gap, gap))
+    ranked = front.join(leaf, [key, *cell]).withColumn("d2", dot(gap, gap)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(key, id_col, *[c for c in right.columns if c != key], "d2", "rank")
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int, r: float, key: str = "cloud_id", id_col: str = "sample_id", right_id: str = "point_id", lxyz=("sx", "sy", "sz"), rxyz=("x", "y", "z"), rounds: int = 2) -> DataFrame:
+    """The k nearest right rows of every left row with ``rank``, ties to the smaller id; fewer if the cloud has fewer.
+
+    ``rounds`` radius joins, the radius doubled each time, serve the rows that have k neighbours so near; the others descend
+    through cells (``nearest_rows``), so that no round meets a whole cloud. (key, id_col) tells left rows apart.
+    """
+    todo, found, order = left, None, Window.partitionBy(key, id_col).orderBy("d2", right_id)
+    for step in range(rounds):
+        met = radius_join(todo, right, r * 2**step, key, lxyz, rxyz)
         ranked = cut_lineage(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        got = ranked.groupBy(key, id_col).agg(F.count("*").alias("got_"))
-        full = got.join(todo.select(key, id_col, "size_"), [key, id_col]).where(F.col("got_") >= F.least(F.lit(k), F.col("size_"))).select(key, id_col)
-        part = ranked.join(full, [key, id_col], "left_semi").drop("size_")
+        full = ranked.where(F.col("rank") == k).select(key, id_col)
+        part = ranked.join(full, [key, id_col], "left_semi")
         found = part if found is None else found.unionByName(part)
-        if step < most_rounds:
-            todo = cut_lineage(todo.join(full, [key, id_col], "left_anti"))
-            if todo.isEmpty():
-                break
-    return found
+        todo = cut_lineage(todo.join(full, [key, id_col], "left_anti"))
+        if todo.isEmpty():
+            return found
+    rest = nearest_rows(todo, right, k, key, id_col, right_id, lxyz, rxyz)
+    rest = todo.join(rest, [key, id_col])
+    return rest if found is None else found.unionByName(rest.select(*found.columns))
 
 
 def nearest_centre(x: DataFrame, centres: DataFrame, key: str = "cloud_id", id_col: str = "point_id") -> DataFrame:
     """For each row of ``x`` the id of the nearest centre (centre_id, cx, cy, cz) of its cloud, ties to the smaller id."""
-    gap = [F.col(a) - F.col(b) for a, b in (("x", "cx"), ("y", "cy"), ("z", "cz"))]
-    met = x.join(centres, key).withColumn("d2", dot(gap, gap))
-    return met.groupBy(key, id_col).agg(F.min(F.struct("d2", "centre_id")).alias("m")).select(key, id_col, F.col("m.centre_id").alias("centre_id"), F.col("m.d2").alias("d2"))
+    found = nearest_rows(x.select(key, id_col, "x", "y", "z"), centres.select(key, "centre_id", "cx", "cy", "cz"), 1, key, id_col, "centre_id", ("x", "y", "z"), ("cx", "cy", "cz"))
+    return found.select(key, id_col, "centre_id", "d2")
 
 
 def remove_statistical_outliers(points: DataFrame, k: int, mult: float, r: float) -> DataFrame:

@@ -60,6 +60,44 @@ def test_moments_count_each_neighbour_once(spark):
         assert r.n == len(gap) and np.allclose([r.sx, r.sxx, r.syz], [gap[:, 0].sum(), (gap[:, 0] ** 2).sum(), (gap[:, 1] * gap[:, 2]).sum()])
 
 
+def clustered(rng, n, far):
+    """A dense knot, a sheet, a few places far away, and points in one place."""
+    parts = [rng.normal(size=(n, 3)) * 0.001, np.c_[rng.uniform(-1, 1, (n, 2)), np.zeros(n)], rng.normal(size=(5, 3)) * far, np.tile([0.5, 0.5, 0.5], (6, 1))]
+    return np.concatenate(parts)
+
+
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_nearest_rows_equal_brute_force_with_far_outliers(spark, k, monkeypatch):
+    monkeypatch.setattr(spatial, "_LEAF_ROWS", 4)
+    rng = np.random.default_rng(k)
+    clouds = {1: clustered(rng, 100, 1e4), 2: rng.uniform(0, 1, (30, 3)), 3: np.zeros((1, 3))}
+    points = None
+    for c, xyz in clouds.items():
+        points = cloud(spark, xyz, c) if points is None else points.unionByName(cloud(spark, xyz, c))
+    got = {}
+    for r in spatial.nearest_rows(as_samples(points), points, k).collect():
+        got.setdefault((r.cloud_id, r.sample_id), []).append((r.d2, r.point_id, r.rank))
+    for c, xyz in clouds.items():
+        d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+        for i in range(len(xyz)):
+            want = sorted((d2[i, j], j) for j in range(len(xyz)))[:k]
+            mine = sorted(got[c, i], key=lambda x: x[2])
+            assert [x[2] for x in mine] == list(range(1, len(want) + 1)) and np.allclose([x[0] for x in mine], [x[0] for x in want])
+            assert {x[1] for x in mine} <= {j for j in range(len(xyz)) if d2[i, j] <= want[-1][0] * (1 + 1e-9)}
+
+
+def test_no_join_is_on_the_cloud_alone(spark):
+    points = cloud(spark, np.random.default_rng(0).uniform(0, 1, (50, 3)))
+    centres = points.select("cloud_id", F.col("point_id").alias("centre_id"), *[F.col(c).alias(f"c{c}") for c in "xyz"])
+    cands = points.select("cloud_id", F.col("point_id").alias("cand_id"), *[F.col(c).alias(f"p{c}") for c in "xyz"], *[F.col(c).alias(f"a{c}") for c in "xyz"], F.lit(1).alias("score"))
+    knn = spatial.knn_join(as_samples(points), points, 3, 0.001)
+    for frame in (spatial.nearest_centre(points, centres), ranking.dedupe_candidates(cands), knn):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join Inner" in line]
+        short = [j for j in joins if not any(c in j for c in ("cell_", "i_#", "sample_id"))]
+        assert len(short) <= 1, short  # the first level's, which has eight cells a cloud at most
+
+
 def hands(spark, seed, n=120):
     rng = np.random.default_rng(seed)
     axis = rng.normal(size=(n, 3)) * 0.2 + [0, 0, 1]
