@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import bind, cross, dot, eigen
+from .dataset import numbered_within
 from .spatial import both_ways, cut_lineage, knn_join, neighbour_pairs, radius_join
 
 PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
@@ -137,10 +138,9 @@ def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int =
 
     A try draws three of a cloud's points by a hash of seed, try and cloud; one that draws a point twice, or three in a line,
     gives no plane. All tries of a cloud are counted in one pass over its points, and the refit is taken about
-    a point of the plane, so that large coordinates don't cancel. Points are numbered in one window a cloud.
+    a point of the plane, so that large coordinates don't cancel. Points are numbered by one sort of all clouds.
     """
-    order = Window.partitionBy("cloud_id").orderBy("point_id")
-    numbered = points.select("cloud_id", "x", "y", "z", (F.row_number().over(order) - 1).cast("long").alias("at"))
+    numbered = numbered_within(points.select("cloud_id", "point_id", "x", "y", "z"), "cloud_id", "point_id").drop("point_id")
     sizes = points.groupBy("cloud_id").agg(F.count("*").alias("m"))
     draws = sizes.select("cloud_id", "m", F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("try")).select("*", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("k"))
     draws = draws.select("cloud_id", "try", "k", F.pmod(F.xxhash64(F.lit(seed), "try", "k", "cloud_id"), F.col("m")).alias("at"))
@@ -167,8 +167,9 @@ def fit_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int =
 
 def remove_plane(points: DataFrame, planes: DataFrame, dist: float) -> DataFrame:
     """The points off the plane; all points of a cloud in which nothing else is left."""
-    marked = plane_inliers(points, planes, dist).withColumn("all_in", F.min("inlier").over(Window.partitionBy("cloud_id")))
-    return marked.where("not inlier or all_in").drop("inlier", "all_in")
+    marked = plane_inliers(points, planes, dist)
+    flat = marked.groupBy("cloud_id").agg(F.min("inlier").alias("all_in"))
+    return marked.join(flat, "cloud_id").where("not inlier or all_in").drop("inlier", "all_in")
 
 
 def sample_above_plane(points: DataFrame, dist: float, iterations: int = 50, seed: int = 42) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import axis_rotation, dot, mul3
@@ -61,7 +61,19 @@ def neighbourhoods(samples: DataFrame, poses: DataFrame, points: DataFrame, hand
 
 
 def _free(bite: Column, slot: float, hand: Hand) -> Column:
-    return ~F.coalesce(F.max((F.col("fwd") < bite) & (F.col("lat") > slot) & (F.col("lat") < slot + hand.finger)), F.lit(False))
+    return F.min(~((F.col("fwd") < bite) & (F.col("lat") > slot) & (F.col("lat") < slot + hand.finger)))
+
+
+def finger_tests(hand: Hand, n: int) -> dict[str, Column]:
+    """Aggregates over a pose's points: whether one is behind the bottom, one within the bite, and no one in each of the 2n slots."""
+    bite, bottom = F.lit(hand.bite), F.lit(hand.bite - hand.depth)
+    slots = {f"s{i}": _free(bite, s, hand) for i, s in enumerate(hand.slots(n))}
+    return {"palm": F.max((F.col("fwd") < bite) & (F.col("fwd") < bottom)), "some": F.max(F.col("fwd") < bite)} | slots
+
+
+def _fingers(n: int) -> Column:
+    ok = F.col("some") & ~F.col("palm")
+    return F.array(*[ok & F.col(f"s{i}") for i in range(2 * n)])
 
 
 def finger_placements(neigh: DataFrame, hand: Hand, n: int = 10, keys=POSE) -> DataFrame:
@@ -69,13 +81,8 @@ def finger_placements(neigh: DataFrame, hand: Hand, n: int = 10, keys=POSE) -> D
 
     All are false if a point is behind the hand's bottom, or none is within the bite.
     """
-    bite, bottom = F.lit(hand.bite), F.lit(hand.bite - hand.depth)
-    slots = [_free(bite, s, hand).alias(f"s{i}") for i, s in enumerate(hand.slots(n))]
-    hit = F.max((F.col("fwd") < bite) & (F.col("fwd") < bottom)).alias("palm")
-    some = F.max(F.col("fwd") < bite).alias("some")
-    out = neigh.groupBy(*keys).agg(hit, some, *slots)
-    ok = F.col("some") & ~F.col("palm")
-    return out.select(*keys, F.array(*[ok & F.col(f"s{i}") for i in range(2 * n)]).alias("fingers"))
+    out = neigh.groupBy(*keys).agg(*[test.alias(name) for name, test in finger_tests(hand, n).items()])
+    return out.select(*keys, _fingers(n).alias("fingers"))
 
 
 def hand_feasible(fingers: DataFrame, n: int = 10) -> DataFrame:
@@ -96,18 +103,29 @@ def slot_columns(poses: DataFrame, hand: Hand, n: int = 10) -> DataFrame:
     return poses.withColumns({"slot_l": F.get(at, F.col("placement")), "slot_r": F.get(at, F.col("placement") + n)})
 
 
-def deepen(neigh: DataFrame, hand: Hand, step: float, keys=POSE) -> DataFrame:
-    """top and bottom of the deepest bite reached in steps from the initial one without collision; ``neigh`` has slot_l, slot_r."""
-    most = round((hand.depth - hand.bite) / step)
-    tests = []
-    for k in range(most + 1):
+def depth_tests(hand: Hand, step: float) -> dict[str, Column]:
+    """Aggregates over a pose's points (with slot_l, slot_r): whether step k of the bite has a point within (in), or one in its way (hit)."""
+    tests = {}
+    for k in range(round((hand.depth - hand.bite) / step) + 1):
         bite = hand.bite + k * step
         inside = F.col("fwd") < bite
-        hit = inside & ((F.col("fwd") < bite - hand.depth) | F.coalesce(F.col("lat").between(F.col("slot_l"), F.col("slot_l") + hand.finger) & (F.col("lat") != F.col("slot_l")) & (F.col("lat") != F.col("slot_l") + hand.finger), F.lit(False)) | F.coalesce((F.col("lat") > F.col("slot_r")) & (F.col("lat") < F.col("slot_r") + hand.finger), F.lit(False)))
-        tests.append((F.max(inside) & ~F.max(hit)).alias(f"ok{k}"))
-    out = neigh.groupBy(*keys).agg(*tests)
-    stop = F.coalesce(*[F.when(~F.col(f"ok{k}"), F.lit(k)) for k in range(1, most + 1)], F.lit(most + 1))
-    return out.select(*keys, (F.lit(hand.bite) + (stop - 1) * step).alias("top")).withColumn("bottom", F.col("top") - hand.depth)
+        finger = [(F.col("lat") > F.col(s)) & (F.col("lat") < F.col(s) + hand.finger) for s in ("slot_l", "slot_r")]
+        hit = inside & ((F.col("fwd") < bite - hand.depth) | finger[0] | finger[1])
+        tests |= {f"in{k}": F.max(inside), f"hit{k}": F.max(hit)}
+    return tests
+
+
+def _deepest(hand: Hand, step: float) -> Column:
+    most = round((hand.depth - hand.bite) / step)
+    ok = lambda k: F.col(f"in{k}") & ~F.coalesce(F.col(f"hit{k}"), F.lit(False))
+    stop = F.coalesce(*[F.when(~ok(k), F.lit(k)) for k in range(1, most + 1)], F.lit(most + 1))
+    return F.lit(hand.bite) + (stop - 1) * step
+
+
+def deepen(neigh: DataFrame, hand: Hand, step: float, keys=POSE) -> DataFrame:
+    """top and bottom of the deepest bite reached in steps from the initial one without collision; ``neigh`` has slot_l, slot_r."""
+    out = neigh.groupBy(*keys).agg(*[test.alias(name) for name, test in depth_tests(hand, step).items()])
+    return out.select(*keys, _deepest(hand, step).alias("top")).withColumn("bottom", F.col("top") - hand.depth)
 
 
 def closing_region(neigh: DataFrame, hand: Hand) -> DataFrame:
@@ -121,25 +139,59 @@ def closing_width(closing: DataFrame, keys=POSE) -> DataFrame:
     return closing.groupBy(*keys).agg(F.count("*").alias("n_closing"), (F.max("lat") - F.min("lat")).alias("width"))
 
 
-def antipodal_label(closing: DataFrame, friction: float, viable: int, near: float, keys=POSE) -> DataFrame:
-    """``label`` 0 none, 1 half, 2 full, from the outermost points whose normals lie in the friction cone (degrees)."""
+def _sides(closing: DataFrame, friction: float, near: float, keys) -> tuple[DataFrame, dict[str, Column]]:
+    """The closing points with what their pose tells about both sides, and the aggregates that end in its label.
+
+    All that a pose tells is taken in windows over its keys, so that rows stay where they are: one partitioning serves every step.
+    """
+    over = Window.partitionBy(*keys)
     cone = math.cos(math.radians(friction))
-    keys = list(keys)
-    ends = closing.groupBy(*keys).agg(F.min("lat").alias("l0"), F.max("lat").alias("l1"))
-    met = closing.join(ends, keys)
+    met = closing.withColumns({"l0": F.min("lat").over(over), "l1": F.max("lat").over(over)})
     met = met.withColumns({"on_l": (-F.col("nl") > cone) & (F.col("lat") < F.col("l0") + near), "on_r": (F.col("nl") > cone) & (F.col("lat") > F.col("l1") - near)})
-    side = lambda f, c, s: f(F.when(F.col(f"on_{s}"), F.col(c)))
-    spans = met.groupBy(*keys).agg(*[side(f, c, s).alias(f"{m}_{c}_{s}") for s in "lr" for c in ("fwd", "ver") for m, f in (("min", F.min), ("max", F.max))])
-    both = met.join(spans, keys)
+    side = lambda f, c, s: f(F.when(F.col(f"on_{s}"), F.col(c))).over(over)
+    met = met.withColumns({f"{m}_{c}_{s}": side(f, c, s) for s in "lr" for c in ("fwd", "ver") for m, f in (("min", F.min), ("max", F.max))})
     box = None
     for c in ("fwd", "ver"):
         part = (F.col(c) >= F.greatest(f"min_{c}_l", f"min_{c}_r")) & (F.col(c) <= F.least(f"max_{c}_l", f"max_{c}_r"))
         box = part if box is None else box & part
     two = F.col("min_fwd_l").isNotNull() & F.col("min_fwd_r").isNotNull()
     some = F.col("min_fwd_l").isNotNull() | F.col("min_fwd_r").isNotNull()
-    n = both.groupBy(*keys).agg(F.max(two).alias("two"), F.max(some).alias("some"), *[F.sum((F.col(f"on_{s}") & box).cast("long")).alias(f"n_{s}") for s in "lr"])
+    return met, {"two": F.max(two), "some": F.max(some)} | {f"n_{s}": F.sum((F.col(f"on_{s}") & box).cast("long")) for s in "lr"}
+
+
+def _label(viable: int) -> Column:
     full = F.col("two") & (F.col("n_l") >= viable) & (F.col("n_r") >= viable)
-    return n.select(*keys, F.when(full, 2).when(F.col("some"), 1).otherwise(0).alias("label"))
+    return F.when(full, 2).when(F.col("some"), 1).otherwise(0)
+
+
+def antipodal_label(closing: DataFrame, friction: float, viable: int, near: float, keys=POSE) -> DataFrame:
+    """``label`` 0 none, 1 half, 2 full, from the outermost points whose normals lie in the friction cone (degrees)."""
+    met, told = _sides(closing, friction, near, keys)
+    out = met.groupBy(*keys).agg(*[a.alias(name) for name, a in told.items()])
+    return out.select(*keys, _label(viable).alias("label"))
+
+
+def tested_poses(neigh: DataFrame, hand: Hand, placements: int, step: float | None, friction: float, viable: int, near: float, keys=POSE) -> DataFrame:
+    """Per feasible pose with points between its fingers: placement, slots, top, bottom, centre, n_closing, width, label.
+
+    Finger placements, middle, depth, closing region, width and label of every pose over one partitioning by its keys: each
+    step adds what the pose tells to its points, and one aggregate ends it.
+    """
+    over = Window.partitionBy(*keys)
+    held = neigh.withColumns({name: test.over(over) for name, test in finger_tests(hand, placements).items()})
+    held = held.select(*neigh.columns, _fingers(placements).alias("fingers"))
+    held = choose_middle(hand_feasible(held, placements)).where("placement >= 0").drop("fingers", "hands")
+    held = slot_columns(held, hand, placements)
+    if step:
+        kept = held.columns
+        held = held.withColumns({name: test.over(over) for name, test in depth_tests(hand, step).items()})
+        held = held.select(*kept, _deepest(hand, step).alias("top")).withColumn("bottom", F.col("top") - hand.depth)
+    else:
+        held = held.withColumns({"top": F.lit(hand.bite), "bottom": F.lit(hand.bite - hand.depth)})
+    met, told = _sides(closing_region(held, hand), friction, near, keys)
+    same = [F.first(c).alias(c) for c in ("placement", "slot_l", "slot_r", "top", "bottom", "centre")]
+    out = met.groupBy(*keys).agg(*same, F.count("*").alias("n_closing"), (F.max("lat") - F.min("lat")).alias("width"), *[a.alias(name) for name, a in told.items()])
+    return out.withColumn("label", _label(viable)).drop(*told)
 
 
 def antipodal_from_normals(closing: DataFrame, half: float, full: float, keys=POSE) -> DataFrame:
@@ -158,10 +210,11 @@ def reevaluate(poses: DataFrame, mesh: DataFrame, hand: Hand, friction: float, v
     neigh = neighbourhoods(poses.select("cloud_id", "sample_id", "sx", "sy", "sz").distinct(), poses, mesh, hand, keys)
     inside = F.col("fwd") < F.col("top")
     finger = lambda s: (F.col("lat") > F.col(s)) & (F.col("lat") < F.col(s) + hand.finger)
-    fits = neigh.groupBy(*keys).agg((F.max(inside) & ~F.max(inside & ((F.col("fwd") < F.col("bottom")) | finger("slot_l") | finger("slot_r")))).alias("fits"))
-    label = antipodal_label(closing_region(neigh, hand), friction, viable, near, keys)
-    out = poses.select(*keys).join(fits, keys, "left").join(label, keys, "left")
-    return out.select(*keys, F.when(F.col("fits"), F.coalesce("label", F.lit(0))).otherwise(0).alias("label"))
+    over = Window.partitionBy(*keys)
+    hit = F.max(inside & ((F.col("fwd") < F.col("bottom")) | finger("slot_l") | finger("slot_r"))).over(over)
+    held = neigh.withColumn("fits", F.max(inside).over(over) & ~hit).where("fits")
+    label = antipodal_label(closing_region(held, hand), friction, viable, near, keys)
+    return poses.select(*keys).join(label, keys, "left").select(*keys, F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def pose_axes(poses: DataFrame) -> DataFrame:
