@@ -53,15 +53,9 @@ def shadow_image(celled: DataFrame, keys=KEY) -> DataFrame:
 
 def normals_image(celled: DataFrame, keys=KEY) -> DataFrame:
     """The running blend of absolute normals in the order of point ids: channels 0 .. 2 of every occupied cell."""
-    rows = F.array_sort(F.collect_list(F.struct("point_id", *[F.abs(F.col(c).cast("double")).alias(c) for c in ("nf", "nl", "nv")])))
-    start = F.struct(*[F.lit(0.0).alias(c) for c in ("a", "b", "c")])
-
-    def blend(v: Column, p: Column) -> Column:
-        size = F.sqrt(v["a"] * v["a"] + v["b"] * v["b"] + v["c"] * v["c"])
-        return F.struct(*[F.when(size == 0, p[n]).otherwise(v[k] + (p[n] - v[k]) / size).alias(k) for k, n in (("a", "nf"), ("b", "nl"), ("c", "nv"))])
-
-    out = celled.groupBy(*keys, "row", "col").agg(rows.alias("p")).withColumn("v", F.aggregate("p", start, blend))
-    return out.select(*keys, "row", "col", F.posexplode(F.array("v.a", "v.b", "v.c")).alias("part", "value"))
+    rows = F.array_sort(F.collect_list(F.struct("point_id", *[F.abs(F.col(c).cast("double")).alias(c) for c in _FIELDS["normals"]])))
+    out = celled.groupBy(*keys, "row", "col").agg(rows.alias("p")).withColumn("v", _blend_of(F.col("p")))
+    return out.select(*keys, "row", "col", F.posexplode(F.array(*[F.col("v")[c] for c in _FIELDS["normals"]])).alias("part", "value"))
 
 
 def dilate3(pixels: DataFrame, size: int, keys=KEY) -> DataFrame:
@@ -81,41 +75,130 @@ def minmax_u8(pixels: DataFrame, size: int, channels: int = 1, keys=KEY) -> Data
     return out.withColumn("value", F.when(F.col("hi_") > F.col("lo_"), F.rint(255 * (F.col("value") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")))).otherwise(0).cast("short")).drop("lo_", "hi_")
 
 
-def _depth_channel(points: DataFrame, size: int, keys) -> DataFrame:
-    return minmax_u8(dilate3(depth_image(cells(points, size), keys), size, keys), size, 1, keys).withColumn("channel", F.lit(0))
+# channels: whether there are three views of the volume, and the images of each view in the order of their channels
+STRATEGIES: dict[int, tuple[bool, tuple[str, ...]]] = {
+    1: (False, ("depth",)),
+    3: (False, ("normals",)),
+    12: (True, ("normals", "depth")),
+    15: (True, ("normals", "depth", "shadow")),
+}
+_FIELDS = {"normals": ("nf", "nl", "nv"), "depth": ("depth",), "shadow": ("shadow",)}
 
 
-def _normal_channels(celled: DataFrame, size: int, keys) -> DataFrame:
-    wide = dilate3(normals_image(celled, keys), size, (*keys, "part"))
-    return minmax_u8(wide, size, 3, keys).withColumnRenamed("part", "channel")
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _views(points: DataFrame, size: int, keys, shadow: bool) -> DataFrame:
-    by_view = (*keys, "view")
-    celled = cells(project3(points), size, ("w0", "w1", "w2"))
-    width = 5 if shadow else 4
-    parts = [_normal_channels(celled, size, by_view).withColumn("channel", F.col("view") * width + F.col("channel"))]
-    parts.append(minmax_u8(dilate3(depth_image(celled, by_view), size, by_view), size, 1, by_view).withColumn("channel", F.col("view") * width + 3))
-    if shadow:
-        parts.append(minmax_u8(dilate3(shadow_image(celled, by_view), size, by_view), size, 1, by_view).withColumn("channel", F.col("view") * width + 4))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("view")
+def _blend_of(rows: Column) -> Column:
+    """The running blend of sorted (point_id, nf, nl, nv): nf, nl, nv."""
+    start = F.struct(*[F.lit(0.0).alias(c) for c in _FIELDS["normals"]])
 
+    def blend(v: Column, p: Column) -> Column:
+        size = F.sqrt(v["nf"] * v["nf"] + v["nl"] * v["nl"] + v["nv"] * v["nv"])
+        return F.struct(*[F.when(size == 0, p[c]).otherwise(v[c] + (p[c] - v[c]) / size).alias(c) for c in _FIELDS["normals"]])
 
-STRATEGIES: dict[int, Callable[[DataFrame, int, tuple], DataFrame]] = {
-    1: _depth_channel,
-    3: lambda p, size, keys: _normal_channels(cells(p, size), size, keys),
-    12: lambda p, size, keys: _views(p, size, keys, False),
-    15: lambda p, size, keys: _views(p, size, keys, True),
-}
+    return F.aggregate(rows, start, blend)
+
+
+def _dense(held: Column, size: int, fields: tuple[str, ...]) -> Column:
+    """All cells of an image in order, from the sorted array of those that are occupied; nulls stand for the others."""
+    none = F.struct(*[F.lit(None).cast("double").alias(c) for c in fields])
+    values = lambda p: F.struct(*[p[c].alias(c) for c in fields])
+    ends = F.concat(F.array(F.lit(-1)), held["cell"])
+    runs = F.zip_with(held, ends, lambda p, before: F.when(p.isNotNull(), F.concat(F.array_repeat(none, p["cell"] - before - 1), F.array(values(p)))))
+    last = F.lit(size * size - 1) - F.element_at(held["cell"], -1)
+    return F.concat(F.flatten(F.filter(runs, lambda r: r.isNotNull())), F.array_repeat(none, last))
+
+
+def _dilated(image: Column, size: int, fields: tuple[str, ...]) -> Column:
+    """3 x 3 maxima of each field as one pass along the rows and one along the columns."""
+    most = lambda *cells: F.struct(*[F.greatest(*[c[f] for c in cells]).alias(f) for f in fields])
+
+    def along_row(a: Column) -> Column:
+        return F.transform(a, lambda x, i: most(F.when(i % size > 0, F.get(a, i - 1)), x, F.when(i % size < size - 1, F.get(a, i + 1))))
+
+    def along_column(a: Column) -> Column:
+        return F.transform(a, lambda x, i: most(F.get(a, i - size), x, F.get(a, i + size)))
+
+    return _with(image, lambda a: _with(along_row(a), along_column))
+
+
+def _scaled(image: Column, kinds: tuple[str, ...]) -> Column:
+    """The channels of each cell as 0 .. 255 by the least and greatest value of its kind of image; empty cells are 0 and count."""
+    groups = [_FIELDS[k] for k in kinds]
+    filled = F.transform(image, lambda x: F.struct(*[F.coalesce(x[c], F.lit(0.0)).alias(c) for g in groups for c in g]))
+
+    def bounds(a: Column) -> Column:
+        ends = []
+        for k, group in enumerate(groups):
+            for name, over, of in ((f"lo{k}", F.least, F.array_min), (f"hi{k}", F.greatest, F.array_max)):
+                found = [of(a[c]) for c in group]
+                ends.append((over(*found) if len(found) > 1 else found[0]).alias(name))
+        return F.struct(*ends)
+
+    def channel(x: Column, e: Column, c: str, k: int) -> Column:
+        lo, hi = e[f"lo{k}"], e[f"hi{k}"]
+        return F.when(hi > lo, F.rint(255 * (x[c] - lo) / (hi - lo))).otherwise(0).cast("short")
+
+    def cells_of(a: Column, e: Column) -> Column:
+        return F.transform(a, lambda x: F.array(*[channel(x, e, c, k) for k, g in enumerate(groups) for c in g]))
+
+    return _with(filled, lambda a: _with(bounds(a), lambda e: cells_of(a, e)))
+
+
+def packed_images(unit_points: DataFrame, size: int, channels: int, keys=KEY) -> DataFrame:
+    """``image``: rows x columns x channels of each pose as one array of shorts, by the strategy of the number of channels.
+
+    The points of a pose meet once, in one exchange on ``keys``: views, cells, images and their scaling are all made there. Only where
+    means of depth are all that is asked for do cells form before that, as such means are made in part where the points are.
+    A pose without points has no row. Values of points of one cell with the same ``point_id`` blend in the order of their normals.
+    """
+    keys = list(keys)
+    three, kinds = STRATEGIES[channels]
+    blended = "normals" in kinds
+    wanted = [*keys, "u0", "u1", "u2", *(["point_id", *_FIELDS["normals"]] if blended else [])]
+    points = unit_points.select(*wanted)
+    if blended:
+        points = points.repartition(*keys)
+    celled = cells(project3(points), size, ("w0", "w1", "w2")) if three else cells(points.withColumn("view", F.lit(0)), size)
+    celled = celled.withColumn("cell", F.col("row") * size + F.col("col"))
+    if blended:
+        row = F.struct("point_id", *[F.abs(F.col(c).cast("double")).alias(c) for c in _FIELDS["normals"]], "deep")
+        occupied = celled.groupBy(*keys, "view", "cell").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+        total = F.aggregate(F.col("rows")["deep"], F.lit(0.0), lambda t, x: t + x)  # in one order, so that no partitioning changes a byte
+        occupied = occupied.select(*keys, "view", "cell", (total / F.size("rows")).alias("mean"), _blend_of(F.col("rows")).alias("n"))
+    else:
+        occupied = celled.groupBy(*keys, "view", "cell").agg(F.avg("deep").alias("mean"))
+    held = occupied.groupBy(*keys, "view").agg(F.array_sort(F.collect_list(F.struct("cell", "mean", *(["n"] if blended else [])))).alias("held"))
+
+    fields = tuple(c for k in kinds for c in _FIELDS[k])
+    of = {"depth": lambda p, far: 1 - p["mean"], "shadow": lambda p, far: far - p["mean"]} | {c: lambda p, far, c=c: p["n"][c] for c in _FIELDS["normals"]}
+
+    def valued(a: Column) -> Column:
+        named = lambda far: F.transform(a, lambda p: F.struct(p["cell"].alias("cell"), *[of[c](p, far).alias(c) for c in fields]))
+        return _with(F.array_max(a["mean"]), named)
+
+    one = _with(F.col("held"), lambda a: _with(valued(a), lambda v: _scaled(_dilated(_dense(v, size, fields), size, fields), kinds)))
+    images = held.select(*keys, "view", one.alias("cells"))
+    if not three:
+        return images.select(*keys, F.flatten("cells").alias("image"))
+    views = images.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("view", "cells")))["cells"].alias("v"))  # every point is in all views
+    joined = _with(F.col("v"), lambda v: F.transform(v[0], lambda first, i: F.concat(first, F.get(v[1], i), F.get(v[2], i))))
+    return views.select(*keys, F.flatten(joined).alias("image"))
+
+
+def unpack(images: DataFrame, size: int, channels: int, keys=KEY) -> DataFrame:
+    """Pixels (keys, channel, row, col, value) of packed images that aren't 0."""
+    at = F.col("at")
+    pixels = images.select(*keys, F.posexplode("image").alias("at", "value")).where("value <> 0")
+    place = (at / channels).cast("int")
+    return pixels.select(*keys, (at % channels).alias("channel"), (place / size).cast("int").alias("row"), (place % size).alias("col"), "value")
 
 
 def describe(unit_points: DataFrame, size: int, channels: int, keys=KEY) -> DataFrame:
-    """Pixels (keys, channel, row, col, value) that aren't 0, by the strategy registered for the number of channels."""
-    out = STRATEGIES[channels](unit_points, size, tuple(keys))
-    return out.select(*keys, "channel", "row", "col", "value").where("value <> 0")
+    """Pixels (keys, channel, row, col, value) that aren't 0, by the strategy of the number of channels."""
+    return unpack(packed_images(unit_points, size, channels, keys), size, channels, keys)
 
 
 def pack(pixels: DataFrame, size: int, channels: int, keys=KEY) -> DataFrame:

@@ -68,7 +68,8 @@ def needed(text: str, known: dict[str, str]) -> list[str]:
 def with_views(text: str, known: dict[str, str] = VIEWS) -> str:
     """``text`` with the views that it uses in front."""
     names = needed(text, known)
-    return ("WITH " + ", ".join(f"{n} AS ({known[n]})" for n in names) + " " if names else "") + text
+    recursive = any(re.search(rf"\b{n}\b", known[n]) for n in names)
+    return (("WITH RECURSIVE " if recursive else "WITH ") + ", ".join(f"{n} AS ({known[n]})" for n in names) + " " if names else "") + text
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

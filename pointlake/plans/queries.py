@@ -353,7 +353,6 @@ query("i1_unit_image_points", f"SELECT {_KEYS}, point_id, CAST(round(u0 * 60000)
 query("i2_cell_index", f"SELECT {_KEYS}, point_id, row, col FROM s_cells")(lambda s, d: celled(s, d).select(*poses.POSE, "point_id", "row", "col"))
 query("i3_binary_image", f"SELECT DISTINCT {_KEYS}, row, col, 255 AS value FROM s_cells")(lambda s, d: raster.binary_image(celled(s, d)).withColumn("value", F.col("value").cast("int")))
 query("i4_depth_image", f"SELECT {_KEYS}, row, col, round(value, 4) AS value FROM s_depth")(lambda s, d: raster.depth_image(celled(s, d)).withColumn("value", F.round("value", 4)))
-query("i5_normals_image")(lambda s, d: raster.normals_image(celled(s, d)))
 query("i6_shadow_image", f"SELECT {_KEYS}, row, col, round(value, 4) AS value FROM s_shadow")(lambda s, d: raster.shadow_image(celled(s, d)).withColumn("value", F.round("value", 4)))
 query("i7_dilate3", f"SELECT {_KEYS}, row, col, round(value, 4) AS value FROM s_wide")(lambda s, d: raster.dilate3(raster.depth_image(celled(s, d)), SIZE).withColumn("value", F.round("value", 4)))
 _U8 = f"""SELECT {_KEYS}, row, col, CAST(CASE WHEN hi > lo THEN round_even(255 * (value - lo) / (hi - lo), 0) ELSE 0 END AS INT) AS value FROM (SELECT *,
@@ -362,8 +361,26 @@ query("i8_minmax_u8", _U8)(lambda s, d: raster.minmax_u8(raster.dilate3(raster.d
 query("i9_project3", f"SELECT {_KEYS}, view, count(*) AS n, CAST(round(600000 * sum(CASE view WHEN 0 THEN u0 ELSE u2 END)) AS BIGINT) AS w0, CAST(round(600000 * sum(CASE view WHEN 2 THEN u0 ELSE u1 END)) AS BIGINT) AS w1, CAST(round(600000 * sum(CASE view WHEN 0 THEN u2 WHEN 1 THEN u0 ELSE u1 END)) AS BIGINT) AS w2 FROM s_unit, (VALUES (0), (1), (2)) v(view) GROUP BY ALL")(
     lambda s, d: raster.project3(unit(s, d)).groupBy(*poses.POSE, "view").agg(F.count("*").alias("n"), *[F.round(600_000 * F.sum(f"w{i}")).cast("long").alias(f"w{i}") for i in range(3)]))
 query("i10_describe_1", f"SELECT {_KEYS}, 0 AS channel, row, col, value FROM ({_U8}) q WHERE value <> 0")(lambda s, d: raster.describe(unit(s, d), SIZE, 1).withColumn("value", F.col("value").cast("int")))
-for _n in (3, 12, 15):
-    query(f"i10_describe_{_n}")(lambda s, d, n=_n: raster.describe(unit(s, d), SIZE, n))
+_CELL = "least(CAST(floor({} * %d) AS INT), %d)" % (SIZE, SIZE - 1)
+STEPS["s_views"] = f"""SELECT {_KEYS}, point_id, view, nf, nl, nv, {SIZE - 1} - {_CELL.format("CASE view WHEN 0 THEN u0 ELSE u2 END")} AS row, {_CELL.format("CASE view WHEN 2 THEN u0 ELSE u1 END")} AS col,
+    CASE view WHEN 0 THEN u2 WHEN 1 THEN u0 ELSE u1 END AS deep FROM s_unit, (VALUES (0), (1), (2)) v(view)"""
+STEPS["s_lists"] = f"""SELECT {_KEYS}, view, row, col, list({{'a': CAST(abs(nf) AS DOUBLE), 'b': CAST(abs(nl) AS DOUBLE), 'c': CAST(abs(nv) AS DOUBLE), 's': deep}} ORDER BY point_id) AS p
+    FROM s_views GROUP BY {_KEYS}, view, row, col"""
+_STEP = ", ".join(f"'{c}': CASE WHEN n = 0 THEN p[i + 1].{c} ELSE v.{c} + (p[i + 1].{c} - v.{c}) / n END" for c in "abc") + ", 's': v.s + p[i + 1].s"
+STEPS["s_fold"] = f"""SELECT {_KEYS}, view, row, col, p, 1 AS i, p[1] AS v FROM s_lists UNION ALL SELECT {_KEYS}, view, row, col, p, i + 1 AS i, {{{_STEP}}} AS v
+    FROM (SELECT *, sqrt(v.a * v.a + v.b * v.b + v.c * v.c) AS n FROM s_fold WHERE i < len(p)) f"""
+STEPS["s_kinds"] = f"""SELECT {_KEYS}, view, row, col, part, CASE part WHEN 0 THEN v.a WHEN 1 THEN v.b WHEN 2 THEN v.c WHEN 3 THEN 1 - m ELSE max(m) OVER (PARTITION BY {_KEYS}, view) - m END AS value
+    FROM (SELECT *, v.s / len(p) AS m FROM s_fold WHERE i = len(p)) f, (VALUES (0), (1), (2), (3), (4)) k(part)"""
+STEPS["s_broad"] = f"""SELECT {_KEYS}, view, part, greatest(part, 2) AS kind, row + i AS row, col + j AS col, max(value) AS value FROM s_kinds, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)
+    WHERE row + i BETWEEN 0 AND {SIZE - 1} AND col + j BETWEEN 0 AND {SIZE - 1} GROUP BY ALL"""
+STEPS["s_bytes"] = f"""SELECT {_KEYS}, view, part, row, col, CAST(CASE WHEN hi > lo THEN round_even(255 * (value - lo) / (hi - lo), 0) ELSE 0 END AS INT) AS value FROM (
+    SELECT *, CASE WHEN missing THEN least(lo0, 0) ELSE lo0 END AS lo, CASE WHEN missing THEN greatest(hi0, 0) ELSE hi0 END AS hi FROM (
+    SELECT *, min(value) OVER w AS lo0, max(value) OVER w AS hi0, count(*) OVER w < CASE WHEN kind = 2 THEN 3 ELSE 1 END * {SIZE * SIZE} AS missing FROM s_broad WINDOW w AS (PARTITION BY {_KEYS}, view, kind)) q) r"""
+for _n, _of in ((3, "view = 0 AND part < 3"), (12, "part < 4"), (15, "part < 5")):
+    query(f"i10_describe_{_n}", f"SELECT {_KEYS}, view * {_n // 3} + part AS channel, row, col, value FROM s_bytes WHERE value <> 0 AND {_of}")(
+        lambda s, d, n=_n: raster.describe(unit(s, d), SIZE, n).withColumn("value", F.col("value").cast("int")))
+query("i5_normals_image", f"SELECT {_KEYS}, row, col, part, CASE part WHEN 0 THEN v.a WHEN 1 THEN v.b ELSE v.c END AS value FROM s_fold, (VALUES (0), (1), (2)) k(part) WHERE i = len(p) AND view = 0")(
+    lambda s, d: raster.normals_image(celled(s, d)))
 shadow = lambda s, d: raster.shadow_voxels(near_samples(s, d), fixture(s, d, "fx_viewpoints"), 60_000, 3000)
 STEPS["s_voxels"] = """SELECT DISTINCT cloud_id, sample_id, cam_id, CAST(trunc((x + far * dx) / 3000) AS BIGINT) AS ix, CAST(trunc((y + far * dy) / 3000) AS BIGINT) AS iy, CAST(trunc((z + far * dz) / 3000) AS BIGINT) AS iz FROM (
     SELECT r.cloud_id, r.sample_id, c.cam_id, x, y, z, (k + 0.5::DOUBLE) / 20 * 60000 AS far, (mx - vx) / len AS dx, (my - vy) / len AS dy, (mz - vz) / len AS dz FROM s_radius r JOIN (

@@ -140,6 +140,61 @@ def test_packed_image_fills_gaps(spark):
     assert raster.pack(pixels, 3, 2).first()["image"] == want.ravel().tolist()
 
 
+def _image_twin(points: list[dict], size: int, channels: int) -> np.ndarray:
+    """The packed image of one pose, cell by cell."""
+    views = [("u0", "u1", "u2")] + ([("u2", "u1", "u0"), ("u2", "u0", "u1")] if channels > 3 else [])
+    out = np.zeros((size, size, channels), int)
+    for k, (w0, w1, w2) in enumerate(views):
+        inside: dict[tuple, list] = {}
+        for p in sorted(points, key=lambda p: p["point_id"]):
+            inside.setdefault((size - 1 - min(int(p[w0] * size), size - 1), min(int(p[w1] * size), size - 1)), []).append(p)
+        means = {at: np.cumsum([p[w2] for p in ps])[-1] / len(ps) for at, ps in inside.items()}
+        blends = {}
+        for at, ps in inside.items():
+            v = np.zeros(3)
+            for p in ps:
+                n, long = np.abs([p["nf"], p["nl"], p["nv"]]), np.sqrt((v * v).sum())
+                v = n if long == 0 else v + (n - v) / long
+            blends[at] = v
+        depth, shadow = ({at: np.array([f(m)]) for at, m in means.items()} for f in (lambda m: 1 - m, lambda m: max(means.values()) - m))
+        groups = {1: [depth], 3: [blends], 12: [blends, depth], 15: [blends, depth, shadow]}[channels]
+        first = k * channels // len(views)
+        for group in groups:
+            width = len(next(iter(group.values())))
+            wide = np.zeros((size, size, width))
+            for i, j in np.ndindex(size, size):
+                near = [group[a, b] for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) if (a, b) in group]
+                wide[i, j] = np.max(near, axis=0) if near else 0
+            lo, hi = wide.min(), wide.max()
+            out[:, :, first : first + width] = np.rint(255 * (wide - lo) / (hi - lo)) if hi > lo else 0
+            first += width
+    return out
+
+
+@pytest.mark.parametrize(("size", "channels"), [(60, 15), (7, 12), (5, 3), (4, 1)])
+def test_packed_images_equal_a_loop_over_cells(spark, size, channels):
+    rng = np.random.default_rng(size)
+    rows = []
+    for pose in range(3):
+        for k in range((1, 40, 700)[pose]):  # one point, a few, a full image
+            u, n = rng.random(3), rng.normal(size=3)
+            rows.append((1, pose, 0, k, *map(float, u), *map(float, n / np.linalg.norm(n))))
+    names = ["cloud_id", "sample_id", "orient", "point_id", "u0", "u1", "u2", "nf", "nl", "nv"]
+    points = spark.createDataFrame(rows, names).repartition(3)
+    got = {r["sample_id"]: r["image"] for r in raster.packed_images(points, size, channels).collect()}
+    assert set(got) == {0, 1, 2}
+    for pose, image in got.items():
+        want = _image_twin([dict(zip(names, r, strict=True)) for r in rows if r[1] == pose], size, channels)
+        if channels == 1:  # means are made in part, in any order
+            assert np.abs(np.array(image) - want.ravel()).max() <= 1
+        else:
+            assert image == want.ravel().tolist()
+    assert raster.packed_images(points.where("false"), size, channels).count() == 0
+    images = raster.packed_images(points, size, channels)
+    again = raster.pack(raster.unpack(images, size, channels), size, channels)
+    assert {r["sample_id"]: r["image"] for r in again.collect()} == got
+
+
 def test_normals_join_the_cloud_they_belong_to(spark, tmp_path):
     head = "VERSION .7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH 2\nHEIGHT 1\nPOINTS 2\nDATA ascii\n"
     for name, z in (("a", 1), ("b", 2)):

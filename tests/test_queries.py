@@ -10,7 +10,7 @@ from pointlake.plans import file_queries  # noqa: F401
 from pointlake.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-SOME = ("c0_flagship", "a2_voxelize", "j1_radius_join", "a9_finger_placements", "a12_deepen", "a14_antipodal_label", "i8_minmax_u8", "i12_shadow_intersection", "t5_subsample_indices", "c8_align_scans", "c3_detect", "c4_describe_candidates", "a6_local_frames", "a17_cluster_exclusive", "j9_nearest_centre", "s1_ingest_pcd", "s7_write_instances")
+SOME = ("c0_flagship", "a2_voxelize", "j1_radius_join", "a9_finger_placements", "a12_deepen", "a14_antipodal_label", "i8_minmax_u8", "i5_normals_image", "i10_describe_3", "i10_describe_15", "i12_shadow_intersection", "t5_subsample_indices", "c8_align_scans", "c3_detect", "c4_describe_candidates", "a6_local_frames", "a17_cluster_exclusive", "j9_nearest_centre", "s1_ingest_pcd", "s7_write_instances")
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="the given tables are not here")
