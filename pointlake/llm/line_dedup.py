@@ -10,10 +10,13 @@ For any one order of tokens, similar lines share a token in the first quarter of
   most ``HOT`` classes give pairs at once, by length, position and the number of shared prefix tokens.
 * Classes that have a token in common with more others than that are hot. A pair that isn't found through a token of
   few classes shares one of many, so both of its classes are hot. The tokens of hot classes are counted, and ordered by rarity:
-  tokens of a passage that many lines hold then stand last, and a class whose tokens are mostly its own drops out. What
-  is left is compared first with the earliest class of each prefix token (one pair a row, however many classes share
-  it), and what finds no match there with every earlier class of its tokens, behind the length and positional filters
-  and an upper bound of the overlap from 512-bit maps of the token sets.
+  tokens of a passage that many lines hold then stand last, and a class whose tokens are mostly its own drops out. Tokens
+  of one class alone match nothing, so classes of as many tokens that share the same ones with others (lines of one
+  template, each with words of its own) are alike to all the rest: they form one group, which stands at its first
+  class. A group is compared first with the earliest group of each prefix token (one pair a row, however many groups
+  share it), and what finds no match there with all groups of its tokens, behind the length and positional filters
+  and an upper bound of the overlap from 512-bit maps of the token sets. A class goes if a group similar to its own
+  stands before it, its own if that one's classes are similar to each other.
 
 Jaccard is then taken on the full sets. ``HOT`` decides the way, not the result.
 """
@@ -73,6 +76,9 @@ class _Numbers:
 _LEAST = f"(({PERCENT} * {{0}} + 99) div 100)"  # of a line's tokens, a similar line has so many at least
 _LENGTH = f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n)"
 _PLACE = f"(100 + {PERCENT}) * (least(x_pos, y_pos) + least(x_n - x_pos, y_n - y_pos)) >= {PERCENT} * (x_n + y_n)"
+_PLACE_SHARED = f"(100 + {PERCENT}) * (least(x_at, y_at) + least(x_m - x_at, y_m - y_at)) >= {PERCENT} * (x_n + y_n)"
+_ALIKE = f"100 * m >= {PERCENT} * (2 * n - m)"  # classes of n tokens that share just the same m of them
+SALTS = 16
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -80,10 +86,11 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The later classes (id) of those pairs (x_id, y_id) whose full token sets are similar."""
+    """Of pairs (grouped, x_id, y_id): grouped, id and the least y_id (before) of each x_id whose full token set is similar."""
     x, y = (sets.select(F.col("id").alias(f"{p}_id"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
     met = pairs.join(y, "y_id").join(x, "x_id").withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
-    return cut(met.where(f"100 * both >= {PERCENT} * (size(x_keys) + size(y_keys) - both)").select(F.col("x_id").alias("id")).distinct(), name)
+    met = met.where(f"100 * both >= {PERCENT} * (size(x_keys) + size(y_keys) - both)")
+    return cut(met.groupBy("grouped", F.col("x_id").alias("id")).agg(F.min("y_id").alias("before")), name)
 
 
 def _pairs_of_few(shared: DataFrame, hot: DataFrame) -> DataFrame:
@@ -99,9 +106,9 @@ def _pairs_of_few(shared: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
-    """token, id, n, m (tokens that another class has), pos and maps b0 .. b7 of these, of the prefixes of hot classes in the order of rarity.
+    """id, n, m (tokens that another class has), two hashes ha and hb and maps b0 .. b7 of these, and the prefix in the order of rarity, of hot classes.
 
-    A class whose shared tokens are fewer than a similar class needs has none. ``pos`` counts its own tokens first.
+    A class whose shared tokens are fewer than a similar class needs has no row.
     """
     tokens = sets.where("hot").select("id", F.size("keys").alias("n"), F.explode("keys").alias("token")).repartition(parts, "token")
     # both readers of the exchange ask for all its columns, so that it is made once
@@ -116,9 +123,24 @@ def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
         return F.aggregate("all", F.lit(0).cast("bigint"), lambda found, t: F.when(here(t), found.bitwiseOR(bit(t))).otherwise(found)).alias(f"b{k}")
 
     maps = [f"b{k}" for k in range(MAPS)]
-    of = of.select("id", "n", "m", "need", "all", *[bits(k) for k in range(MAPS)])  # before the rows are multiplied
-    of = of.select("id", "n", "m", *maps, F.posexplode(F.slice(F.array_sort("all"), F.lit(1), F.col("m") - F.col("need") + 1)).alias("at", "t"))
-    return of.select("t.token", "id", "n", "m", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), *maps)
+    of = of.withColumn("all", F.array_sort("all"))
+    hashes = [F.xxhash64(F.col("all")["token"]).alias("ha"), F.xxhash64(F.lit(1), F.col("all")["token"]).alias("hb")]
+    return of.select("id", "n", "m", *hashes, *[bits(k) for k in range(MAPS)], F.slice("all", F.lit(1), F.col("m") - F.col("need") + 1)["token"].alias("prefix"))
+
+
+def _groups(classes: DataFrame) -> DataFrame:
+    """token, its place ``at`` among the shared ones, id and last (first and last class), n, m and maps of groups of classes that share the same tokens."""
+    maps = [f"b{k}" for k in range(MAPS)]
+    of = classes.groupBy("n", "m", "ha", "hb", *maps, "prefix").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return of.select("id", "last", "n", "m", *maps, F.posexplode("prefix").alias("at", "token"))
+
+
+def _later(classes: DataFrame, before: DataFrame) -> DataFrame:
+    """The classes (id) of those groups (id, before) that come after ``before``. A group may hold most classes, so it is salted."""
+    same = ["n", "ha", "hb", "salt"]
+    at = before.join(classes.select("id", "n", "ha", "hb"), "id").select("n", "ha", "hb", "before", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = classes.select("id", "n", "ha", "hb", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(at, same)
+    return met.where("id > before").select("id")
 
 
 def _overlap() -> str:
@@ -161,19 +183,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     told = told.select("at.id", "at.hot", F.get("parts", F.col("at.line")).alias("s")).where("trim(s) <> ''")
     sets = cut(_with_keys(told), "sets")
 
-    rare = cut(_rare_prefixes(sets, parts), "rare")
-    least = _side(rare.groupBy("token").agg(F.min(F.struct("id", "n", "m", "pos", *[f"b{k}" for k in range(MAPS)])).alias("m")).select("token", "m.*"), "y")
-    near = f"y_id < x_id and {_LENGTH} and {_PLACE} and {_overlap()}"
-    star = _side(rare, "x").join(least, "token").where(near).select("x_id", "y_id").distinct()
-    found = _similar(star.unionByName(few).distinct(), sets, "found")
-    open_ = rare.join(found, "id", "left_anti")
-    rest = _side(open_, "x").join(_side(rare, "y"), "token").where(near).select("x_id", "y_id").distinct()
-    gone = found.unionByName(_similar(rest, sets, "rest")).select("id", F.lit(True).alias("gone"))
+    classes = cut(_rare_prefixes(sets, parts), "prefixes")
+    rare = cut(_groups(classes), "rare")
+    least = _side(rare.groupBy("token").agg(F.min(F.struct("id", "n", "m", "at", *[f"b{k}" for k in range(MAPS)])).alias("m")).select("token", "m.*"), "y")
+    near = f"y_id < x_last and y_id <> x_id and {_LENGTH} and {_PLACE_SHARED} and {_overlap()}"
+    pair = [F.lit(True).alias("grouped"), "x_id", "y_id"]
+    star = _side(rare, "x").join(least, "token").where(near).select(*pair).distinct()
+    found = _similar(star.unionByName(few.distinct().withColumn("grouped", F.lit(False))), sets, "found")
+    done = found.withColumnRenamed("id", "done_id")
+    open_ = rare.join(done, F.expr("id = done_id and (grouped and before < id or not grouped and last = id)"), "left_anti")
+    rest = _similar(_side(open_, "x").join(_side(rare, "y"), "token").where(near).select(*pair).distinct(), sets, "rest")
+    alike = rare.where(f"at = 0 and last > id and {_ALIKE}").select("id", F.col("id").alias("before"))
+    before = found.where("grouped").select("id", "before").unionByName(rest.select("id", "before")).unionByName(alike).groupBy("id").agg(F.min("before").alias("before"))
+    gone = found.where("not grouped").select("id").unionByName(_later(classes, before)).distinct().withColumn("gone", F.lit(True))
 
     said = firsts.join(gone, "id", "left").select("ka", "kb", numbers.doc().alias("first_doc"), numbers.line().alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
     met = lines.select("doc", "line", "ka", "kb").join(said, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line")
     out = cut(met.select("doc", "line").distinct(), "removed-lines")
-    for table in (firsts, hot, few, sets, rare, found):
+    for table in (firsts, hot, few, sets, classes, rare, found, rest):
         discard(table)
     return out
 

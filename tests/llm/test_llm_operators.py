@@ -352,6 +352,26 @@ def test_line_dedup_with_clashing_names_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, str(r.text)) for r in out.collect()) == [(0, "one two"), (1, "one two\nthree"), (2, ""), (2, "four"), (3, "None")]
 
 
+def test_line_dedup_of_lines_of_one_template(spark):
+    """Templates with own words: groups of like shared tokens, similar to each other, to shorter lines only, or to none."""
+    template = [f"w{i}" for i in range(24)]
+    lines = ["of no use " + " ".join(template[:20])]
+    lines += [" ".join([*template[: 24 - k % 2], f"own{k}", f"more{k}", f"yet{k}"][k % 3 :]) for k in range(90)]  # near copies, by groups
+    lines += [" ".join([*template, *[f"o{k}x{j}" for j in range(6 + k % 2)]]) for k in range(120)]  # similar to the bare template alone
+    lines += [" ".join([*template, *[f"pair{k // 2}x{j}" for j in range(7)], f"end{k}"]) for k in range(60)]  # similar to one other
+    lines = [lines[k] for k in np.random.default_rng(5).permutation(len(lines))]
+    lines += [" ".join(template)]
+
+    def tokens(line: str) -> frozenset:
+        w = line.split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    sets = [tokens(line) for line in lines]
+    want = {j for j in range(len(lines)) if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in range(j))}
+    assert 60 < len(want) < 200
+    assert {r.doc for r in line_dedup.removed_lines(docs(spark, lines)).collect()} == want
+
+
 def test_line_dedup_of_many_near_copies_of_one_line(spark):
     """More copies than ``HOT``: the way by rarity, with its star and the lines that find no match there."""
     rng, lines = np.random.default_rng(11), []
