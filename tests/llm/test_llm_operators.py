@@ -437,3 +437,22 @@ def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
         if name == "near_dedup":
             assert len(ids) == len(set(ids)) and {*range(60)} <= {*ids}
     assert "token_ids" in table.columns
+
+
+def test_neighbours_are_the_nearest_whatever_the_rows(spark):
+    rng = np.random.default_rng(21)
+    n = 2000
+    tight = rng.normal(0, 1, (10, 16))[rng.integers(0, 10, n)] + rng.normal(0, 0.02, (n, 16))
+    odd = tight.copy()
+    odd[::50] = rng.normal(0, 1, (n // 50, 16))  # queries unlike the rows that the index is fitted on
+    copies = rng.normal(0, 1, (n, 16))
+    copies[rng.random(n) < 0.6] = rng.normal(0, 1, 16)
+    for x in (odd, copies, rng.normal(0, 1, (300, 1)), odd[:4]):
+        x = x.astype(np.float32).astype(float)
+        u, got = ivf_pq.unit(x), {}
+        for r in ivf_pq.neighbours(vectors(spark, x), "vec_id % 50 = 0", part_rows=512, strip_rows=16).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        for q in range(0, len(x), 50):
+            s = (u * u[q]).sum(1)
+            s[q] = -9
+            assert got[q] == np.lexsort((np.arange(len(x)), -s))[: min(5, len(x) - 1)].tolist()
