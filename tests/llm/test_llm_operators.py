@@ -456,3 +456,33 @@ def test_neighbours_are_the_nearest_whatever_the_rows(spark):
             s = (u * u[q]).sum(1)
             s[q] = -9
             assert got[q] == np.lexsort((np.arange(len(x)), -s))[: min(5, len(x) - 1)].tolist()
+
+
+def test_secret_scan_learns_from_all_rows(spark):
+    rng = np.random.default_rng(22)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    counts = lambda texts: {(r.kind, r.value): r.n for r in docs(spark, texts).select("text").mapInArrow(secret_scan._extract, "kind string, value string, n long").groupBy("kind", "value").agg({"n": "sum"}).toDF("kind", "value", "n").collect()}
+    texts = [f"token={hexes(30)} plain words {k}" for k in range(40)] + ["qz jx " * 3, None] * 5
+    got = counts(texts)
+    assert got["pair", "^q"] == 15 and got["pair", "z$"] == 15 and got["runs", ""] == 0 and sum(n for (kind, _), n in got.items() if kind == "assign") == 40
+    frame = spark.createDataFrame([(*k, n) for k, n in got.items()], "kind string, value string, n long")
+    # every credential counts in the first state and every character in a step, also where rare prefixes share states
+    for most, states in ((20_000, None), (40, 31 * 11)):
+        seen = []
+        build = secret_scan.automaton
+        try:
+            secret_scan.automaton = lambda steps, seen=seen: seen.append(steps) or build(steps)
+            formats = secret_scan.learn(frame, most)
+        finally:
+            secret_scan.automaton = build
+        for steps in seen:
+            if sum(n for s, c, _, n in steps if not c) == 40:
+                assert sum(n for s, c, _, n in steps if c) == 40 * 30
+                assert states is None or len({s for s, *_ in steps}) <= states + 40
+        assert formats.automata["assign"].visits[0] >= 40 and np.isfinite(formats.threshold)
+        runs = [hexes(30), "plain", "AKIA" + "B" * 20, hexes(64), hexes(70), "a.b"]
+        assert np.allclose(formats.scores(runs), [formats.score(r) for r in runs])
+    # what only a few of many rows hold is learned as well: none of it was, where 1,500 of a kind were taken
+    many = [f"token={hexes(30)}" for _ in range(3000)] + [f"token=QX-{hexes(4).upper()}-ZZ" for _ in range(30)]
+    frame = docs(spark, many).select("text").mapInArrow(secret_scan._extract, "kind string, value string, n long")
+    assert secret_scan.learn(frame).automata["assign"].visits[0] >= 3030
