@@ -29,6 +29,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from .shared import cut, fresh
 
 MARK = "▁"
 NEVER = -(1 << 60)
+TOGETHER = 256
 
 
 class Vocabulary:
@@ -115,6 +117,89 @@ class Vocabulary:
             i = back[i]
         return [x for ids in reversed(out) for x in ids], best[-1]
 
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps between beginnings of pieces as sorted numbers (beginning, character), the beginning after each, and each one's id or -1 and score."""
+        number = {p: i for i, p in enumerate(["", *self.table])}
+        steps = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.table], np.int64)
+        order = np.argsort(steps)
+        ids = np.array([-1, *[-1 if x is None else x[0] for x in self.table.values()]], np.int32)
+        scores = np.array([0, *[0 if x is None else x[1] for x in self.table.values()]], np.int64)
+        return steps[order], order + 1, ids, scores
+
+    def encode_many(self, texts: list[str], most_chars: int = 100_000) -> list[list[int]]:
+        """The ids of ``encode`` for each marked text; those up to ``TOGETHER`` characters are taken together."""
+        out: list[list[int]] = [[]] * len(texts)
+        some, chars = [], 0
+        for i, text in enumerate(texts):
+            if len(text) > TOGETHER:
+                out[i] = self.encode(text)[0]
+                continue
+            some.append(i)
+            chars += len(text)
+            if chars > most_chars:
+                self._together(texts, some, out)
+                some, chars = [], 0
+        self._together(texts, some, out)
+        return out
+
+    def _together(self, texts: list[str], some: list[int], out: list[list[int]]) -> None:
+        """As ``encode``: all pieces that lie at any place are found length by length, and places of one distance from their
+        texts' starts settle at once, as no two of their pieces end at one place. Every text has a place more than characters."""
+        code = np.frombuffer("".join(texts[i] + "\0" for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        size = np.array([len(texts[i]) for i in some], np.int64)
+        if not size.sum():
+            return
+        first = np.cumsum(size + 1) - size - 1
+        inside = np.ones(len(code), bool)
+        inside[first + size] = False
+        steps, then, ids, scores = self.trie
+        at = np.flatnonzero(inside)
+        end, node, found = at, np.zeros(len(at), np.int64), []
+        while len(at):
+            key = node << 21 | code[end]
+            k = np.searchsorted(steps, key)
+            k[k == len(steps)] = 0
+            on = (steps[k] == key) & inside[end]
+            if end is at or (end == at).all():  # a character that is no piece becomes those of its bytes
+                single = np.where(on, ids[then[k]], -1) < 0
+                unknown = at[single]
+            at, end, node = at[on], end[on] + 1, then[k[on]]
+            whole = ids[node] >= 0
+            found.append((at[whole], end[whole], scores[node[whole]], ids[node[whole]]))
+        spelled = {c: self.fallback(chr(c)) for c in np.unique(code[unknown]).tolist()}
+        names = np.array([*spelled], np.int64)
+        which = np.searchsorted(names, code[unknown])
+        found.append((unknown, unknown + 1, np.array([x[0] for x in spelled.values()], np.int64)[which], (-2 - which).astype(np.int32)))
+        begin, end, score, said = (np.concatenate(x) for x in zip(*found, strict=True))
+        depth = begin - np.repeat(first, size + 1)[begin]
+        order = np.argsort(depth, kind="stable")
+        begin, end, score, said = begin[order], end[order], score[order], said[order]
+        bounds = np.searchsorted(depth[order], np.arange(int(size.max()) + 1))
+        best, back = np.full(len(code), NEVER), np.zeros(len(code), np.int64)
+        best[first] = 0
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            new, to = best[begin[a:b]] + score[a:b], end[a:b]
+            better = new > best[to]
+            best[to[better]], back[to[better]] = new[better], a + np.flatnonzero(better)
+        place, rows, path = first + size, np.flatnonzero(size), []
+        while len(rows):
+            step = back[place[rows]]
+            path.append((rows, said[step]))
+            place[rows] = begin[step]
+            rows = rows[place[rows] > first[rows]]
+        rows, said = (np.concatenate([x[j] for x in reversed(path)]) for j in (0, 1))
+        order = np.argsort(rows, kind="stable")
+        rows, said = rows[order], said[order]
+        bytes_of = [x[1] for x in spelled.values()]
+        count = np.ones(len(said), np.int64)
+        count[said < 0] = [len(bytes_of[-2 - x]) for x in said[said < 0].tolist()]
+        flat = np.repeat(said, count)
+        flat[np.repeat(said < 0, count)] = [b for x in said[said < 0].tolist() for b in bytes_of[-2 - x]]
+        flat, total = flat.tolist(), np.r_[0, np.cumsum(np.bincount(rows, count, len(some)).astype(np.int64))].tolist()
+        for j, i in enumerate(some):
+            out[i] = flat[total[j] : total[j + 1]]
+
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Of a chunk of ``size`` characters followed by the rest of ``text``: best score from state to state."""
         states = self.longest
@@ -225,7 +310,7 @@ def _encoders(path: str) -> tuple[ChunkEncoder, ChunkEncoder]:
     """For chunks at the start of a text, which get a mark before them, and for the others."""
     if path not in _ENCODERS:
         v = Vocabulary.load(path)
-        of = lambda before: ChunkEncoder(lambda texts: [v.encode(before + t.decode().replace(" ", MARK))[0] for t in texts])
+        of = lambda before: ChunkEncoder(lambda texts: v.encode_many([before + t.decode().replace(" ", MARK) for t in texts]))
         _ENCODERS[path] = of(MARK), of("")
     return _ENCODERS[path]
 

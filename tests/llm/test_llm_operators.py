@@ -486,3 +486,18 @@ def test_secret_scan_learns_from_all_rows(spark):
     many = [f"token={hexes(30)}" for _ in range(3000)] + [f"token=QX-{hexes(4).upper()}-ZZ" for _ in range(30)]
     frame = docs(spark, many).select("text").mapInArrow(secret_scan._extract, "kind string, value string, n long")
     assert secret_scan.learn(frame).automata["assign"].visits[0] >= 3030
+
+
+def test_pieces_of_many_texts_at_once(spark):
+    pieces_of = {"a": 3, "b": 9, "ab": 1, "abc": 7, "▁": 2, "▁a": 5, "▁ab": 4, "c": 8, "bc": 6, "aab": 0}
+    v = pieces.Vocabulary(pieces_of, list(range(10, 266)), [""] * 266)
+    rng = np.random.default_rng(23)
+    texts = ["".join(rng.choice(list("abcé漢😀▁"), rng.integers(0, 40), p=[0.3, 0.25, 0.15, 0.05, 0.05, 0.1, 0.1])) for _ in range(400)]
+    texts += ["", "é", "\0a\0", "ab" * 400, "z" * 256, "", "b퟿a"]
+    for most in (1, 50, 100_000):
+        assert v.encode_many(texts, most) == [v.encode(t)[0] for t in texts]
+    assert v.encode_many([]) == [] and v.encode_many([""]) == [[]]
+    even = pieces.Vocabulary(pieces_of, list(range(10, 266)), [""] * 266)  # where all segmentations tie
+    even.pieces = {p: (i, -len(p)) for p, (i, _) in even.pieces.items()}
+    even.table = {k: even.pieces.get(k) for k in even.table}
+    assert even.encode_many(texts) == [even.encode(t)[0] for t in texts]
