@@ -23,7 +23,7 @@ Jaccard is then taken on the full sets. ``HOT`` decides the way, not the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, discard, fresh
@@ -45,8 +45,8 @@ def _with_keys(lines: DataFrame) -> DataFrame:
     words, plain = F.split("s", " "), ~(F.col("s").contains("  ") | F.col("s").startswith(" ") | F.col("s").endswith(" "))
     hashed = F.transform(F.when(plain, words).otherwise(F.filter(words, lambda w: w != "")), lambda w: F.xxhash64(w))
 
-    def token(w: Column, i: Column) -> Column:  # told never to be null, arrays sort as plain longs
-        return F.coalesce(F.xxhash64(w, *[F.get("w", i + j) for j in range(1, WORDS)]), F.lit(0))
+    def token(w: Column, i: Column) -> Column:
+        return F.xxhash64(w, *[F.get("w", i + j) for j in range(1, WORDS)])
 
     keys = F.array_distinct(F.slice(F.transform("w", token), F.lit(1), F.greatest(F.lit(1), F.size("w") - (WORDS - 1))))
     rest = [c for c in lines.columns if c != "s"]
@@ -56,10 +56,14 @@ def _with_keys(lines: DataFrame) -> DataFrame:
 class _Numbers:
     """One number for a document and a line, in their order: a long where it fits, else a decimal."""
 
-    def __init__(self, classes: DataFrame):
-        low, high, most = classes.agg(F.min("doc"), F.max("doc"), F.max("line")).first()
-        self.low, self.step = low or 0, 1 << (most or 0).bit_length()
-        self.type = "bigint" if ((high or 0) - self.low + 1) * self.step < 1 << 62 else "decimal(38,0)"
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        doc = F.col(id_col).cast("long")
+        low, high = docs.agg(F.min(doc), F.max(doc)).first()
+        self.low, self.step = low or 0, 1 << 31  # lines are fewer in any case; where ids lie far apart, they are counted
+        span = (high or 0) - self.low + 1
+        if span * self.step >= 1 << 62:
+            self.step = 1 << docs.agg(F.max(F.size(F.split(F.coalesce(text_col, F.lit("")), "\n")))).first()[0].bit_length()
+        self.type = "bigint" if span * self.step < 1 << 62 else "decimal(38,0)"
 
     def id(self) -> Column:
         wide = "bigint" if self.type == "bigint" else "decimal(19,0)"
@@ -81,6 +85,18 @@ _ALIKE = f"100 * m >= {PERCENT} * (2 * n - m)"  # classes of n tokens that share
 SALTS = 16
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, numbers: _Numbers) -> DataFrame:
+    """``wanted`` with the text s of each line (id), if it has words. Only the lines that are asked for leave their documents."""
+    of = wanted.select(numbers.doc().alias("doc"), F.struct(numbers.line().alias("line"), *wanted.columns).alias("at")).groupBy("doc").agg(F.collect_set("at").alias("some"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(of.hint("shuffle_hash"), "doc")
+
+    def told(of: Column) -> Column:
+        return F.transform(of["some"], lambda at: F.struct(*[at[c].alias(c) for c in wanted.columns], F.get(of["parts"], at["line"]).alias("s")))
+
+    found = F.transform(F.array(F.struct(F.split(F.lower("text"), "\n").alias("parts"), "some")), told)[0]  # so that the text is split once
+    return texts.select(F.explode(found).alias("at")).select("at.*").where("trim(s) <> ''")
+
+
 def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "token"])
 
@@ -88,8 +104,8 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 def _similar(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """Of pairs (grouped, x_id, y_id): grouped, id and the least y_id (before) of each x_id whose full token set is similar."""
     x, y = (sets.select(F.col("id").alias(f"{p}_id"), F.col("keys").alias(f"{p}_keys")) for p in "xy")
-    met = pairs.join(y, "y_id").join(x, "x_id").withColumn("both", F.size(F.array_intersect("x_keys", "y_keys")))
-    met = met.where(f"100 * both >= {PERCENT} * (size(x_keys) + size(y_keys) - both)")
+    met = pairs.join(y, "y_id").join(x, "x_id")
+    met = met.where(f"(100 + {PERCENT}) * size(array_intersect(x_keys, y_keys)) >= {PERCENT} * (size(x_keys) + size(y_keys))")
     return cut(met.groupBy("grouped", F.col("x_id").alias("id")).agg(F.min("y_id").alias("before")), name)
 
 
@@ -111,9 +127,7 @@ def _rare_prefixes(sets: DataFrame, parts: int) -> DataFrame:
     A class whose shared tokens are fewer than a similar class needs has no row.
     """
     tokens = sets.where("hot").select("id", F.size("keys").alias("n"), F.explode("keys").alias("token")).repartition(parts, "token")
-    # both readers of the exchange ask for all its columns, so that it is made once
-    times = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("n").alias("less")).where("times > 1 and low is not null and less > 0").select("token", "times")
-    shared = tokens.join(times.hint("shuffle_hash"), "token")
+    shared = tokens.withColumn("times", F.count("*").over(Window.partitionBy("token"))).where("times > 1")
     of = shared.groupBy("id", "n").agg(F.collect_list(F.struct("times", "token")).alias("all"))
     of = of.withColumn("need", F.expr(_LEAST.format("n")).cast("int")).where("size(all) >= need").withColumn("m", F.size("all"))
 
@@ -156,20 +170,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeat an id are taken as one document: a line number that goes in one of them goes in all.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = _lines(docs, id_col, text_col)
-    head = F.expr(f"slice(keys, 1, cast(size(keys) - {_LEAST.format('size(keys)')} + 1 as int))")
-    heads = _with_keys(lines).select("ka", "kb", "doc", "line", F.size("keys").alias("n"), head.alias("head"))
-    first = heads.groupBy("ka", "kb").agg(F.min(F.struct("doc", "line", "n", "head")).alias("m"))
-    classes = cut(first.select("ka", "kb", "m.doc", "m.line", "m.n", "m.head"), "classes")
-    numbers = _Numbers(classes)
+    numbers = _Numbers(docs, id_col, text_col)
+    lines = cut(_lines(docs, id_col, text_col).select(numbers.id().alias("id"), "ka", "kb"), "lines")
+    classes = cut(lines.groupBy("ka", "kb").agg(F.min("id").alias("first"), F.count("*").alias("times")), "classes")
+    copies = cut(lines.join(classes.where("times > 1").select("ka", "kb", "first"), ["ka", "kb"]).where("id <> first").select("id").distinct(), "copies")
+    discard(lines)
 
-    tokens = classes.select(numbers.id().alias("id"), F.col("n").cast("bigint").alias("n"), F.posexplode("head").alias("pos", "token"))
+    head = F.expr(f"slice(keys, 1, cast(size(keys) - {_LEAST.format('size(keys)')} + 1 as int))")
+    keys = _with_keys(_texts(docs, id_col, text_col, classes.select(F.col("first").alias("id")), numbers))
+    # exploded as an expression: of a column Spark would infer a filter, and hash all tokens once more for it
+    tokens = keys.select("id", F.size("keys").cast("bigint").alias("n"), F.posexplode(head).alias("pos", "token"))
     tokens = tokens.select("token", "id", F.expr("shiftleft(n, 32) | pos").alias("at")).repartition(parts, "token")
-    # both readers of the exchange ask for all its columns, so that it is made once
-    often = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("id").alias("low"), F.min("at").alias("place")).where("times > 1 and low is not null and place >= 0")
-    shared = tokens.join(often.select("token", "times").hint("shuffle_hash"), "token")
+    shared = tokens.withColumn("times", F.count("*").over(Window.partitionBy("token"))).where("times > 1")
     shared = cut(shared.select("token", "id", F.expr("cast(shiftright(at, 32) as int)").alias("n"), F.expr("cast(at & 4294967295 as int)").alias("pos"), "times"), "shared")
-    firsts = cut(classes.select("ka", "kb", numbers.id().alias("id")), "firsts")
     discard(classes)
 
     hot = cut(shared.where(F.col("times") > HOT).select("id").distinct(), "hot")
@@ -177,11 +190,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(shared)
 
     ids = few.select(F.col("x_id").alias("id")).unionByName(few.select(F.col("y_id").alias("id"))).withColumn("hot", F.lit(False)).unionByName(hot.withColumn("hot", F.lit(True)))
-    wanted = ids.groupBy("id").agg(F.max("hot").alias("hot")).select(numbers.doc().alias("doc"), F.struct(numbers.line().alias("line"), "id", "hot").alias("at"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted.groupBy("doc").agg(F.collect_list("at").alias("some")).hint("shuffle_hash"), "doc")
-    told = texts.select(F.split(F.lower("text"), "\n").alias("parts"), "some").select("parts", F.explode("some").alias("at"))
-    told = told.select("at.id", "at.hot", F.get("parts", F.col("at.line")).alias("s")).where("trim(s) <> ''")
-    sets = cut(_with_keys(told), "sets")
+    wanted = ids.groupBy("id").agg(F.max("hot").alias("hot"))
+    sets = cut(_with_keys(_texts(docs, id_col, text_col, wanted, numbers)), "sets")
 
     classes = cut(_rare_prefixes(sets, parts), "prefixes")
     rare = cut(_groups(classes), "rare")
@@ -195,12 +205,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = _similar(_side(open_, "x").join(_side(rare, "y"), "token").where(near).select(*pair).distinct(), sets, "rest")
     alike = rare.where(f"at = 0 and last > id and {_ALIKE}").select("id", F.col("id").alias("before"))
     before = found.where("grouped").select("id", "before").unionByName(rest.select("id", "before")).unionByName(alike).groupBy("id").agg(F.min("before").alias("before"))
-    gone = found.where("not grouped").select("id").unionByName(_later(classes, before)).distinct().withColumn("gone", F.lit(True))
-
-    said = firsts.join(gone, "id", "left").select("ka", "kb", numbers.doc().alias("first_doc"), numbers.line().alias("first_line"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    met = lines.select("doc", "line", "ka", "kb").join(said, ["ka", "kb"]).where("gone or doc <> first_doc or line <> first_line")
-    out = cut(met.select("doc", "line").distinct(), "removed-lines")
-    for table in (firsts, hot, few, sets, classes, rare, found, rest):
+    gone = found.where("not grouped").select("id").unionByName(_later(classes, before)).unionByName(copies).distinct()
+    out = cut(gone.select(numbers.doc().alias("doc"), numbers.line().alias("line")), "removed-lines")
+    for table in (copies, hot, few, sets, classes, rare, found, rest):
         discard(table)
     return out
 

@@ -372,6 +372,17 @@ def test_line_dedup_of_lines_of_one_template(spark):
     assert {r.doc for r in line_dedup.removed_lines(docs(spark, lines)).collect()} == want
 
 
+def test_line_dedup_hashes_the_words_of_first_lines_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(line_dedup, "_with_keys", lambda lines, of=line_dedup._with_keys: asked.append(lines.count()) or of(lines))
+    long = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{long}\n\nof no use {k // 20}\n{long} more" for k in range(40)]
+    ids = [-(1 << 61), *range(1, 39), 1 << 61]
+    want = {(i, k) for i in ids for k in (0, 2, 3)} - {(ids[0], 0), (ids[0], 2), (ids[20], 2)}
+    assert {tuple(r) for r in line_dedup.removed_lines(docs(spark, texts, ids)).collect()} == want
+    assert asked[0] == 4
+
+
 def test_line_dedup_of_many_near_copies_of_one_line(spark):
     """More copies than ``HOT``: the way by rarity, with its star and the lines that find no match there."""
     rng, lines = np.random.default_rng(11), []
